@@ -1,0 +1 @@
+"""Empty on purpose: every load this package covers is a batch of files or tables."""
