@@ -127,6 +127,12 @@ def error_measures(judged: DataFrame) -> DataFrame:
     )
 
 
+def backtest(rows: DataFrame) -> DataFrame:
+    """Errors of a model fitted on the head of every series and judged on its tail."""
+    judged = fit_trees(rows.filter(F.col("part") == "head")).transform(rows.filter(F.col("part") == "tail"))
+    return error_measures(judged)
+
+
 def boosted_forecast(series: DataFrame, horizon: int = 6) -> tuple[DataFrame, DataFrame]:
     """(forecast, metrics): one model over all series, judged on each series' last quarter.
 
@@ -135,8 +141,7 @@ def boosted_forecast(series: DataFrame, horizon: int = 6) -> tuple[DataFrame, Da
     """
     check_horizon(horizon)
     rows = staged(head_and_tail(forecast_features(series)), "forecast").persist()
-    judged = fit_trees(rows.filter(F.col("part") == "head")).transform(rows.filter(F.col("part") == "tail"))
-    metrics = staged(error_measures(judged), "errors")
+    metrics = staged(backtest(rows), "errors")
     model = fit_trees(rows)
     rows.unpersist()
 

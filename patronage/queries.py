@@ -33,6 +33,7 @@ from patronage.plans.clustering import FEATURES as CLUSTER_FEATURES
 from patronage.plans.clustering import Clusters, cluster_customers
 from patronage.plans.dashboard import HEADLINE_COLUMNS, action_master, segmented_master, valued_master
 from patronage.plans.forecast import (
+    backtest,
     forecast_features,
     head_and_tail,
     history,
@@ -509,4 +510,4 @@ def forecast_boosted(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def forecast_errors(spark: SparkSession, folder: str) -> DataFrame:
-    return revenue_forecast(_state_series(spark, folder)).metrics
+    return backtest(staged(head_and_tail(forecast_features(_state_series(spark, folder))), "forecast"))
