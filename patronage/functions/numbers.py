@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(18,4)"
+MONEY = "decimal(16,4)"  # a difference of three such amounts still fits a long
 EXACT = "decimal(38,8)"
 
 

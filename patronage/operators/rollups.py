@@ -156,22 +156,35 @@ def product_performance(transactions: DataFrame, products: DataFrame,
     )
 
 
-def activity_cube(transactions: DataFrame) -> DataFrame:
-    """Lines and revenue per month, product and completion: one pass that several totals are taken from."""
-    return transactions.groupBy(
-        month_start("order_date").alias("month"), "product_id", is_completed().alias("completed")
-    ).agg(
+def activity_totals(transactions: DataFrame) -> DataFrame:
+    """Lines and revenue per month and per product, by completion, from one pass.
+
+    Two grouping sets: the result has as many rows as there are months and
+    products, not their combinations. ``by_month`` tells which set a row is from.
+    """
+    lines = transactions.select(
+        month_start("order_date").alias("month"), "product_id", is_completed().alias("completed"),
+        money("order_amount").alias("order_amount"), naive("order_date").alias("order_date"))
+    month, product, completed = F.col("month"), F.col("product_id"), F.col("completed")
+    return lines.groupingSets([[month, completed], [product, completed]], month, product, completed).agg(
+        (F.grouping("month") == 0).alias("by_month"),
         F.count("*").alias("lines"),
-        F.sum(money("order_amount")).alias("order_amount"),
-        F.min(naive("order_date")).alias("first"),
-        F.max(naive("order_date")).alias("last"),
+        F.sum("order_amount").alias("order_amount"),
+        F.min("order_date").alias("first"),
+        F.max("order_date").alias("last"),
     )
 
 
-def dataset_header(cube: DataFrame, products: DataFrame, customers: DataFrame,
+def activity_span(transactions: DataFrame) -> DataFrame:
+    """One row: lines, first and last date."""
+    date = naive("order_date")
+    return transactions.agg(F.count("*").alias("lines"), F.min(date).alias("first"), F.max(date).alias("last"))
+
+
+def dataset_header(span: DataFrame, products: DataFrame, customers: DataFrame,
                    labels: tuple[str, str] = SOURCE_LABELS) -> DataFrame:
-    """One row: sizes, date range and number of markets."""
-    lines = cube.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("transactions"), F.min("first").alias("first"),
+    """One row: sizes, date range and number of markets; ``span`` may hold partial rows."""
+    lines = span.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("transactions"), F.min("first").alias("first"),
                      F.max("last").alias("last"))
     people = customers.agg(F.struct(F.count("*").alias("customers"), F.count_distinct("state").alias("markets")))
     return lines.select(
@@ -199,7 +212,7 @@ def executive_kpis(segmented: DataFrame, by_month: DataFrame) -> DataFrame:
         return F.coalesce(value, F.lit(0.0))
 
     figures = segmented.agg(
-        F.count_distinct("customer_id").alias("customers"),
+        F.count("customer_id").alias("customers"),
         F.count_if(~is_churned()).alias("active_customers"),
         zero(total("total_revenue")).alias("revenue"),
         zero(total("total_profit")).alias("profit"),
@@ -219,16 +232,19 @@ def executive_kpis(segmented: DataFrame, by_month: DataFrame) -> DataFrame:
 
 
 def bi_measures(valued: DataFrame) -> DataFrame:
-    """One row of report measures; the order value here is revenue over orders."""
-    at_risk = F.count_distinct(F.when(is_churned(), F.col("customer_id")))
+    """One row of report measures; the order value here is revenue over orders.
+
+    The master has one row per customer, so counting rows counts customers.
+    """
+    at_risk = F.count_if(is_churned())
     return valued.agg(
         total("total_revenue").alias("total_revenue"),
         total("total_profit").alias("total_profit"),
-        F.count_distinct("customer_id").alias("customer_count"),
+        F.count("customer_id").alias("customer_count"),
         rounded(F.try_divide(F.sum(F.col("total_revenue").cast("decimal(28,4)")).cast("double"),
                              F.sum("order_count").cast("double")), 2).alias("average_order_value"),
         at_risk.alias("at_risk_customers"),
-        rounded(1 - F.try_divide(at_risk, F.count_distinct("customer_id")), 4).alias("retention_rate"),
+        rounded(1 - F.try_divide(at_risk, F.count("customer_id")), 4).alias("retention_rate"),
         rounded(F.sum(F.col("predicted_clv").cast(EXACT)), 2).alias("predicted_clv"),
     )
 

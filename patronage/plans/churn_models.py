@@ -20,7 +20,7 @@ from patronage.errors import InsufficientDataError
 from patronage.operators.ranking import rows_at_ranks
 from patronage.operators.value import churn_scores, is_churned, with_risk_level
 from patronage.schemas import SCHEMAS
-from patronage.session import staged
+from patronage.session import at_once, staged
 
 NUMERIC = ["age", "tenure_days", "order_count", "total_revenue", "average_order_value", "product_diversity",
            "campaign_response_rate", "support_tickets", "avg_resolution_hours", "avg_satisfaction"]
@@ -166,10 +166,9 @@ def train_models(master: DataFrame, path: str, models: Iterable[str] | None = No
     fit_on = features.transform(train).select("churned", "weight", "features").persist()
     judge_on = features.transform(prepared(test, modes)).select("churned", "features").persist()
     known = candidates()
-    results, fitted = {}, {}
-    for name in models or known:
-        fitted[name] = known[name].fit(fit_on)
-        results[name] = scores_of(fitted[name].transform(judge_on))
+    names = list(models or known)
+    fitted = dict(zip(names, at_once([lambda name=name: known[name].fit(fit_on) for name in names]), strict=True))
+    results = {name: scores_of(fitted[name].transform(judge_on)) for name in names}
     fit_on.unpersist()
     judge_on.unpersist()
     best = max(results, key=lambda name: results[name]["roc_auc"])

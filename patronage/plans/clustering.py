@@ -10,7 +10,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.session import staged
+from patronage.session import at_once, staged
 
 FEATURES = ["recency_days", "order_count", "total_revenue", "average_order_value", "campaign_response_rate"]
 SEED = 42
@@ -49,8 +49,9 @@ def cluster_customers(master: DataFrame, features: list[str] | None = None) -> C
     scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
     scaled = scaler.transform(rows).select("customer_id", "name", "features").persist()
     k = cluster_count(customers)
-    fits = [KMeans(k=k, seed=SEED + start, featuresCol="features", predictionCol="cluster").fit(scaled)
-            for start in range(RESTARTS)]
+    starts = [KMeans(k=k, seed=SEED + start, featuresCol="features", predictionCol="cluster")
+              for start in range(RESTARTS)]
+    fits = at_once([lambda start=start: start.fit(scaled) for start in starts])
     best = min(fits, key=lambda fit: fit.summary.trainingCost)
     assigned = staged(best.transform(scaled), "clusters")
     scaled.unpersist()

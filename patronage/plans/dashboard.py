@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from patronage.operators import rollups
@@ -12,7 +12,7 @@ from patronage.operators.segments import rfm_segments
 from patronage.operators.value import lifetime_value, next_best_actions
 from patronage.plans.master import customer_master
 from patronage.schemas import Tables
-from patronage.session import staged
+from patronage.session import at_once, staged
 
 # what scores, KPIs and geography are computed from
 HEADLINE_COLUMNS = ["customer_id", "state", "recency_days", "order_count", "total_revenue", "total_profit",
@@ -42,22 +42,24 @@ def dashboard(tables: Tables, statuses: Iterable[str] | None = rollups.PAID, as_
     """Header, KPIs, segments, geography, monthly and category revenue.
 
     The transactions are read twice, whatever the number of members: once per
-    customer and once per month and product.
+    customer, and once for the months and products.
     """
-    segmented = segmented_master(tables, HEADLINE_COLUMNS, as_of)
-    cube = staged(rollups.activity_cube(tables.transactions), "cube")
+    segmented, totals = at_once([
+        lambda: segmented_master(tables, HEADLINE_COLUMNS, as_of),
+        lambda: staged(rollups.activity_totals(tables.transactions), "totals"),
+    ])
     if statuses is None:
-        counted = cube
+        counted = totals
     elif [status.lower() for status in statuses] == list(rollups.PAID):
-        counted = cube.filter("completed")
+        counted = totals.filter("completed")
     else:
-        counted = rollups.activity_cube(rollups.with_statuses(tables.transactions, statuses))
-    by_month = rollups.fill_months(
-        counted.filter(F.col("month").isNotNull()).groupBy("month").agg(F.sum("order_amount").alias("revenue")),
-        ["revenue"])
-    by_product = counted.groupBy("product_id").agg(F.sum("order_amount").alias("order_amount"))
+        counted = rollups.activity_totals(rollups.with_statuses(tables.transactions, statuses))
+    months = counted.filter(F.col("by_month") & F.col("month").isNotNull())
+    by_month = rollups.fill_months(months.groupBy("month").agg(F.sum("order_amount").alias("revenue")), ["revenue"])
+    by_product = counted.filter(~F.col("by_month")).groupBy("product_id").agg(
+        F.sum("order_amount").alias("order_amount"))
     return {
-        "dataset": rollups.dataset_header(cube, tables.products, segmented),
+        "dataset": rollups.dataset_header(totals.filter("by_month"), tables.products, segmented),
         "kpis": rollups.executive_kpis(segmented, by_month),
         "segments": rollups.segment_rollup(segmented),
         "geography": rollups.geography(segmented),
@@ -75,3 +77,8 @@ def exploratory(tables: Tables, statuses: Iterable[str] | None = None) -> dict[s
         "cohorts": rollups.cohorts(tables.transactions, tables.customers, statuses),
         "product_performance": rollups.product_performance(tables.transactions, tables.products, statuses),
     }
+
+
+def collected(bundle: dict[str, DataFrame]) -> dict[str, list[Row]]:
+    """The rows of every member, for bundles of small results; the members run side by side."""
+    return dict(zip(bundle, at_once([member.collect for member in bundle.values()]), strict=True))

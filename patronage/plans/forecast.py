@@ -15,7 +15,7 @@ from patronage.functions.dates import month_label
 from patronage.functions.numbers import money, rounded
 from patronage.operators.features import with_statuses
 from patronage.operators.rollups import PAID, fill_months, month_start
-from patronage.session import staged
+from patronage.session import at_once, staged
 
 # Fixed values of the forecasting job.
 LAGS = (1, 2, 3, 6)
@@ -141,8 +141,7 @@ def boosted_forecast(series: DataFrame, horizon: int = 6) -> tuple[DataFrame, Da
     """
     check_horizon(horizon)
     rows = staged(head_and_tail(forecast_features(series)), "forecast").persist()
-    metrics = staged(backtest(rows), "errors")
-    model = fit_trees(rows)
+    metrics, model = at_once([lambda: staged(backtest(rows), "errors"), lambda: fit_trees(rows)])
     rows.unpersist()
 
     state = last_values(series)

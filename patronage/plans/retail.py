@@ -13,6 +13,7 @@ from patronage.functions.numbers import money, number
 from patronage.functions.text import customer_label, keyword_category, tidy_title
 from patronage.operators.ranking import global_row_number
 from patronage.operators.rollups import monthly
+from patronage.session import staged
 
 COST_SHARE = "0.65"
 CHANNEL = "Online"
@@ -45,9 +46,11 @@ def typed_lines(raw: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
 def prepare(raw: DataFrame, formats: Sequence[str] = (), order: Sequence[str] = ()) -> Prepared:
     """All four tables; ``order`` names the columns that give the order of the raw lines.
 
-    Without it, lines are numbered by date, invoice, code, customer, quantity and price.
+    Without it, lines are numbered by date, invoice, code, customer, quantity and
+    price. The raw text is parsed once; the typed lines are stored for the tables
+    made from them.
     """
-    lines = typed_lines(raw, formats)
+    lines = staged(typed_lines(raw, formats), "lines")
     products = product_table(lines)
     purchases = purchase_lines(lines, products)
     return Prepared(

@@ -185,7 +185,7 @@ def bi_measures(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def dataset_header(spark: SparkSession, folder: str) -> DataFrame:
     tables = star_tables(spark, folder)
-    return rollups.dataset_header(rollups.activity_cube(tables.transactions), tables.products, tables.customers)
+    return rollups.dataset_header(rollups.activity_span(tables.transactions), tables.products, tables.customers)
 
 
 @query
@@ -357,7 +357,7 @@ def profile_customers(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def profile_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    return profile(star.transactions(spark, folder))
+    return profile(staged(star.transactions(spark, folder), "profiled"))
 
 
 @query
@@ -390,7 +390,7 @@ def _typed_retail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _purchases(spark: SparkSession, folder: str) -> DataFrame:
-    lines = _typed_retail(spark, folder)
+    lines = staged(_typed_retail(spark, folder), "lines")
     return retail.purchase_lines(lines, retail.product_table(lines))
 
 

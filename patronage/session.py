@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -17,6 +21,8 @@ def local_session(app: str, cores: str | int = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # a small file is one task; a shuffle spreads what follows over the cores
+        .config("spark.sql.autoBroadcastJoinThreshold", "512k")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", memory)
         .getOrCreate()
@@ -49,3 +55,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def at_once(jobs: Sequence[Callable[[], Any]]) -> list:
+    """Results of independent jobs, submitted to Spark at the same time."""
+    with ThreadPoolExecutor(max_workers=max(len(jobs), 1)) as pool:
+        return [future.result() for future in [pool.submit(inheritable_thread_target(job)) for job in jobs]]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from patronage.functions.numbers import money
 from patronage.schemas import RAW_RETAIL, Tables
 
+CENTS = "decimal(12,2)"  # prices have two decimals; products with a share still fit a long
+
 STAR_SCHEMAS = {
     "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
     "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
@@ -78,7 +80,7 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def transactions(spark: SparkSession, folder: str) -> DataFrame:
-    amount = money("l_extendedprice")
+    amount = F.col("l_extendedprice").cast(CENTS)
     cost = F.round(amount * F.lit("0.65").cast("decimal(3,2)"), 2)
     discount = F.round(amount * F.col("l_discount").cast("decimal(4,2)"), 2)
     return _lines(spark, folder).select(
@@ -86,7 +88,7 @@ def transactions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("o_custkey").alias("customer_id"),
         F.col("l_partkey").alias("product_id"),
         F.col("l_quantity").cast("int").alias("quantity"),
-        amount.alias("order_amount"),
+        money(amount).alias("order_amount"),
         money(cost).alias("cost_amount"),
         money(discount).alias("discount_amount"),
         F.col("o_orderdate").alias("order_date"),
