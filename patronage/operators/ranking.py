@@ -100,54 +100,30 @@ def rows_at_ranks(df: DataFrame, group: str, keys: Sequence[Column | str],
     for total in sorted(totals, key=lambda row: (row[group], row[RUN])):
         pieces[total[group]].append(total)
 
-    targets: dict[tuple[int, int, int], list[tuple[int, int]]] = defaultdict(list)
     picked = {number: Picked(sum(part["size"] for part in parts), {}) for number, parts in pieces.items()}
+    targets = []
     for number, parts in pieces.items():
         for rank in sorted(set(wanted(picked[number].size))):
             passed = 0
             for part in parts:
                 if rank < passed + part["size"]:
-                    targets[(number, part[RUN], part["begin"])].append((rank, rank - passed))
+                    targets.append((number, part[RUN], rank, rank - passed, part["begin"] + rank - passed))
                     break
                 passed += part["size"]
     if not targets:
         return picked
 
+    asked = F.broadcast(df.sparkSession.createDataFrame(  # one row per rank asked for
+        targets, f"{group} INT, {RUN} INT, _rank BIGINT, _ahead BIGINT, {PLACE} BIGINT"))
+    touched = runs.filter(F.col(RUN).isin(sorted({target[1] for target in targets})))
     if weight is None:
-        hit = _any_of(
-            (F.col(group) == number) & (F.col(RUN) == run)
-            & F.col(PLACE).isin([begin + ahead for _, ahead in places])
-            for (number, run, begin), places in targets.items()
-        )
-        found = runs.filter(hit).collect()  # as many rows as ranks asked for
-        at = {(row[group], row[RUN], row[PLACE]): row for row in found}
-        for (number, run, begin), places in targets.items():
-            for rank, ahead in places:
-                picked[number].rows[rank] = at[(number, run, begin + ahead)]
-        return picked
-
-    within = W.partitionBy(group, RUN).orderBy(PLACE)
-    counted = (
-        runs.filter(_any_of((F.col(group) == number) & (F.col(RUN) == run) for number, run, _ in targets))
-        .withColumn("_upto", F.sum(weight).over(within.rowsBetween(W.unboundedPreceding, W.currentRow)))
-        .withColumn("_from", F.col("_upto") - F.col(weight))
-    )
-    hit = _any_of(
-        (F.col(group) == number) & (F.col(RUN) == run) & (F.col("_from") <= ahead) & (ahead < F.col("_upto"))
-        for (number, run, _), places in targets.items() for _, ahead in places
-    )
-    found = counted.filter(hit).collect()  # at most as many rows as ranks asked for
-    for (number, run, _), places in targets.items():
-        for rank, ahead in places:
-            picked[number].rows[rank] = next(
-                row for row in found
-                if row[group] == number and row[RUN] == run and row["_from"] <= ahead < row["_upto"]
-            )
+        found = touched.join(asked, [group, RUN, PLACE])
+    else:
+        upto = F.sum(weight).over(W.partitionBy(group, RUN).orderBy(PLACE)
+                                  .rowsBetween(W.unboundedPreceding, W.currentRow))
+        counted = touched.withColumn("_upto", upto).join(asked.drop(PLACE), [group, RUN])
+        found = counted.filter((F.col("_ahead") < F.col("_upto"))
+                               & (F.col("_ahead") >= F.col("_upto") - F.col(weight)))
+    for row in found.collect():  # as many rows as ranks asked for
+        picked[row[group]].rows[row["_rank"]] = row
     return picked
-
-
-def _any_of(conditions) -> Column:
-    joined = None
-    for condition in conditions:
-        joined = condition if joined is None else joined | condition
-    return joined

@@ -13,7 +13,7 @@ from patronage.functions.numbers import money, number
 from patronage.functions.text import customer_label, keyword_category, tidy_title
 from patronage.operators.ranking import global_row_number
 from patronage.operators.rollups import monthly
-from patronage.session import staged
+from patronage.session import LINE, staged_lines
 
 COST_SHARE = "0.65"
 CHANNEL = "Online"
@@ -50,7 +50,7 @@ def prepare(raw: DataFrame, formats: Sequence[str] = (), order: Sequence[str] =
     price. The raw text is parsed once; the typed lines are stored for the tables
     made from them.
     """
-    lines = staged(typed_lines(raw, formats), "lines")
+    lines = staged_lines(typed_lines(raw, formats), "lines")
     products = product_table(lines)
     purchases = purchase_lines(lines, products)
     return Prepared(
@@ -95,7 +95,9 @@ def purchase_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def transaction_table(purchases: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Numbered transactions; the place of a stored line tells copies apart, however many there are."""
     keys = list(order) or ["invoice_date", "invoice", "stock_code", "customer_id", "quantity", "unit_price"]
+    keys += [LINE] if LINE in purchases.columns else []
     numbered = global_row_number(purchases, keys, "transaction_id")
     cost = F.round(F.col("order_amount") * F.lit(COST_SHARE).cast("decimal(3,2)"), 2)
     return numbered.select(

@@ -44,7 +44,7 @@ from patronage.plans.forecast import (
 from patronage.plans.master import as_document, customer_master, customer_profile, register_master_view
 from patronage.plans.mart import build_mart, payload, write_mart
 from patronage.schemas import empty_table
-from patronage.session import shared_folder, staged
+from patronage.session import shared_folder, staged, staged_lines
 from patronage.sinks.files import manifest
 from patronage.sources import star
 from patronage.sources.star import star_tables
@@ -390,7 +390,7 @@ def _typed_retail(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _purchases(spark: SparkSession, folder: str) -> DataFrame:
-    lines = staged(_typed_retail(spark, folder), "lines")
+    lines = staged_lines(_typed_retail(spark, folder), "lines")
     return retail.purchase_lines(lines, retail.product_table(lines))
 
 
