@@ -69,5 +69,6 @@ def staged_lines(df: DataFrame, label: str) -> DataFrame:
 
 def at_once(jobs: Sequence[Callable[[], Any]]) -> list:
     """Results of independent jobs, submitted to Spark at the same time."""
+    inherit = inheritable_thread_target(SparkSession.active())
     with ThreadPoolExecutor(max_workers=max(len(jobs), 1)) as pool:
-        return [future.result() for future in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        return [future.result() for future in [pool.submit(inherit(job)) for job in jobs]]
