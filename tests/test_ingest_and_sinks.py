@@ -1,0 +1,187 @@
+from __future__ import annotations
+
+import datetime as dt
+import json
+
+import pytest
+from conftest import customer, sale
+
+from patronage.errors import DataValidationError
+from patronage.operators.loading import compare_with_ledger, file_checksums, new_files
+from patronage.plans.ingest import latest_version, load_files, read_ledger
+from patronage.plans.mart import build_mart, payload, segmented_export, write_mart
+from patronage.schemas import empty_table
+from patronage.sinks import database
+from patronage.sinks.files import manifest, write_csv, write_tables
+from patronage.sources.files import (
+    csv_header,
+    load_retail,
+    load_tables,
+    read_csv,
+    read_database,
+    read_raw_retail,
+)
+
+DAY = dt.datetime(2024, 1, 15)
+
+
+def write(folder, name: str, text: str) -> str:
+    path = folder / name
+    path.write_text(text, encoding="utf-8")
+    return str(path)
+
+
+def test_load_upsert_and_reload(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    write(inbox, "a.csv", "customer_id,name,signup_date,email\n1,ann,2024-01-01,a@x\n2,bob,2024-01-02,b@x\n"
+                          "2,bobby,2024-01-03,b@x\n")
+    loaded = load_files(spark, root, "customers", f"{inbox}/*.csv")
+    assert [row.status for row in loaded.files.collect()] == ["completed"]
+    rows = {row.customer_id: row for row in latest_version(spark, root, "customers").collect()}
+    assert rows[2].name == "Bobby" and rows[1].email == "a@x" and rows[1].is_active is True
+
+    again = load_files(spark, root, "customers", f"{inbox}/*.csv")
+    assert [row.status for row in again.files.collect()] == ["duplicate"]
+    assert [row.rows_loaded for row in again.files.collect()] == [2] and again.version is None
+
+    write(inbox, "b.csv", "customer_id,name,signup_date\n2,robert,2024-01-09\n3,cy,2024-02-01\n")
+    load_files(spark, root, "customers", f"{inbox}/b.csv")
+    rows = {row.customer_id: row for row in latest_version(spark, root, "customers").collect()}
+    assert (rows[2].name, rows[2].email, rows[1].name, rows[3].name) == ("Robert", "b@x", "Ann", "Cy")
+    ledger = read_ledger(spark, root).orderBy("created_at").collect()
+    assert [row.row_count for row in ledger] == [2, 2]
+    report = json.loads(ledger[0].quality_report)
+    assert report["counts"]["duplicates_removed"] == 1
+    assert [entry["column_name"] for entry in report["columns"]] == ["customer_id", "email", "name", "signup_date"]
+
+
+def test_failed_load_leaves_no_entry(spark, tmp_path):
+    path = write(tmp_path, "a.csv", "customer_id,name,signup_date\n1,,soon\n")
+    with pytest.raises(DataValidationError):
+        load_files(spark, str(tmp_path / "out"), "customers", path)
+    assert read_ledger(spark, str(tmp_path / "out")).count() == 0
+
+
+def test_same_bytes_under_two_names_are_one_batch(spark, tmp_path):
+    for name in ("a.csv", "b.csv"):
+        write(tmp_path, name, "x\n1\n")
+    write(tmp_path, "c.csv", "x\n2\n")
+    files = file_checksums(spark, f"{tmp_path}/*.csv")
+    ledger = empty_table(spark, "ingestion_batches")
+    found = {row.file_name: row for row in compare_with_ledger(files, ledger).collect()}
+    assert {name: row.status for name, row in found.items()} == {
+        "a.csv": "completed", "b.csv": "duplicate", "c.csv": "completed"}
+    assert found["a.csv"].batch_id == found["b.csv"].batch_id
+    assert sorted(row.file_name for row in new_files(files, ledger).collect()) == ["a.csv", "c.csv"]
+
+
+def test_csv_keeps_file_order_over_splits(spark, tmp_path):
+    text = "id,v\n" + "".join(f"{n % 3},{n}\n" for n in range(4000))
+    path = write(tmp_path, "a.csv", text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = read_csv(spark, path, csv_header(spark, path))
+        assert rows.rdd.getNumPartitions() > 3
+        from patronage.operators.cleaning import last_per_key
+
+        assert {(r.id, r.v) for r in last_per_key(rows, "id", "ingest_seq").collect()} == {
+            ("0", "3999"), ("1", "3997"), ("2", "3998")}
+        assert [int(r.v) for r in rows.orderBy("ingest_seq").collect()] == list(range(4000))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_other_file_kinds_are_refused(spark):
+    with pytest.raises(DataValidationError):
+        read_csv(spark, "book.docx", ["a"])
+
+
+def test_tables_round_trip(spark, make, tmp_path):
+    tables = make(customers=[customer(1)], transactions=[
+        sale(1, 1, 2.0, DAY), sale(2, 1, 3.0, DAY + dt.timedelta(days=40))])
+    write_tables({name: tables._asdict()[name] for name in ("customers", "products", "transactions")}, str(tmp_path))
+    months = sorted(path.name for path in (tmp_path / "transactions").glob("order_month=*"))
+    assert months == ["order_month=2024-01", "order_month=2024-02"]
+    for name in ("customers", "products", "transactions"):
+        (tmp_path / name).rename(tmp_path / f"{name}.parquet")
+    read = load_retail(spark, str(tmp_path))
+    assert read.transactions.count() == 2 and read.marketing.count() == 0
+    tables.customers.write.mode("overwrite").saveAsTable("people_of_test")
+    assert load_tables(spark, {"customers": "people_of_test"}).customers.first().name == "C1"
+    spark.sql("DROP TABLE people_of_test")
+
+
+def test_manifest(make):
+    tables = make(customers=[customer(1), customer(2)])
+    found = {tuple(row) for row in manifest({"customers": tables.customers, "products": tables.products}).collect()}
+    assert found == {("customers", 2, 10), ("products", 0, 5)}
+
+
+def test_sheets_are_stacked_by_position(spark):
+    one = spark.createDataFrame([tuple("abcdefgh")], "a1 STRING, b1 STRING, c1 STRING, d1 STRING, e1 STRING, "
+                                                     "f1 STRING, g1 STRING, h1 STRING")
+    stacked = read_raw_retail([one, one.toDF(*[f"other{n}" for n in range(8)])])
+    assert stacked.columns[0] == "invoice" and stacked.count() == 2
+
+
+def shop(make):
+    return make(
+        customers=[customer(n, state="AB"[n % 2]) for n in range(1, 7)],
+        products=[{"product_id": 1, "product_name": "P", "category": "X", "unit_price": 1.0, "unit_cost": 1.0}],
+        transactions=[sale(n, 1 + n % 5, 1.5 * n, DAY + dt.timedelta(days=30 * n)) for n in range(1, 12)])
+
+
+def test_mart_files_and_document(spark, make, tmp_path):
+    mart = build_mart(shop(make))
+    counts = {row.table: row.rows for row in write_mart(mart, str(tmp_path)).collect()}
+    assert counts["customer_master"] == 6 and counts["monthly_revenue"] == 11 and counts["products"] == 1
+    back = spark.read.option("header", True).csv(f"{tmp_path}/geography")
+    assert back.columns == ["state", "customers", "revenue"] and back.count() == 2
+    document = json.loads(payload(mart).first()[0])
+    assert list(document) == ["dataset", "kpis", "monthly", "segments", "geography", "categories",
+                              "recommendations", "data_dictionary"]
+    assert document["kpis"]["customers"] == 6 and len(document["monthly"]) == 11
+    assert [row["month"] for row in document["monthly"]] == sorted(row["month"] for row in document["monthly"])
+    revenues = [row["revenue"] for row in document["geography"]]
+    assert revenues == sorted(revenues, reverse=True)
+    queue = [(row["customer_id"], row["expected_value"]) for row in document["recommendations"]]
+    assert len(queue) == counts["recommendations"]
+
+
+def test_segmented_export(spark, make, tmp_path):
+    segmented_export(shop(make), str(tmp_path / "out"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "out"))
+    assert back.count() == 6 and "segment" in back.columns
+
+
+def test_nested_columns_become_json(spark, tmp_path):
+    write_csv(spark.sql("SELECT 1 AS a, named_struct('x', 2) AS b"), str(tmp_path / "out"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).first().b is not None
+
+
+def test_database_sink_clears_children_first_and_fills_parents_first(make, monkeypatch):
+    calls = []
+    monkeypatch.setattr(database, "_write", lambda df, name, url, properties, mode, **options: calls.append(
+        (mode, name, options)))
+    tables = make()._asdict()
+    database.load_database({name: tables[name] for name in ("customers", "products", "transactions")}, "jdbc:x")
+    assert [call[:2] for call in calls] == [
+        ("overwrite", "transactions"), ("overwrite", "products"), ("overwrite", "customers"),
+        ("append", "customers"), ("append", "products"), ("append", "transactions")]
+    assert calls[-1][2] == {"batchsize": 25_000} and calls[0][2] == {"truncate": True}
+
+
+def test_database_source_reads_ranges():
+    class Reader:
+        def jdbc(self, **options):
+            return options
+
+    class Session:
+        read = Reader()
+
+    options = read_database(Session(), "jdbc:x", "customers", "customer_id", (1, 100), 8)
+    assert (options["column"], options["lowerBound"], options["upperBound"], options["numPartitions"]) == (
+        "customer_id", 1, 100, 8)

@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import datetime as dt
+
+from conftest import by_key
+
+from patronage.plans.retail import prepare, typed_lines
+from patronage.schemas import RAW_RETAIL
+
+
+def raw(spark, rows):
+    names = ["invoice", "stock_code", "description", "quantity", "invoice_date", "unit_price", "customer_id",
+             "country"]
+    assert names == RAW_RETAIL
+    return spark.createDataFrame(rows, ", ".join(f"{name} STRING" for name in names))
+
+
+LINES = [
+    ("1", " A ", "tea cup", "2", "2024-01-05 10:00:00", "1.255", "7", "UK"),
+    ("C1", "A", "tea cup old", "-1", "2024-01-06", "2", "7", "FR"),
+    ("c2", "B", "red BAG", "1", "2024-03-01", "4", "8", "UK"),
+    (None, "B", "red bag new", "3", "2024-03-02", "5", "8.0", " DE "),
+    ("3", "B", "red bag", "0", "2024-01-02", "4", "9", "UK"),
+    ("4", "C", "thing", "1", "2024-01-02", "0", "9", None),
+    ("5", "A", "tea cup", "1", "2024-01-02", "1", None, "UK"),
+    ("6", "A", "tea cup", "1", "never", "9", "7", "UK"),
+    ("7", "D", None, "1", "2024-01-02", "1", "7", "UK"),
+    ("8", "A", "tea cup", "1", "2024-01-07", "1.5", "8", "DE"),
+    ("8", "A", "tea cup", "1", "2024-01-07", "1.5", "8", "DE"),
+]
+
+
+def test_flags(spark):
+    flags = [row.is_cancelled for row in typed_lines(raw(spark, LINES)).collect()]
+    assert flags == [False, True, True, False, False, False, False, False, False, False, False]
+
+
+def test_products_take_the_latest_line_and_number_by_code(spark):
+    found = by_key(prepare(raw(spark, LINES)).products, "product_id")
+    # an undated line counts as the latest; code C has no price and D no description
+    assert {n: (row.product_name, row.unit_price, row.category) for n, row in found.items()} == {
+        1: ("Tea Cup", 9.0, "Kitchen & Dining"), 2: ("Red Bag New", 5.0, "Bags & Accessories")}
+    assert found[2].unit_cost == 3.25
+
+
+def test_transactions(spark):
+    rows = prepare(raw(spark, LINES)).transactions.orderBy("transaction_id").collect()
+    assert [row.transaction_id for row in rows] == [1, 2, 3, 4, 5, 6]
+    assert [(row.customer_id, row.product_id, row.quantity, row.order_amount, row.status) for row in rows] == [
+        (7, 1, 2, 2.51, "completed"), (7, 1, 1, 2.0, "cancelled"), (8, 1, 1, 1.5, "completed"),
+        (8, 1, 1, 1.5, "completed"), (8, 2, 1, 4.0, "cancelled"), (8, 2, 3, 15.0, "completed")]
+    assert (rows[0].cost_amount, rows[0].discount_amount, rows[0].channel) == (1.63, 0.0, "Online")
+
+
+def test_given_order_decides_the_numbers(spark):
+    lines = raw(spark, LINES).selectExpr("*", "CASE WHEN invoice IS NULL THEN 0 ELSE 1 END AS place")
+    rows = prepare(lines, order=["place", "invoice_date"]).transactions.orderBy("transaction_id").collect()
+    assert rows[0].order_amount == 15.0
+
+
+def test_customers(spark):
+    found = by_key(prepare(raw(spark, LINES)).customers, "customer_id")
+    assert {n: (row.name, row.state, row.signup_date) for n, row in found.items()} == {
+        7: ("Customer 7", "UK", dt.date(2024, 1, 2)),
+        8: ("Customer 8", "DE", dt.date(2024, 1, 7)),
+        9: ("Customer 9", "UK", dt.date(2024, 1, 2))}
+    assert found[7].gender == "Unknown" and found[7].age is None
+
+
+def test_smallest_country_wins_a_tie(spark):
+    lines = [("1", "A", "x", "1", "2024-01-01", "1", "7", country) for country in ("UK", "FR", None, None, None)]
+    assert prepare(raw(spark, lines)).customers.first().state == "FR"
+    nowhere = [("1", "A", "x", "1", "2024-01-01", "1", "7", None)]
+    assert prepare(raw(spark, nowhere)).customers.first().state == "Unknown"
+
+
+def test_monthly_summary_fills_gaps(spark):
+    rows = prepare(raw(spark, LINES)).monthly_summary.orderBy("invoice_date").collect()
+    assert [(row.invoice_date.month, row.revenue, row.orders, row.units) for row in rows] == [
+        (1, 5.51, 2, 4), (2, 0.0, 0, 0), (3, 15.0, 0, 3)]
+
+
+def test_many_copies_are_all_numbered(spark):
+    lines = [LINES[0]] * 300 + [LINES[2]] * 100
+    rows = prepare(raw(spark, lines).repartition(6)).transactions.collect()
+    assert sorted(row.transaction_id for row in rows) == list(range(1, 401))
