@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -14,6 +15,11 @@ def naive(moment: Column | str) -> Column:
     return (F.col(moment) if isinstance(moment, str) else moment).cast(NAIVE)
 
 
+def moment_literal(moment: dt.datetime) -> Column:
+    """The wall-clock time as it stands; a datetime literal would pass through two time zones."""
+    return F.lit(moment.replace(tzinfo=None).isoformat(sep=" ")).cast(NAIVE)
+
+
 def whole_days(later: Column, earlier: Column) -> Column:
     """Full 24-hour days between two moments (calendar days would count 13:00 to 12:00 as one)."""
     return F.extract(F.lit("DAY"), naive(later) - naive(earlier)).cast("int")

@@ -62,7 +62,7 @@ def global_row_number(df: DataFrame, keys: Sequence[Column | str], name: str) ->
 
 
 def global_dense_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
-    """Dense rank of ``value``, largest first; equal values share a rank across runs."""
+    """Dense rank of ``value``, largest first; equal values share a rank across runs, null has none."""
     runs = sorted_runs(df, F.col(value).desc(), F.col(tie).asc())
     edges = (
         runs.groupBy(RUN)
@@ -80,7 +80,7 @@ def global_dense_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFra
     return (
         runs.withColumn("_within", within)
         .join(F.broadcast(offsets), RUN)  # as many rows as there are runs
-        .withColumn(name, (F.col("_start") + F.col("_within")).cast("int"))
+        .withColumn(name, F.when(F.col(value).isNotNull(), F.col("_start") + F.col("_within")).cast("int"))
         .drop(RUN, PLACE, "_start", "_within")
     )
 

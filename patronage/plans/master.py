@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.functions.dates import iso_text, naive, whole_days
+from patronage.functions.dates import iso_text, moment_literal, naive, whole_days
 from patronage.operators.features import (
     as_of_date,
     is_completed,
@@ -75,16 +75,17 @@ def customer_master(tables: Tables, as_of: dt.datetime | Column | None = None, c
     if set(wanted).intersection(SUPPORT):
         joined = joined.join(support_features(tables.support), "customer_id", "left")
 
-    moment = None
     if from_data:
         joined = staged(joined, "master")
-        last = joined.agg(F.max("last_activity")).scalar()
-        moment = F.coalesce(last + F.expr("INTERVAL 1 DAY"), F.localtimestamp())
+        # one value; as a literal it folds into every expression that uses it
+        last = joined.agg(F.max("last_activity")).first()[0]
+        as_of = last + dt.timedelta(days=1) if last is not None else F.localtimestamp()
         joined = joined.filter("_on_file")
     elif reuse:
         joined = staged(joined, "master")
-    if needs_date and as_of is not None:
-        moment = naive(as_of if isinstance(as_of, Column) else F.lit(as_of))
+    moment = None
+    if needs_date:
+        moment = as_of if isinstance(as_of, Column) else moment_literal(as_of)
     return joined.select(*[_column(name, identity, moment).alias(name) for name in wanted])
 
 
