@@ -21,6 +21,14 @@ def spark():
     session.stop()
 
 
+@pytest.fixture
+def many_runs(spark):
+    """Small shuffles keep all their partitions, so that sorted runs are more than one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.fixture(scope="session")
 def make(spark):
     """Domain tables from lists of dicts; a table not named is empty."""

@@ -121,7 +121,7 @@ def test_profile_counts_null_rows_as_duplicates(spark):
     assert found["b"]["duplicate_rows"] == 1 and found["b"]["missing"] == 2
 
 
-def test_profile_quartiles_with_a_frequent_value(spark):
+def test_profile_quartiles_with_a_frequent_value(spark, many_runs):
     import numpy as np
 
     values = [7.0] * 400 + [float(n * n % 311) for n in range(800)]

@@ -80,7 +80,7 @@ def test_monthly_summary_fills_gaps(spark):
         (1, 5.51, 2, 4), (2, 0.0, 0, 0), (3, 15.0, 0, 3)]
 
 
-def test_many_copies_are_all_numbered(spark):
+def test_many_copies_are_all_numbered(spark, many_runs):
     lines = [LINES[0]] * 300 + [LINES[2]] * 100
     rows = prepare(raw(spark, lines).repartition(6)).transactions.collect()
     assert sorted(row.transaction_id for row in rows) == list(range(1, 401))

@@ -7,7 +7,7 @@ from conftest import by_key
 from pyspark.sql import functions as F
 
 from patronage.operators import rollups
-from patronage.operators.ranking import global_dense_rank, global_row_number, rows_at_ranks
+from patronage.operators.ranking import global_dense_rank, global_row_number, rows_at_ranks, sorted_runs
 from patronage.operators.segments import rfm_segments
 from patronage.operators.value import (
     action_queue,
@@ -32,7 +32,7 @@ def expected_quarters(values: list, count: int) -> list[int]:
 
 
 @pytest.mark.parametrize("n", [4, 6, 7, 10, 37])
-def test_quartiles_with_ties_and_a_non_buyer(spark, n):
+def test_quartiles_with_ties_and_a_non_buyer(spark, many_runs, n):
     draw = random.Random(n)
     rows = [(i, draw.randint(0, 3), draw.randint(1, 2), float(draw.randint(1, 3))) for i in range(n)]
     scored = by_key(rfm_segments(spark.createDataFrame([*rows, (n, 9999, 0, 0.0)], RFM)), "customer_id")
@@ -77,17 +77,18 @@ def test_lifetime_value(spark, orders, retention):
     assert all(row.predicted_clv == pytest.approx(100.0 * 2.0 * 0.3 * years) for row in found)
 
 
-def test_dense_rank_with_ties(spark):
+def test_dense_rank_with_ties(spark, many_runs):
     rows = [(1, "a", 2, 10.0, 1.0), (2, "b", 2, 30.0, 1.0), (3, "c", 2, 30.0, 1.0), (4, "d", 2, 20.0, 1.0)]
     ranked = by_key(lifetime_value_ranked(spark.createDataFrame(rows, VALUE)), "customer_id")
     assert [ranked[i].clv_rank for i in (1, 2, 3, 4)] == [3, 1, 1, 2]
 
 
-def test_global_ranks_equal_window_ranks_over_many_runs(spark):
+def test_global_ranks_equal_window_ranks_over_many_runs(spark, many_runs):
     draw = random.Random(3)
     # a third of the rows share one value
     rows = [(i, 0.0 if i % 3 == 0 else float(draw.randint(1, 400))) for i in range(5000)]
     df = spark.createDataFrame(rows, "id BIGINT, v DOUBLE").repartition(7)
+    assert sorted_runs(df, "v", "id").select("_run").distinct().count() > 2
     levels = {value: place for place, value in enumerate(sorted({v for _, v in rows}, reverse=True), start=1)}
     dense = global_dense_rank(df, "v", "id", "rank").collect()
     assert len(dense) == 5000 and all(row.rank == levels[row.v] for row in dense)
@@ -96,7 +97,7 @@ def test_global_ranks_equal_window_ranks_over_many_runs(spark):
         (place, v, i) for place, (v, i) in enumerate(sorted((v, i) for i, v in rows), start=1)]
 
 
-def test_rows_at_ranks_with_weights(spark):
+def test_rows_at_ranks_with_weights(spark, many_runs):
     df = spark.createDataFrame([(0, float(v), v) for v in range(1, 60)] + [(1, 5.0, 3)], "g INT, v DOUBLE, w INT")
     wide = sorted(v for v in range(1, 60) for _ in range(v))
     picked = rows_at_ranks(df, "g", ["v"], lambda n: [0, n // 3, n - 1], weight="w")
@@ -106,6 +107,13 @@ def test_rows_at_ranks_with_weights(spark):
     assert {row["v"] for row in picked[1].rows.values()} == {5.0}
 
 
+def test_unknown_values_have_no_rank_and_a_shared_value_spans_runs(spark, many_runs):
+    rows = [(i, None if i < 50 else 1.0 if i < 700 else 2.0) for i in range(1000)]
+    df = spark.createDataFrame(rows, "id BIGINT, v DOUBLE").repartition(4)
+    found = {(row.v, row.rank) for row in global_dense_rank(df, "v", "id", "rank").collect()}
+    assert found == {(None, None), (1.0, 2), (2.0, 1)}
+
+
 def test_risk_band_edges(spark):
     probabilities = [0.35, 0.350001, 0.3501, 0.65, 0.6500001, 0.6501]
     df = spark.createDataFrame([(i, "n", p) for i, p in enumerate(probabilities)],
