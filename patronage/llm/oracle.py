@@ -115,3 +115,33 @@ FROM (SELECT *, CASE WHEN ends_with(dotted, '.www.example.com') AND starts_with(
         WHEN ends_with(dotted, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/'
         WHEN ends_with(dotted, '.com') AND starts_with(path, '/') THEN 'com/' END AS rule FROM ruled)
 """
+
+
+def shingles_sql(words: int = 5) -> str:
+    """CTEs that end in ``shingles`` (doc_id, s): the distinct shingles of every document."""
+    ahead = ", ".join(f"lead(w, {i}) OVER o AS w{i}" for i in range(1, words))
+    joined = " || ' ' || ".join(["w", *[f"w{i}" for i in range(1, words)]])
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""
+texts AS (SELECT doc_id, regexp_extract_all(translate(text, '{upper}', '{lower}'), '{WORD}') AS words FROM documents),
+places AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS p, len(words) AS n FROM texts),
+runs AS (SELECT doc_id, n, w, {ahead} FROM places WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+shingles AS (
+  SELECT DISTINCT doc_id, {joined} AS s FROM runs WHERE w{words - 1} IS NOT NULL
+  UNION SELECT doc_id, array_to_string(words, ' ') FROM texts WHERE len(words) BETWEEN 1 AND {words - 1})"""
+
+
+ORACLE["op9_minhash"] = f"""
+WITH RECURSIVE {shingles_sql()},
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS doc_id, least(a, min(b)) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.c, d.doc_id) AS component_id,
+       coalesce(l.c, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+"""

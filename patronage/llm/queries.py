@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, mixing, quality, urls
+from patronage.llm import bpe, minhash, mixing, quality, urls
 from patronage.llm.common import held_out, read, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,8 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     outcomes = shown.join(read(spark, folder, "labels", "doc_id", "quality"), "doc_id").select(
         "url", (1 - F.col("quality")).alias("bad"))
     return urls.judged(pages, "page_id", "url", outcomes, URL_RULES)
+
+
+@query
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
