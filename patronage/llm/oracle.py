@@ -145,3 +145,24 @@ SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, coalesce(l.c, d
        coalesce(l.c, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
 """
+
+_PASSAGE = 50  # 32 + 16 + 2 words, joined by doubling
+_OVER = "OVER (PARTITION BY doc_id ORDER BY p)"
+ORACLE["op10_repeated_passages"] = f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(text, '{WORD}') AS words FROM documents WHERE doc_id IS NOT NULL),
+w1 AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p, len(words) AS n FROM texts),
+w2 AS (SELECT *, w || ' ' || lead(w, 1) {_OVER} AS a2 FROM w1),
+w4 AS (SELECT *, a2 || ' ' || lead(a2, 2) {_OVER} AS a4 FROM w2),
+w8 AS (SELECT *, a4 || ' ' || lead(a4, 4) {_OVER} AS a8 FROM w4),
+w16 AS (SELECT *, a8 || ' ' || lead(a8, 8) {_OVER} AS a16 FROM w8),
+w32 AS (SELECT *, a16 || ' ' || lead(a16, 16) {_OVER} AS a32 FROM w16),
+w50 AS (SELECT doc_id, p, n, a32 || ' ' || lead(a16, 32) {_OVER} || ' ' || lead(a2, 48) {_OVER} AS s FROM w32),
+seen AS (
+  SELECT doc_id, p, first_value(doc_id) OVER o AS source, first_value(p) OVER o AS source_p, row_number() OVER o AS k
+  FROM w50 WHERE p + {_PASSAGE} <= n WINDOW o AS (PARTITION BY s ORDER BY doc_id, p)),
+later AS (SELECT *, p > lag(p) {_OVER} + {_PASSAGE} AS apart FROM seen WHERE k > 1),
+islands AS (SELECT *, sum(CASE WHEN apart IS NOT FALSE THEN 1 ELSE 0 END) {_OVER} AS island FROM later)
+SELECT doc_id, CAST(min(p) AS BIGINT) AS start_word, CAST(max(p) - min(p) + {_PASSAGE} AS BIGINT) AS n_words,
+       arg_min(source, p) AS source_doc_id, CAST(arg_min(source_p, p) AS BIGINT) AS source_start
+FROM islands GROUP BY doc_id, island
+"""

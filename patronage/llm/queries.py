@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, minhash, mixing, quality, urls
+from patronage.llm import bpe, minhash, mixing, quality, suffixes, urls
 from patronage.llm.common import held_out, read, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,3 +104,8 @@ def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query
+def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.repeated_spans(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
