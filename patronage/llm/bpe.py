@@ -18,13 +18,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 import regex
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.llm.common import slices
@@ -38,7 +40,8 @@ LATIN = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN_PIECES = re.compile(rf" ?[{LATIN}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s{LATIN}0-9]+|\s+(?!\S)|\s+", re.ASCII)
 NOT_PLAIN = re.compile(rf"[^\x00-\x7F{LATIN}]")
 NONE = np.int64(1) << 40
-KNOWN_PIECES = 200_000
+KNOWN_PIECES = 100_000
+SLICE = 500_000
 
 
 class _Index(dict):
@@ -185,7 +188,7 @@ def encoded(text: Column, path: str) -> Column:
     def encode(texts: pd.Series) -> pd.Series:
         vocab, values = vocabulary(path), texts.tolist()
         out: list[np.ndarray] = []
-        for begin, end in slices(values):
+        for begin, end in slices(values, SLICE):
             out += vocab.encode(values[begin:end])
         return pd.Series(out, index=texts.index, dtype=object)
 
@@ -201,3 +204,27 @@ def decoded(ids: Column, path: str) -> Column:
         return pd.Series([vocab.decode(row) for row in rows], index=rows.index, dtype=object)
 
     return decode(ids)
+
+
+def round_trip(documents: DataFrame, text: str, path: str, keep: Sequence[str]) -> DataFrame:
+    """The columns ``keep``, the ids of the text, and the text that the ids decode to.
+
+    One pass through Python for both, which hands on a slice of texts at a time.
+    """
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(path)
+        for batch in batches:
+            values = batch.column(len(keep))
+            lengths = [value.as_py() for value in pa.compute.binary_length(values)]
+            for begin, end in slices([range(length or 0) for length in lengths], SLICE):
+                rows = vocab.encode(values[begin:end].to_pylist())
+                offsets = np.concatenate(([0], np.cumsum(list(map(len, rows)), dtype=np.int32))).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32)))
+                back = pa.array([vocab.decode(row) for row in rows], pa.string())
+                part = [batch.column(i)[begin:end] for i in range(len(keep))]
+                yield pa.RecordBatch.from_arrays([*part, ids, back], [*keep, "ids", "decoded"])
+
+    kept = documents.select(*keep, F.col(text).alias("_text"))
+    schema = ", ".join([f"`{field.name}` {field.dataType.simpleString()}" for field in kept.schema[:-1]]
+                       + ["ids array<int>", "decoded string"])
+    return kept.mapInArrow(both, schema)

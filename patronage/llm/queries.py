@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, minhash, mixing, quality, suffixes, urls
+from patronage.llm import bpe, langid, minhash, mixing, quality, suffixes, toxicity, urls
 from patronage.llm.common import held_out, read, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,12 +66,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 @query
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = vocabulary_path()
-    ids = read(spark, folder, "documents", "doc_id", "text").select(
-        "doc_id", bpe.encoded(F.col("text"), path).alias("ids"))
-    back = ids.select("doc_id", "ids", bpe.decoded(F.col("ids"), path).alias("decoded"))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
-                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"))
+    documents = read(spark, folder, "documents", "doc_id", "text")
+    return bpe.round_trip(documents, "text", path, ["doc_id"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
@@ -109,3 +108,22 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.repeated_spans(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+@query
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents", "doc_id", "text", "lang")
+    model = langid.fit(documents.filter(~held_out("doc_id")), "text", "lang", "doc_id")
+    found = documents.select("doc_id", held_out("doc_id").alias("held_out"),
+                             langid.predicted(F.col("text"), model).alias("_p"))
+    return found.select("doc_id", "held_out", F.col("_p.lang").alias("lang_pred"), "_p.score", "_p.rejected")
+
+
+@query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read(spark, folder, "documents", "doc_id", "text")
+    labels = read(spark, folder, "labels", "doc_id", "toxic")
+    model = toxicity.fit(documents.filter(~held_out("doc_id")), "doc_id", "text", labels, "doc_id", "toxic")
+    scored = documents.select("doc_id", held_out("doc_id").alias("held_out"),
+                              toxicity.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
