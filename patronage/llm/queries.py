@@ -13,13 +13,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, langid, minhash, mixing, quality, suffixes, toxicity, urls
+from patronage.llm import bpe, langid, minhash, mixing, quality, suffixes, toxicity, urls, vptree
 from patronage.llm.common import held_out, read, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 VOCABULARY = "byte_bpe_50k.json"
 WEB_POLICY = "web.2"
+#: Exact: the vectors have so little structure that leaving out more loses more than it saves.
+NEAREST_FACTOR = 1.0
 URL_RULES = (
     urls.UrlRule("allow", "com", "/"),
     urls.UrlRule("block", "example.com", "/en/"),
@@ -127,3 +129,10 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     scored = documents.select("doc_id", held_out("doc_id").alias("held_out"),
                               toxicity.score(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
+@query
+def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    found = vptree.nearest(read(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding",
+                           F.col("vec_id") % 20 == 0, k=20, factor=NEAREST_FACTOR)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
