@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, langid, minhash, mixing, quality, suffixes, toxicity, urls, vptree
+from patronage.llm import bpe, langid, minhash, mixing, pages, quality, suffixes, toxicity, urls, vptree
 from patronage.llm.common import held_out, read, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,13 +93,13 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op8_url_filter(spark: SparkSession, folder: str) -> DataFrame:
-    pages = read(spark, folder, "pages", "page_id", "url")
+    crawled = read(spark, folder, "pages", "page_id", "url")
     # a page shows the document whose number its path ends in; the label of that document is the page's outcome
     number = F.regexp_extract(urls.path_of(F.col("url")), r"/(\d{1,18})(?:\.html|/)?$", 1)
-    shown = pages.filter(number != "").select("url", number.cast("long").alias("doc_id"))
+    shown = crawled.filter(number != "").select("url", number.cast("long").alias("doc_id"))
     outcomes = shown.join(read(spark, folder, "labels", "doc_id", "quality"), "doc_id").select(
         "url", (1 - F.col("quality")).alias("bad"))
-    return urls.judged(pages, "page_id", "url", outcomes, URL_RULES)
+    return urls.judged(crawled, "page_id", "url", outcomes, URL_RULES)
 
 
 @query
@@ -136,3 +136,9 @@ def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
     found = vptree.nearest(read(spark, folder, "embeddings", "vec_id", "embedding"), "vec_id", "embedding",
                            F.col("vec_id") % 20 == 0, k=20, factor=NEAREST_FACTOR)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query
+def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    found = pages.extracted(read(spark, folder, "pages", "page_id", "url", "html"), "page_id", "url", "html")
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
