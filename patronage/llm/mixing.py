@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from patronage.llm.common import WORD, staged
+from patronage.llm.common import WORD, fresh, staged
 from patronage.operators.ranking import PLACE, RUN, global_row_number, sorted_runs
 
 WEIGHTS = (5, 2, 1)
@@ -109,5 +109,5 @@ def mixed(documents: DataFrame, doc_id: str, source: str, size: Column, weights:
 
 def emitted(documents: DataFrame, copies: Column) -> DataFrame:
     """Every row as often as ``copies`` says."""
-    repeated = F.array_repeat(F.lit(True), copies.cast("int"))
-    return documents.withColumn("_copy", F.explode(repeated)).drop("_copy")
+    copy = fresh("copy")
+    return documents.withColumn(copy, F.explode(F.array_repeat(F.lit(True), copies.cast("int")))).drop(copy)
