@@ -64,7 +64,8 @@ def gram_counts(text: str | None) -> np.ndarray | None:
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first blank after a letter
     one = np.where(letter, points, np.uint32(32))[keep]
-    one = np.concatenate((np.array([32], np.uint32), one))
+    blank = np.array([32], np.uint32)
+    one = np.concatenate((blank, one) if one[-1] == 32 else (blank, one, blank))
     grams = [one * _FACTORS[0] + np.uint32(1)]
     for size in (2, 3):
         longer = grams[-1][:-1] * _FACTORS[1] + one[size - 1:]

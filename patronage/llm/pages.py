@@ -228,7 +228,8 @@ def templates(hosts_pages: DataFrame) -> DataFrame:
     # tokens on at least half of a host's pages: no more than two pages hold
     texts = (vectors.filter(F.col("kind") == TEXT).join(classes, ["host", "vector", "pages"]).join(everywhere, "host")
              .filter(2 * F.col("pages") >= F.col("all")).groupBy("host").agg(F.collect_set("token").alias("texts")))
-    main = (vectors.filter((F.col("kind") == ELEMENT) & (F.col("chars") > 0)).groupBy("host")
+    enough = everywhere.filter(F.col("all") >= LEAST_PAGES).select("host")
+    main = (vectors.filter((F.col("kind") == ELEMENT) & (F.col("chars") > 0)).join(enough, "host").groupBy("host")
             .agg(F.max(F.struct("chars", "token")).alias("_m")).select("host", F.col("_m.token").alias("main")))
     return texts.join(main, "host", "full_outer")
 

@@ -6,7 +6,8 @@ inner product, so that the triangle inequality holds. A tree halves its vectors
 and again by their distance to a vantage point. A search leaves out the half that no
 point within reach can lie in; ``factor`` stretches the distance to the border before
 it is compared with the reach. Factor 1 leaves out only what cannot hold a neighbour
-and is exact; larger factors leave out more and may miss some.
+and is exact; larger factors leave out more and may miss some. They suit vectors of
+about equal length; where lengths differ much, distances say less about products.
 
 Every vector is in the tree of one shard (by a hash of its id). Queries are packed
 into blocks, and every shard is sent every block: the stated queries against all
