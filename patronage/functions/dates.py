@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from patronage.functions.text import stripped
+
 NAIVE = "timestamp_ntz"
 
 
@@ -39,6 +41,6 @@ def iso_text(moment: Column) -> Column:
 
 def parsed_moment(text: Column, formats: Sequence[str] = ()) -> Column:
     """Timestamp from ISO text or one of ``formats``; null where nothing fits."""
-    attempts = [F.trim(text.cast("string")).try_cast(NAIVE)]
-    attempts += [F.try_to_timestamp(F.trim(text.cast("string")), F.lit(form)).cast(NAIVE) for form in formats]
+    attempts = [stripped(text).try_cast(NAIVE)]
+    attempts += [F.try_to_timestamp(stripped(text), F.lit(form)).cast(NAIVE) for form in formats]
     return F.coalesce(*attempts)

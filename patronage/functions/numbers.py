@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MONEY = "decimal(16,4)"  # a difference of three such amounts still fits a long
+from patronage.functions.text import stripped
+
+MONEY = "decimal(18,6)"  # amounts below a trillion, to a millionth
 EXACT = "decimal(38,8)"
 
 
@@ -38,8 +40,9 @@ def exact_mean(value: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Double from text, null where it does not parse."""
-    return F.trim(text.cast("string")).try_cast("double")
+    """Double from text, null where it does not parse or is no number."""
+    parsed = stripped(text).try_cast("double")
+    return F.when(~F.isnan(parsed), parsed)
 
 
 def floored_money(text: Column) -> Column:

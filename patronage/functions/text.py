@@ -18,6 +18,14 @@ CATEGORY_KEYWORDS = {
 }
 OTHER_CATEGORY = "Other"
 
+# Unicode white space, as text editors and other parsers strip it.
+BLANKS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+          "\u2028\u2029\u202f\u205f\u3000")
+
+# Cell texts that stand for a missing value.
+NULL_TEXTS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A",
+              "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+
 # Texts read as true.
 TRUE_TEXTS = ("1", "true", "yes", "y")
 
@@ -27,6 +35,16 @@ def header_name(name: str) -> str:
     return re.sub(r"\s+", "_", name.strip().lower())
 
 
+def stripped(text: Column) -> Column:
+    """Without white space at either end; ``trim`` alone takes off blanks only."""
+    return F.btrim(text.cast("string"), F.lit(BLANKS))
+
+
+def known_text(text: Column) -> Column:
+    """Null for a cell that stands for a missing value."""
+    return F.when(~text.isin(*NULL_TEXTS), text)
+
+
 def title_case(text: Column) -> Column:
     """Capitalise every run of letters: ``o'brien mary-jane`` becomes ``O'Brien Mary-Jane``.
 
@@ -39,7 +57,7 @@ def title_case(text: Column) -> Column:
 
 
 def tidy_title(text: Column) -> Column:
-    return title_case(F.trim(text))
+    return title_case(stripped(text))
 
 
 def tidy_gender(text: Column) -> Column:
@@ -49,19 +67,22 @@ def tidy_gender(text: Column) -> Column:
 
 def truth(text: Column) -> Column:
     """Boolean from text; anything unknown, null included, is false."""
-    return F.coalesce(F.lower(F.trim(text.cast("string"))).isin(*TRUE_TEXTS), F.lit(False))
+    return F.coalesce(F.lower(stripped(text)).isin(*TRUE_TEXTS), F.lit(False))
 
 
 def keyword_category(description: Column) -> Column:
     """First category one of whose words occurs anywhere in the text, else ``Other``."""
-    upper = F.upper(description)
-    choice = None
-    for category, words in CATEGORY_KEYWORDS.items():
-        hit = upper.contains(words[0])
-        for word in words[1:]:
-            hit = hit | upper.contains(word)
-        choice = F.when(hit, category) if choice is None else choice.when(hit, category)
-    return choice.otherwise(OTHER_CATEGORY)
+    def choose(upper: Column) -> Column:
+        choice = F.when(F.lit(False), OTHER_CATEGORY)
+        for category, words in CATEGORY_KEYWORDS.items():
+            hit = upper.contains(words[0])
+            for word in words[1:]:
+                hit = hit | upper.contains(word)
+            choice = choice.when(hit, category)
+        return choice.otherwise(OTHER_CATEGORY)
+
+    # as the only element of an array the upper-case text is made once, not once per word
+    return F.element_at(F.transform(F.array(F.upper(description)), choose), 1)
 
 
 def customer_label(customer_id: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from patronage.errors import DataValidationError
 from patronage.functions.dates import parsed_moment
 from patronage.functions.numbers import floored_money, number
-from patronage.functions.text import header_name, tidy_gender, tidy_title, truth
+from patronage.functions.text import header_name, stripped, tidy_gender, tidy_title, truth
 from patronage.operators.ranking import rows_at_ranks
 from patronage.schemas import (
     BOOLEANS,
@@ -72,7 +72,7 @@ def standardise(rows: DataFrame, dataset: str, mode: str = "strict", sequence: s
     key = check_columns(rows.columns, dataset)[0]
     wholes = _whole_numbers(dataset)
     if key in wholes:  # 7, 07 and 7.0 are the same key
-        rows = rows.withColumn(key, F.coalesce(whole(F.col(key), wholes[key]).cast("string"), F.trim(key)))
+        rows = rows.withColumn(key, F.coalesce(whole(F.col(key), wholes[key]).cast("string"), stripped(F.col(key))))
     cleaned = last_per_key(rows, key, sequence)
     have = set(cleaned.columns)
     changes: dict[str, Column] = {}
@@ -103,8 +103,9 @@ def standardise(rows: DataFrame, dataset: str, mode: str = "strict", sequence: s
 
 
 def whole(text: Column, kind: str) -> Column:
-    """Whole number from text such as ``7`` or ``7.0``; null where it does not parse."""
-    return F.coalesce(F.trim(text.cast("string")).try_cast(kind), number(text).try_cast(kind))
+    """Whole number from text such as ``7`` or ``7.0``; null where it does not parse or has a fraction."""
+    value = number(text)
+    return F.coalesce(stripped(text).try_cast(kind), F.when(value == F.rint(value), value).try_cast(kind))
 
 
 def _whole_numbers(dataset: str) -> dict[str, str]:

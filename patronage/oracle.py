@@ -26,7 +26,7 @@ def month(expression: str) -> str:
     return f"CAST(date_trunc('month', {expression}) AS DATE)"
 
 
-MONEY = "DECIMAL(16,4)"
+MONEY = "DECIMAL(18,6)"
 
 PARTS = {
     "customers": ([], """
@@ -329,8 +329,8 @@ CUSTOMER_TYPES = {"customer_id": "bigint", "name": "string", "age": "int", "gend
                   "state": "string", "signup_date": "date", "email": "string", "is_active": "boolean",
                   "created_at": "timestamp_ntz"}
 TRANSACTION_TYPES = {"transaction_id": "bigint", "customer_id": "bigint", "product_id": "bigint", "quantity": "int",
-                     "order_amount": "decimal(16,4)", "cost_amount": "decimal(16,4)",
-                     "discount_amount": "decimal(16,4)", "order_date": "timestamp_ntz", "channel": "string",
+                     "order_amount": "decimal(18,6)", "cost_amount": "decimal(18,6)",
+                     "discount_amount": "decimal(18,6)", "order_date": "timestamp_ntz", "channel": "string",
                      "status": "string"}
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -9,15 +11,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.operators.cleaning import clean_strict, cleaning_report
-from patronage.operators.loading import compare_with_ledger, file_checksums, new_files, upsert_dataset
+from patronage.operators.loading import (
+    allowed_columns,
+    compare_with_ledger,
+    file_checksums,
+    merged_batches,
+    new_files,
+    upsert_brought,
+)
 from patronage.operators.profiling import profile
-from patronage.schemas import SCHEMAS, empty_table
+from patronage.schemas import DEFAULTS, SCHEMAS, empty_table
 from patronage.sources.files import cast_to, csv_header, read_csv, read_parquet
 from patronage.session import staged
 
 
 class Loaded(NamedTuple):
-    """Outcome per file, and the folder that now holds the dataset (``None`` if nothing changed)."""
+    """Outcome per file with rows and quality report, and the folder of the dataset (``None`` if nothing changed)."""
 
     files: DataFrame
     version: str | None
@@ -43,42 +52,53 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
         return empty_table(spark, "ingestion_batches")
 
 
-def load_files(spark: SparkSession, root: str, dataset: str, path: str) -> Loaded:
+def load_files(spark: SparkSession, root: str, dataset: str, path: str, formats: Sequence[str] = (),
+               multiline: bool = True) -> Loaded:
     """Load the files at ``path`` that were not loaded before.
 
-    Each file becomes a new version of the dataset in a folder named after its
-    checksum; the ledger entry is appended last. A run that dies in between leaves
-    no entry and is simply repeated.
+    Each new file is cleaned as a batch of its own; then all are merged, later files
+    over earlier ones cell by cell, and upserted together into one new version of the
+    dataset. The ledger entries, one per file, are appended last. A run that dies in
+    between leaves no entry and is simply repeated. ``formats`` are date formats read
+    besides ISO.
     """
-    ledger = read_ledger(spark, root)
+    ledger = staged(read_ledger(spark, root), "ledger")
     files = staged(file_checksums(spark, path), "checksums")
     outcome = staged(compare_with_ledger(files, ledger), "outcome")
-    version = None
-    for entry in new_files(files, ledger).orderBy("file_path").collect():  # one row per new file
-        version = _load_one(spark, root, dataset, entry)
-    return Loaded(outcome, version)
-
-
-def _load_one(spark: SparkSession, root: str, dataset: str, entry) -> str:
-    name = entry["file_path"]
-    rows = read_parquet(spark, name) if name.lower().endswith(".parquet") else read_csv(
-        spark, name, csv_header(spark, name))
-    cleaned = clean_strict(rows, dataset)
-    batch_id = entry["checksum"][:32]
-    version = f"{root}/{dataset}/{batch_id}"
-    upsert_dataset(latest_version(spark, root, dataset), cleaned, dataset).write.mode("overwrite").parquet(version)
-    report = quality_report(rows, cleaned, dataset)
-    report.select(
-        F.lit(batch_id).alias("batch_id"),
-        F.lit(dataset).alias("dataset_type"),
-        F.lit(entry["file_name"]).alias("file_name"),
-        F.lit(entry["checksum"]).alias("checksum"),
-        cleaned.agg(F.count("*")).scalar().alias("row_count"),
-        F.lit("completed").alias("status"),
-        F.col("quality_report"),
-        F.localtimestamp().alias("created_at"),
-    ).coalesce(1).write.mode("append").parquet(f"{root}/ingestion_batches")
-    return version
+    entries = new_files(files, ledger).orderBy("file_path").collect()  # one row per new file
+    if not entries:
+        return Loaded(outcome, None)
+
+    def read(entry) -> DataFrame:
+        name = entry["file_path"]
+        if name.lower().endswith(".parquet"):
+            return read_parquet(spark, name)
+        return read_csv(spark, name, csv_header(spark, name), multiline)
+
+    rows = [read(entry) for entry in entries]
+    cleaned = [allowed_columns(clean_strict(each, dataset, formats=formats), dataset) for each in rows]
+    key = cleaned[0].columns[0]
+    version = f"{root}/{dataset}/{entries[-1]['checksum'][:32]}"
+    merged = upsert_brought(latest_version(spark, root, dataset), merged_batches(cleaned, key), key, DEFAULTS[dataset])
+    merged.write.mode("overwrite").parquet(version)
+
+    # entries of one run differ in time by their order, so that the last one names the version
+    now = F.localtimestamp()
+    noted = staged(reduce(DataFrame.unionByName, [
+        quality_report(each, batch, dataset).select(
+            F.lit(entry["checksum"][:32]).alias("batch_id"),
+            F.lit(dataset).alias("dataset_type"),
+            F.lit(entry["file_name"]).alias("file_name"),
+            F.lit(entry["checksum"]).alias("checksum"),
+            batch.agg(F.count("*")).scalar().alias("row_count"),
+            F.lit("completed").alias("status"),
+            F.col("quality_report"),
+            (now + F.expr(f"INTERVAL {number} MICROSECOND")).alias("created_at"),
+        ) for number, (entry, each, batch) in enumerate(zip(entries, rows, cleaned, strict=True))]), "noted")
+    noted.coalesce(1).write.mode("append").parquet(f"{root}/ingestion_batches")
+    counts = noted.select("checksum", F.col("row_count").alias("_count"), "quality_report")
+    return Loaded(outcome.join(counts, "checksum", "left").withColumn(
+        "rows_loaded", F.coalesce("rows_loaded", "_count")).drop("_count"), version)
 
 
 def quality_report(rows: DataFrame, cleaned: DataFrame, dataset: str) -> DataFrame:

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from patronage.functions.dates import parsed_moment
 from patronage.functions.numbers import money, number
-from patronage.functions.text import customer_label, keyword_category, tidy_title
+from patronage.functions.text import customer_label, keyword_category, stripped, tidy_title
+from patronage.operators.cleaning import whole
 from patronage.operators.ranking import global_row_number
 from patronage.operators.rollups import monthly
 from patronage.session import LINE, staged_lines
+from patronage.sources.files import SEQUENCE
 
 COST_SHARE = "0.65"
 CHANNEL = "Online"
@@ -30,14 +32,14 @@ class Prepared(NamedTuple):
 def typed_lines(raw: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
     """Trimmed texts, parsed dates and numbers, and the cancellation flag."""
     lines = raw.withColumns({
-        "invoice": F.trim("invoice"),
-        "stock_code": F.trim("stock_code"),
+        "invoice": stripped(F.col("invoice")),
+        "stock_code": stripped(F.col("stock_code")),
         "description": tidy_title(F.col("description")),
         "invoice_date": parsed_moment(F.col("invoice_date"), formats),
-        "customer_id": number(F.col("customer_id")).try_cast("bigint"),
+        "customer_id": whole(F.col("customer_id"), "bigint"),
         "quantity": number(F.col("quantity")),
         "unit_price": number(F.col("unit_price")),
-        "country": F.trim("country"),
+        "country": stripped(F.col("country")),
     })
     cancelled = F.upper("invoice").startswith("C") | (F.col("quantity") < 0)
     return lines.withColumn("is_cancelled", F.coalesce(cancelled, F.lit(False)))
@@ -46,10 +48,11 @@ def typed_lines(raw: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
 def prepare(raw: DataFrame, formats: Sequence[str] = (), order: Sequence[str] = ()) -> Prepared:
     """All four tables; ``order`` names the columns that give the order of the raw lines.
 
-    Without it, lines are numbered by date, invoice, code, customer, quantity and
-    price. The raw text is parsed once; the typed lines are stored for the tables
-    made from them.
+    Lines that bring their place in the source (``ingest_seq``) are numbered by it;
+    without either, by date, invoice, code, customer, quantity and price. The raw text
+    is parsed once; the typed lines are stored for the tables made from them.
     """
+    order = list(order) or [name for name in raw.columns if name == SEQUENCE]
     lines = staged_lines(typed_lines(raw, formats), "lines")
     products = product_table(lines)
     purchases = purchase_lines(lines, products)

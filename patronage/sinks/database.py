@@ -6,21 +6,27 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 
+from patronage.schemas import empty_table
+
 # Children before the tables they refer to, and rows per round trip.
 CLEAR_ORDER = ["support", "marketing", "transactions", "products", "customers"]
 TABLE_NAMES = {"support": "support_tickets", "marketing": "marketing_activities"}
 BATCH_ROWS = {"customers": 10_000, "products": 10_000, "transactions": 25_000}
 
 
-def load_database(tables: Mapping[str, DataFrame], url: str, properties: Mapping[str, str] | None = None) -> None:
-    """Empty all domain tables, children first, then fill those given, parents first.
+def load_database(tables: Mapping[str, DataFrame], url: str, properties: Mapping[str, str] | None = None,
+                  cascade: bool = True) -> None:
+    """Empty all five domain tables, children first, then fill those given, parents first.
 
-    A failed run leaves tables empty or partly filled and is repeated as a whole.
+    Tables not given are emptied too, since their rows would refer to parents that
+    are gone. ``cascade`` lets the database empty a table that others refer to; turn
+    it off where the database does not know the word. A failed run leaves tables empty
+    or partly filled and is repeated as a whole.
     """
-    schema_of = {name: df.limit(0) for name, df in tables.items()}
+    spark = next(iter(tables.values())).sparkSession
     for name in CLEAR_ORDER:
-        if name in schema_of:
-            _write(schema_of[name], name, url, properties, mode="overwrite", truncate=True)
+        empty = tables[name].limit(0) if name in tables else empty_table(spark, name)
+        _write(empty, name, url, properties, mode="overwrite", truncate=True, cascadeTruncate=cascade)
     for name in reversed(CLEAR_ORDER):
         if name in tables:
             _write(tables[name], name, url, properties, mode="append", batchsize=BATCH_ROWS.get(name, 10_000))

@@ -10,27 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.dates import month_label
+from patronage.sources.files import CSV
 
 MONTH = "order_month"
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; nested columns are written as JSON."""
+    """CSV with a header; quotes are doubled, nested columns are written as JSON."""
     nested = (T.StructType, T.ArrayType, T.MapType)
     flat = df.select(*[F.to_json(field.name).alias(field.name) if isinstance(field.dataType, nested)
                        else F.col(field.name) for field in df.schema.fields])
-    flat.write.mode("overwrite").option("header", True).csv(path)
+    flat.write.mode("overwrite").options(
+        **CSV, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
-    """One Parquet folder per table; transactions are partitioned by order month."""
+    """One Parquet folder per table, as the readers name them; transactions are partitioned by order month."""
     for name, df in tables.items():
         if "order_date" in df.columns:
             # rows of a month go to as many tasks as its size calls for, not to one
             dated = df.withColumn(MONTH, F.coalesce(month_label("order_date"), F.lit("unknown")))
-            dated.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(f"{folder}/{name}")
+            dated.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(f"{folder}/{name}.parquet")
         else:
-            df.write.mode("overwrite").parquet(f"{folder}/{name}")
+            df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
 
 
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:

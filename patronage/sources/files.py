@@ -11,23 +11,41 @@ from pyspark.sql import types as T
 
 from patronage.errors import DataValidationError
 from patronage.functions.dates import NAIVE
+from patronage.functions.text import known_text
 from patronage.schemas import RAW_RETAIL, SCHEMAS, Tables, empty_table
 
 SEQUENCE = "ingest_seq"
+CSV = {"quote": '"', "escape": '"'}
+_MALFORMED = "_malformed"
 
 
-def read_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, columns: Sequence[str], multiline: bool = True) -> DataFrame:
     """A CSV file as text columns, with the place of every row in its file.
 
-    ``columns`` is the header in file order. Types are given later, by the
-    cleaning rules. ``ingest_seq`` orders rows as the file does however the scan
+    ``columns`` is the header in file order. A quote inside a quoted cell is doubled.
+    Cells that stand for a missing value are null. Rows with fewer cells than the
+    header are filled up with nulls; a row with more raises. Types are given later, by
+    the cleaning rules. ``ingest_seq`` orders rows as the file does however the scan
     is split: by path, by the start of the block, by the row in the block.
+
+    With ``multiline`` a quoted cell may hold line breaks, and a file is read by one
+    task; pass False for large files without such cells, which are then split.
     """
     if not path.lower().endswith((".csv", ".csv.gz")):
         raise DataValidationError("only CSV and Parquet files are read")
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in columns])
-    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
-    return with_sequence(rows)
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in [*columns, _MALFORMED]])
+    scan = spark.read.schema(schema).options(**CSV, header=True, enforceSchema=False, multiLine=multiline,
+                                             columnNameOfCorruptRecord=_MALFORMED).csv(path)
+    # a malformed row is too short or too long: read again with one column more, only the long one fills it
+    wider = ", ".join([f"c{i} STRING" for i in range(len(columns) + 1)] + [f"{_MALFORMED} STRING"])
+    again = F.from_csv(F.col(_MALFORMED), F.lit(wider), {**CSV, "columnNameOfCorruptRecord": _MALFORMED})
+    long = F.col(_MALFORMED).isNotNull() & (again.getField(_MALFORMED).isNull()
+                                            | again.getField(f"c{len(columns)}").isNotNull())
+    problem = F.raise_error(F.concat(F.lit("row with more cells than the header: "), F.col(_MALFORMED)))
+    # Spark reads malformed rows only beside a real column, also where a count needs none
+    there = F.length(F.coalesce(F.col(f"`{columns[0]}`"), F.lit(""))) >= 0
+    rows = with_sequence(scan).filter(F.when(long, problem.cast("boolean")).otherwise(there))
+    return rows.select(*[known_text(F.col(f"`{name}`")).alias(name) for name in columns], SEQUENCE)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -48,12 +66,24 @@ def with_sequence(rows: DataFrame) -> DataFrame:
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     """Column names from the first line; no data row is read."""
-    return spark.read.option("header", True).option("inferSchema", False).csv(path).columns
+    return spark.read.options(**CSV, header=True, inferSchema=False).csv(path).columns
 
 
 def read_raw_retail(sheets: Sequence[DataFrame]) -> DataFrame:
-    """Stack sheets whose columns mean the same by position."""
-    return reduce(DataFrame.unionByName, [sheet.toDF(*RAW_RETAIL) for sheet in sheets])
+    """Stack sheets whose columns mean the same by position.
+
+    If all sheets know the order of their rows (``ingest_seq``), so does the result:
+    sheet after sheet, row after row.
+    """
+    ordered = all(SEQUENCE in sheet.columns for sheet in sheets)
+
+    def named(number: int, sheet: DataFrame) -> DataFrame:
+        cells = [F.col(f"`{name}`").alias(own) for name, own in
+                 zip([name for name in sheet.columns if name != SEQUENCE], RAW_RETAIL, strict=True)]
+        place = [F.struct(F.lit(number).alias("sheet"), F.col(SEQUENCE).alias("place")).alias(SEQUENCE)]
+        return sheet.select(*cells, *(place if ordered else []))
+
+    return reduce(DataFrame.unionByName, [named(i, sheet) for i, sheet in enumerate(sheets)])
 
 
 def cast_to(rows: DataFrame, name: str) -> DataFrame:

@@ -196,7 +196,7 @@ def touch_feed(spark: SparkSession, folder: str) -> DataFrame:
         F.col("event_id").cast("string").alias("Campaign ID"),
         F.when(F.col("event_type") != "view", F.col("user_id").cast("string")).alias("Customer ID"),
         F.when(failed, F.col("props")).otherwise(F.col("ts").cast("string")).alias("Touched At"),
-        F.when(failed, "unknown").otherwise(F.col("value").cast("decimal(18,4)").cast("string"))
+        F.when(failed, "unknown").otherwise(money("value").cast("string"))
         .alias("Campaign Cost"),
         F.col("event_id").alias("sent"),
     )

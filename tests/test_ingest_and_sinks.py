@@ -82,7 +82,7 @@ def test_csv_keeps_file_order_over_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        rows = read_csv(spark, path, csv_header(spark, path))
+        rows = read_csv(spark, path, csv_header(spark, path), multiline=False)
         assert rows.rdd.getNumPartitions() > 3
         from patronage.operators.cleaning import last_per_key
 
@@ -94,6 +94,64 @@ def test_csv_keeps_file_order_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_csv_as_people_write_it(spark, tmp_path):
+    path = write(tmp_path, "a.csv", 'id,name,state\n1,"Ann ""Q"" Lee",NA\n2,"two\nlines",\u00a0Texas\t\n3,NULL\n4,"",nan\n'
+                                    '5,"a, b","x"\n')
+    rows = read_csv(spark, path, csv_header(spark, path)).orderBy("ingest_seq").collect()
+    assert [tuple(row)[:3] for row in rows] == [
+        ("1", 'Ann "Q" Lee', None), ("2", "two\nlines", "\u00a0Texas\t"), ("3", None, None), ("4", None, None),
+        ("5", "a, b", "x")]
+    long = write(tmp_path, "b.csv", "id,name\n1,a\n2,b,c\n")
+    with pytest.raises(Exception, match="more cells"):
+        read_csv(spark, long, ["id", "name"]).collect()
+
+
+def test_csv_round_trip(spark, tmp_path):
+    cells = ['say "hi"', "a,b", "two\nlines", '{"x": 1}', "back\\slash", "é\t"]
+    table = spark.createDataFrame([(str(i), cell) for i, cell in enumerate(cells)], "id string, cell string")
+    write_csv(table.coalesce(1), str(tmp_path / "out.csv"))
+    back = read_csv(spark, str(tmp_path / "out.csv"), ["id", "cell"]).orderBy("id").collect()
+    assert [row.cell for row in back] == cells
+
+
+def test_raw_sheets_keep_their_order(spark, tmp_path):
+    from patronage.plans.retail import prepare
+
+    head = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+    one = write(tmp_path, "a.csv", head + "9,A,pen,1,2024-02-01,2,7,UK\n8,A,pen,1,2024-01-01,NaN,7,UK\n")
+    two = write(tmp_path, "b.csv", head + "7,A,pen,3,2024-01-01,1,7,UK\n")
+    raw = read_raw_retail([read_csv(spark, path, csv_header(spark, path)) for path in (one, two)])
+    rows = prepare(raw).transactions.orderBy("transaction_id").collect()
+    assert [(row.transaction_id, row.order_amount) for row in rows] == [(1, 2.0), (2, 3.0)]
+
+
+def test_many_files_are_one_write(spark, tmp_path, monkeypatch):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    write(inbox, "a.csv", "customer_id,name,signup_date,email\n1,ann,03/25/2024,a@x\n2,bob,2024-01-02,b@x\n")
+    write(inbox, "b.csv", "customer_id,name,signup_date,email\n2,bobby,2024-01-03,\n3,cy,2024-01-04,c@x\n")
+    write(inbox, "c.csv", "customer_id,name,signup_date\n3,cyd,2024-01-05\n")
+    write(inbox, "d.csv", "customer_id,name,signup_date\n3,cyd,2024-01-05\n")
+    writes, parquet = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a, **k: (writes.append(path), parquet(self, path, *a, **k)))
+    loaded = load_files(spark, root, "customers", f"{inbox}/*.csv", formats=["MM/dd/yyyy"])
+    assert sum(path.startswith(f"{root}/customers") for path in writes) == 1
+    rows = {row.customer_id: (row.name, row.email) for row in latest_version(spark, root, "customers").collect()}
+    assert rows == {1: ("Ann", "a@x"), 2: ("Bobby", None), 3: ("Cyd", "c@x")}
+    files = {row.file_name: (row.status, row.rows_loaded) for row in loaded.files.collect()}
+    assert files == {"a.csv": ("completed", 2), "b.csv": ("completed", 2), "c.csv": ("completed", 1), "d.csv": ("duplicate", 1)}
+
+
+def test_large_files_are_streamed(spark, tmp_path):
+    import hashlib
+
+    path = write(tmp_path, "a.csv", "x\n" * 1000)
+    (row,) = file_checksums(spark, path, whole=10).collect()
+    assert row.checksum == hashlib.sha256(b"x\n" * 1000).hexdigest()
+
+
 def test_other_file_kinds_are_refused(spark):
     with pytest.raises(DataValidationError):
         read_csv(spark, "book.docx", ["a"])
@@ -103,10 +161,8 @@ def test_tables_round_trip(spark, make, tmp_path):
     tables = make(customers=[customer(1)], transactions=[
         sale(1, 1, 2.0, DAY), sale(2, 1, 3.0, DAY + dt.timedelta(days=40))])
     write_tables({name: tables._asdict()[name] for name in ("customers", "products", "transactions")}, str(tmp_path))
-    months = sorted(path.name for path in (tmp_path / "transactions").glob("order_month=*"))
+    months = sorted(path.name for path in (tmp_path / "transactions.parquet").glob("order_month=*"))
     assert months == ["order_month=2024-01", "order_month=2024-02"]
-    for name in ("customers", "products", "transactions"):
-        (tmp_path / name).rename(tmp_path / f"{name}.parquet")
     read = load_retail(spark, str(tmp_path))
     assert read.transactions.count() == 2 and read.marketing.count() == 0
     tables.customers.write.mode("overwrite").saveAsTable("people_of_test")
@@ -169,9 +225,9 @@ def test_database_sink_clears_children_first_and_fills_parents_first(make, monke
     tables = make()._asdict()
     database.load_database({name: tables[name] for name in ("customers", "products", "transactions")}, "jdbc:x")
     assert [call[:2] for call in calls] == [
-        ("overwrite", "transactions"), ("overwrite", "products"), ("overwrite", "customers"),
+        ("overwrite", "support"), ("overwrite", "marketing"), ("overwrite", "transactions"), ("overwrite", "products"), ("overwrite", "customers"),
         ("append", "customers"), ("append", "products"), ("append", "transactions")]
-    assert calls[-1][2] == {"batchsize": 25_000} and calls[0][2] == {"truncate": True}
+    assert calls[-1][2] == {"batchsize": 25_000} and calls[0][2] == {"truncate": True, "cascadeTruncate": True}
 
 
 def test_database_source_reads_ranges():
