@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +31,11 @@ from patronage.plans.churn_models import (
     train_models,
 )
 from patronage.plans.clustering import FEATURES as CLUSTER_FEATURES
-from patronage.plans.clustering import Clusters, cluster_customers
+from patronage.plans.clustering import Clusters, cluster_customers, log_features, standardised
 from patronage.plans.dashboard import HEADLINE_COLUMNS, action_master, segmented_master, valued_master
 from patronage.plans.forecast import (
     backtest,
+    error_measures,
     forecast_features,
     head_and_tail,
     history,
@@ -41,17 +43,18 @@ from patronage.plans.forecast import (
     revenue_forecast,
     revenue_series,
 )
+from patronage.plans.ingest import latest_version, load_files
 from patronage.plans.master import as_document, customer_master, customer_profile, register_master_view
 from patronage.plans.mart import build_mart, payload, write_mart
 from patronage.schemas import empty_table
-from patronage.session import shared_folder, staged, staged_lines
-from patronage.sinks.files import manifest
+from patronage.session import staged, staged_lines, staging_folder
+from patronage.sinks.files import manifest, write_csv
 from patronage.sources import star
+from patronage.sources.files import read_csv, read_raw_retail
 from patronage.sources.star import star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOP = 100
-CLV_LISTING = 500
 LEADERS = 30
 TOP_MARKETS = 20
 PREVIEW = 250
@@ -150,7 +153,7 @@ def clv_leaders(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def clv_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return rollups.value_summary(_clv_listing(spark, folder, CLV_LISTING))
+    return rollups.value_summary(clv_ranked(spark, folder))
 
 
 @query
@@ -371,6 +374,50 @@ def upsert_customers(spark: SparkSession, folder: str) -> DataFrame:
     return upsert_dataset(star.customers(spark, folder), batch, "customers")
 
 
+@query
+def clean_written_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Untidy records written as CSV, read back and cleaned."""
+    path = f"{_run_folder(spark, 'written')}/customers.csv"
+    write_csv(star.written_customers(spark, folder), path)
+    rows = read_csv(spark, path, ["customer_id", "name", "state", "signup_date", "is_active"])
+    return clean_strict(rows, "customers", formats=["MM/dd/yyyy"])
+
+
+@query
+def retail_in_file_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Raw retail lines written as one sheet per cancellation, read back and numbered as they stand there."""
+    path = _run_folder(spark, "sheets")
+    raw = star.raw_retail(spark, folder)
+    order = ["invoice_date", "invoice", "stock_code", "customer_id", "quantity", "unit_price"]
+    sheets = []
+    for number, part in enumerate([raw.filter("NOT startswith(invoice, 'C')"), raw.filter("startswith(invoice, 'C')")]):
+        write_csv(part.orderBy(*order), f"{path}/{number}.csv")
+        sheets.append(read_csv(spark, f"{path}/{number}.csv", raw.columns, multiline=False))
+    return retail.prepare(read_raw_retail(sheets)).transactions.select(
+        "transaction_id", "customer_id", "quantity", "order_amount", "order_date", "status")
+
+
+def _loaded(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    root = _run_folder(spark, "load")
+    for name, batch in star.customer_batches(spark, folder).items():
+        write_csv(batch.orderBy("customer_id").coalesce(1), f"{root}/inbox/{name}")
+    return root, load_files(spark, root, "customers", f"{root}/inbox/*/*.csv").files
+
+
+@query
+def ingest_job(spark: SparkSession, folder: str) -> DataFrame:
+    """The dataset after one run over three files that overlap."""
+    root, _ = _loaded(spark, folder)
+    return latest_version(spark, root, "customers").select("customer_id", "name", "email", "signup_date", "is_active")
+
+
+@query
+def ingest_outcome(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of each file of that run."""
+    _, files = _loaded(spark, folder)
+    return files.select(F.element_at(F.split("file_path", "/"), -2).alias("batch"), "status", "rows_loaded")
+
+
 @query
 def load_ledger(spark: SparkSession, folder: str) -> DataFrame:
     files = file_checksums(spark, f"{folder}/*.parquet")
@@ -424,7 +471,7 @@ def retail_manifest(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def mart_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Writes the mart to the shared folder and counts what is in it."""
-    return write_mart(build_mart(star_tables(spark, folder)), f"{shared_folder(spark)}/mart")
+    return write_mart(build_mart(star_tables(spark, folder)), _run_folder(spark, "mart"))
 
 
 @query
@@ -446,6 +493,16 @@ def cluster_quality(spark: SparkSession, folder: str) -> DataFrame:
         "silhouette", F.lit(found.silhouette).cast("double"))
 
 
+@query
+def cluster_features(spark: SparkSession, folder: str) -> DataFrame:
+    """What the clusters are made from: standardised logarithms."""
+    columns = ["customer_id", "name", *CLUSTER_FEATURES]
+    rows = staged(log_features(customer_master(star_tables(spark, folder), columns=columns)), "clustering")
+    values = vector_to_array("features")
+    return standardised(rows).select("customer_id", *[
+        rounded(values[place], 5).alias(name) for place, name in enumerate(CLUSTER_FEATURES)])
+
+
 def _clusters(spark: SparkSession, folder: str) -> Clusters:
     columns = ["customer_id", "name", *CLUSTER_FEATURES]
     return cluster_customers(customer_master(star_tables(spark, folder), columns=columns))
@@ -474,20 +531,51 @@ def churn_models(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def churn_scored(spark: SparkSession, folder: str) -> DataFrame:
-    """Trains the quickest candidate, saves it and scores everybody with what was saved."""
+    """Trains all candidates, saves the best and scores everybody with what was saved."""
     master = staged(customer_master(star_tables(spark, folder), columns=MASTER_COLUMNS), "scored")
-    run = train_models(master, _run_folder(spark), ["logistic_regression"])
+    run = train_models(master, _run_folder(spark))
     return churn_queue(score_customers(master, run.path))
 
 
-def _run_folder(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/churn-{uuid.uuid4().hex}"
+def _run_folder(spark: SparkSession, label: str = "churn") -> str:
+    return f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def _state_series(spark: SparkSession, folder: str) -> DataFrame:
     return revenue_series(star.transactions(spark, folder), star.customers(spark, folder))
 
 
+def _total_series(spark: SparkSession, folder: str) -> DataFrame:
+    return revenue_series(star.transactions(spark, folder))
+
+
+@query
+def total_history(spark: SparkSession, folder: str) -> DataFrame:
+    return history(_total_series(spark, folder))
+
+
+@query
+def total_forecast_features(spark: SparkSession, folder: str) -> DataFrame:
+    return head_and_tail(forecast_features(_total_series(spark, folder)))
+
+
+@query
+def total_moving_average(spark: SparkSession, folder: str) -> DataFrame:
+    return moving_average_forecast(_total_series(spark, folder))
+
+
+@query
+def total_forecast_boosted(spark: SparkSession, folder: str) -> DataFrame:
+    return revenue_forecast(_total_series(spark, folder)).forecast
+
+
+@query
+def naive_forecast_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Errors of taking the month before, on the last quarter of every series."""
+    rows = head_and_tail(forecast_features(_state_series(spark, folder))).filter(F.col("part") == "tail")
+    return error_measures(rows.withColumn("prediction", F.col("lag_1")), "previous_month")
+
+
 @query
 def revenue_history(spark: SparkSession, folder: str) -> DataFrame:
     return history(_state_series(spark, folder))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -33,7 +35,8 @@ def local_session(app: str, cores: str | int = "*", shuffle_partitions: int = 8,
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own.
+    Only a local session without that setting gets a folder of its own, which goes
+    when the program ends.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -42,18 +45,30 @@ def shared_folder(spark: SparkSession) -> str:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
             named = tempfile.mkdtemp(prefix="patronage-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
         context.setCheckpointDir(named)
     return context.getCheckpointDir()
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables, below the shared folder."""
+    return f"{shared_folder(spark)}/patronage-{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all intermediate tables of this application, once its results have been written or collected."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once into the shared folder and read it back.
+    """Write ``df`` once into the staging folder and read it back.
 
     The result can be scanned many times, column by column, without running the
     plan behind it again, also after an executor is lost.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
