@@ -431,7 +431,7 @@ ORACLE = {
     "clv_summary": sql(f"""
         SELECT count(*) AS customers_ranked, {rounded("max(predicted_clv)", 2)} AS top_clv,
                {rounded("median(predicted_clv)", 2)} AS median_clv
-        FROM (SELECT predicted_clv FROM ranked ORDER BY clv_rank, customer_id LIMIT 500)""", "ranked"),
+        FROM ranked""", "ranked"),
     "top_customers": sql("""
         SELECT customer_id, name, state, total_revenue, order_count, recency_days, segment, predicted_clv
         FROM valued ORDER BY total_revenue DESC, customer_id LIMIT 100""", "valued"),
@@ -461,7 +461,7 @@ ORACLE = {
                {rounded("sum(CAST(predicted_clv AS DECIMAL(38,8)))", 2)} AS predicted_clv
         FROM valued""", "valued"),
     "dataset_header": sql("""
-        SELECT CASE WHEN count(*) > 100000 THEN 'Public retail data' ELSE 'Demo or uploaded data' END AS source,
+        SELECT 'Demo or uploaded data' AS source,
                count(*) AS transactions, (SELECT count(*) FROM products) AS products,
                (SELECT count(*) FROM customers) AS customers,
                strftime(min(order_date), '%Y-%m-%dT%H:%M:%S') AS date_start,
@@ -620,3 +620,62 @@ ORACLE = {
                {rounded('value * (1 + CAST(0.2 AS DOUBLE))', 2)} AS upper
         FROM averages CROSS JOIN (SELECT unnest(range(1, 7)) AS step)""", "averages"),
 }
+
+for _name, _source in {"total_history": "revenue_history", "total_forecast_features": "forecast_features_by_state",
+                       "total_moving_average": "forecast_moving_average"}.items():
+    ORACLE[_name] = f"SELECT * FROM ({ORACLE[_source]}) WHERE series = 'total'"
+
+ORACLE["naive_forecast_errors"] = f"""
+    SELECT series, 'previous_month' AS model, {rounded("avg(abs(target - lag_1))", 2)} AS mae,
+           {rounded("sqrt(avg((target - lag_1) * (target - lag_1)))", 2)} AS rmse,
+           {rounded("avg(abs((target - lag_1) / nullif(target, 0))) * 100", 2)} AS mape
+    FROM ({ORACLE["forecast_features_by_state"]}) WHERE part = 'tail' GROUP BY series"""
+
+_MEASURES = ["recency_days", "order_count", "total_revenue", "average_order_value", "campaign_response_rate"]
+
+
+def _standardised(measure: str) -> str:
+    log = f"ln(1 + CAST({measure} AS DOUBLE))"
+    return rounded(f"coalesce(({log} - avg({log}) OVER ()) / nullif(stddev_samp({log}) OVER (), 0), 0)", 5)
+
+
+ORACLE["cluster_features"] = sql(f"""
+    SELECT customer_id, {", ".join(f"{_standardised(name)} AS {name}" for name in _MEASURES)} FROM master""", "master")
+
+ORACLE["clean_written_customers"] = f"""
+    SELECT c_custkey AS customer_id,
+           CASE c_custkey % 7 WHEN 0 THEN 'Ann "Q" ' || {title("c_name")} WHEN 1 THEN 'Two' || chr(10) || 'Lines, ' || {title("c_name")}
+                ELSE {title("c_name")} END AS name,
+           CASE WHEN c_custkey % 11 > 1 THEN {title("n_name")} END AS state,
+           DATE '1995-01-01' + CAST(c_custkey % 1000 AS INTEGER) AS signup_date, c_custkey % 3 <> 0 AS is_active
+    FROM customer JOIN nation ON n_nationkey = c_nationkey"""
+
+ORACLE["retail_in_file_order"] = sql("""
+    SELECT row_number() OVER (ORDER BY is_cancelled, CAST(invoice_date AS VARCHAR), invoice, stock_code,
+               CAST(customer_id AS VARCHAR), CAST(CAST(quantity AS INTEGER) AS VARCHAR),
+               CAST(CAST(unit_price AS DECIMAL(18,2)) AS VARCHAR)) AS transaction_id,
+           customer_id, units AS quantity, CAST(order_amount AS DOUBLE) AS order_amount, invoice_date AS order_date,
+           CASE WHEN is_cancelled THEN 'cancelled' ELSE 'completed' END AS status
+    FROM purchases""", "purchases")
+
+ORACLE["ingest_job"] = f"""
+    SELECT c_custkey AS customer_id, CASE WHEN c_custkey % 3 = 0 THEN 'New ' ELSE '' END || {title("c_name")} AS name,
+           CASE WHEN c_custkey % 2 = 0 THEN c_custkey || '@example.com' END AS email,
+           DATE '2020-02-03' AS signup_date, true AS is_active
+    FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"""
+
+ORACLE["ingest_outcome"] = """
+    SELECT 'a' AS batch, 'completed' AS status, count(*) FILTER (c_custkey % 2 = 0) AS rows_loaded FROM customer
+    UNION ALL SELECT 'b', 'completed', count(*) FILTER (c_custkey % 3 = 0) FROM customer
+    UNION ALL SELECT 'c', 'duplicate', count(*) FILTER (c_custkey % 3 = 0) FROM customer"""
+
+for _member, _alone in {"dataset": "dataset_header", "kpis": "executive_kpis", "segments": "segment_rollup",
+                        "geography": "geography", "monthly_revenue": "monthly_revenue",
+                        "category_revenue": "category_revenue"}.items():
+    ORACLE[f"dashboard_{_member}"] = ORACLE[_alone]
+
+ORACLE["payload_months"] = ORACLE["stored_tables_months"] = ORACLE["monthly_revenue"]
+ORACLE["payload_segments"] = ORACLE["segment_rollup"]
+ORACLE["mart_customers"] = f"""
+    SELECT customer_id, c.name, s.segment, CAST(c.clv_rank AS INTEGER) AS clv_rank
+    FROM ({ORACLE["clv_ranked"]}) c JOIN ({ORACLE["segment_listing"]}) s USING (customer_id)"""

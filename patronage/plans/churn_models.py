@@ -105,7 +105,7 @@ def feature_stages() -> list:
     codes = [f"{name}_code" for name in CATEGORICAL]
     flags = [f"{name}_flags" for name in CATEGORICAL]
     return [
-        Imputer(strategy="median", inputCols=NUMERIC, outputCols=filled),
+        Imputer(strategy="median", inputCols=NUMERIC, outputCols=filled, relativeError=0.0),
         VectorAssembler(inputCols=filled, outputCol="numbers"),
         StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
         StringIndexer(inputCols=CATEGORICAL, outputCols=codes, handleInvalid="keep"),

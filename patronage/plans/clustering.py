@@ -32,22 +32,32 @@ def finite(value: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value).otherwise(0.0)
 
 
+def log_features(master: DataFrame, features: list[str] | None = None) -> DataFrame:
+    """customer_id, name and the logarithms of the measures as a vector ``raw``."""
+    features = features or FEATURES
+    logs = [F.log1p(finite(F.col(name))).alias(name) for name in features]
+    rows = VectorAssembler(inputCols=features, outputCol="raw").transform(master.select("customer_id", "name", *logs))
+    return rows.select("customer_id", "name", "raw")
+
+
+def standardised(rows: DataFrame) -> DataFrame:
+    """``features``: every logarithm less its mean, in standard deviations."""
+    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
+    return scaler.transform(rows).select("customer_id", "name", "features")
+
+
 def cluster_customers(master: DataFrame, features: list[str] | None = None) -> Clusters:
     """K-means on the logarithms of five measures; the best of ten starts is kept.
 
     Fewer than four customers give no clusters. The silhouette uses squared
     distances, the only form that needs no comparison of all pairs of rows.
     """
-    features = features or FEATURES
-    logs = [F.log1p(finite(F.col(name))).alias(name) for name in features]
-    rows = VectorAssembler(inputCols=features, outputCol="raw").transform(master.select("customer_id", "name", *logs))
-    rows = staged(rows.select("customer_id", "name", "raw"), "clustering")
+    rows = staged(log_features(master, features), "clustering")
     customers = rows.count()
     if customers < 4:
         return Clusters(rows.select("customer_id", "name", F.lit(None).cast("int").alias("cluster")).limit(0), None)
 
-    scaler = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(rows)
-    scaled = scaler.transform(rows).select("customer_id", "name", "features").persist()
+    scaled = standardised(rows).persist()
     k = cluster_count(customers)
     starts = [KMeans(k=k, seed=SEED + start, featuresCol="features", predictionCol="cluster")
               for start in range(RESTARTS)]

@@ -38,14 +38,16 @@ def action_master(tables: Tables, narrow_range: int = 1, campaigns: bool = True,
     return next_best_actions(valued_master(tables, columns, as_of), narrow_range, campaigns)
 
 
-def dashboard(tables: Tables, statuses: Iterable[str] | None = rollups.PAID, as_of=None) -> dict[str, DataFrame]:
+def dashboard(tables: Tables, statuses: Iterable[str] | None = rollups.PAID, as_of=None,
+              segmented: DataFrame | None = None) -> dict[str, DataFrame]:
     """Header, KPIs, segments, geography, monthly and category revenue.
 
     The transactions are read twice, whatever the number of members: once per
-    customer, and once for the months and products.
+    customer, and once for the months and products. The first is left out if the
+    segmented master is at hand.
     """
     segmented, totals = at_once([
-        lambda: segmented_master(tables, HEADLINE_COLUMNS, as_of),
+        lambda: segmented_master(tables, HEADLINE_COLUMNS, as_of) if segmented is None else segmented,
         lambda: staged(rollups.activity_totals(tables.transactions), "totals"),
     ])
     if statuses is None:

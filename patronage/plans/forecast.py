@@ -110,17 +110,27 @@ def head_and_tail(features: DataFrame) -> DataFrame:
     return features.withColumn("part", F.when(place <= head, "head").otherwise("tail"))
 
 
+def relative(rows: DataFrame, basis: Column) -> DataFrame:
+    """Revenue of every row as a multiple of its series' mean ``basis``, which is kept as ``scale``.
+
+    A model over many series then learns from the shape of each, not from the largest.
+    """
+    mean = F.avg(basis).over(W.partitionBy("series"))
+    rows = rows.withColumn("scale", F.when(mean > 0, mean).otherwise(1.0))
+    return rows.withColumns({name: F.col(name) / F.col("scale") for name in ["target", *FEATURES[:-1]]})
+
+
 def fit_trees(rows: DataFrame) -> PipelineModel:
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTRegressor(featuresCol="features", labelCol="target", maxIter=150, stepSize=0.05, maxDepth=3, seed=SEED)
     return PipelineModel([assembler, trees.fit(assembler.transform(rows))])
 
 
-def error_measures(judged: DataFrame) -> DataFrame:
+def error_measures(judged: DataFrame, model: str = "boosted_trees") -> DataFrame:
     """MAE, RMSE and MAPE per series; months with a zero target are left out of the last."""
     miss = F.col("target") - F.col("prediction")
     return judged.groupBy("series").agg(
-        F.lit("boosted_trees").alias("model"),
+        F.lit(model).alias("model"),
         rounded(F.avg(F.abs(miss)), 2).alias("mae"),
         rounded(F.sqrt(F.avg(miss * miss)), 2).alias("rmse"),
         rounded(F.avg(F.abs(F.try_divide(miss, F.col("target")))) * 100, 2).alias("mape"),
@@ -129,23 +139,25 @@ def error_measures(judged: DataFrame) -> DataFrame:
 
 def backtest(rows: DataFrame) -> DataFrame:
     """Errors of a model fitted on the head of every series and judged on its tail."""
-    judged = fit_trees(rows.filter(F.col("part") == "head")).transform(rows.filter(F.col("part") == "tail"))
-    return error_measures(judged)
+    scaled = relative(rows, F.when(F.col("part") == "head", F.col("target")))
+    judged = fit_trees(scaled.filter(F.col("part") == "head")).transform(scaled.filter(F.col("part") == "tail"))
+    return error_measures(judged.withColumns({name: F.col(name) * F.col("scale") for name in ("target", "prediction")}))
 
 
 def boosted_forecast(series: DataFrame, horizon: int = 6) -> tuple[DataFrame, DataFrame]:
     """(forecast, metrics): one model over all series, judged on each series' last quarter.
 
     The months ahead are predicted one after the other from the last six values of
-    a series. These stand in one row per series, so every step is a projection.
+    a series. These stand in one row per series, so every step is a projection. The
+    model works on multiples of each series' mean.
     """
     check_horizon(horizon)
     rows = staged(head_and_tail(forecast_features(series)), "forecast").persist()
-    metrics, model = at_once([lambda: staged(backtest(rows), "errors"), lambda: fit_trees(rows)])
+    metrics, model = at_once([lambda: staged(backtest(rows), "errors"), lambda: fit_trees(relative(rows, F.col("target")))])
+    scales = relative(rows, F.col("target")).groupBy("series").agg(F.first("scale").alias("scale"))
+    state = last_values(series).join(staged(scales, "scales"), "series")
     rows.unpersist()
-
-    state = last_values(series)
-    known = [F.col(f"v{back}") for back in range(1, MEMORY + 1)]  # latest value first
+    known = [F.col(f"v{back}") / F.col("scale") for back in range(1, MEMORY + 1)]  # latest value first
     for step in range(1, horizon + 1):
         inputs = {f"lag_{lag}": known[lag - 1] for lag in LAGS}
         inputs["rolling_3"] = (known[0] + known[1] + known[2]) / ROLLING
@@ -153,7 +165,7 @@ def boosted_forecast(series: DataFrame, horizon: int = 6) -> tuple[DataFrame, Da
         state = model.transform(state.withColumns(inputs)).withColumn(
             f"ahead{step}", F.greatest(F.col("prediction"), F.lit(0.0))).drop(*FEATURES, "features", "prediction")
         known = [F.col(f"ahead{step}"), *known[:-1]]
-    steps = F.array(*[F.struct(F.lit(step).alias("step"), F.col(f"ahead{step}").alias("value"))
+    steps = F.array(*[F.struct(F.lit(step).alias("step"), (F.col(f"ahead{step}") * F.col("scale")).alias("value"))
                       for step in range(1, horizon + 1)])
     long = state.select("series", "last", F.inline(steps)).join(metrics.select("series", "rmse"), "series", "left")
     error = F.when(F.coalesce(F.col("rmse"), F.lit(0.0)) == 0, F.col("value") * DEFAULT_ERROR).otherwise(F.col("rmse"))

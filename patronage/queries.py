@@ -32,7 +32,7 @@ from patronage.plans.churn_models import (
 )
 from patronage.plans.clustering import FEATURES as CLUSTER_FEATURES
 from patronage.plans.clustering import Clusters, cluster_customers, log_features, standardised
-from patronage.plans.dashboard import HEADLINE_COLUMNS, action_master, segmented_master, valued_master
+from patronage.plans.dashboard import HEADLINE_COLUMNS, action_master, dashboard, segmented_master, valued_master
 from patronage.plans.forecast import (
     backtest,
     error_measures,
@@ -48,9 +48,9 @@ from patronage.plans.master import as_document, customer_master, customer_profil
 from patronage.plans.mart import build_mart, payload, write_mart
 from patronage.schemas import empty_table
 from patronage.session import staged, staged_lines, staging_folder
-from patronage.sinks.files import manifest, write_csv
+from patronage.sinks.files import manifest, write_csv, write_tables
 from patronage.sources import star
-from patronage.sources.files import read_csv, read_raw_retail
+from patronage.sources.files import load_retail, read_csv, read_raw_retail
 from patronage.sources.star import star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -474,6 +474,52 @@ def mart_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return write_mart(build_mart(star_tables(spark, folder)), _run_folder(spark, "mart"))
 
 
+@query
+def mart_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers read back from the mart's file."""
+    mart = build_mart(star_tables(spark, folder))
+    path = _run_folder(spark, "mart")
+    write_csv(mart.master, path + "/customers.csv")
+    back = read_csv(spark, path + "/customers.csv", mart.master.columns)
+    return back.select(F.col("customer_id").cast("long").alias("customer_id"), "name", "segment",
+                       F.col("clv_rank").cast("int").alias("clv_rank"))
+
+
+@query
+def payload_months(spark: SparkSession, folder: str) -> DataFrame:
+    """The months inside the mart's document."""
+    document = payload(build_mart(star_tables(spark, folder)))
+    kind = "monthly array<struct<month:string,revenue:double>>"
+    return document.select(F.inline(F.from_json("value", kind)["monthly"]))
+
+
+@query
+def payload_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """The segments inside the mart's document."""
+    document = payload(build_mart(star_tables(spark, folder)))
+    kind = "segments array<struct<segment:string,customers:bigint,revenue:double>>"
+    return document.select(F.inline(F.from_json("value", kind)["segments"]))
+
+
+@query
+def stored_tables_months(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly revenue of tables written as Parquet and read back."""
+    path, tables = _run_folder(spark, "tables"), star_tables(spark, folder)
+    write_tables({name: getattr(tables, name) for name in ("customers", "products", "transactions")}, path)
+    return rollups.labelled_months(rollups.monthly_revenue(load_retail(spark, path).transactions))
+
+
+def _dashboard_member(name: str) -> Query:
+    return lambda spark, folder: dashboard(star_tables(spark, folder))[name]
+
+
+#: Members of the dashboard bundle, by its own plan, beside the queries that compute the same alone.
+DASHBOARD_TWINS = {"dataset": "dataset_header", "kpis": "executive_kpis", "segments": "segment_rollup",
+                   "geography": "geography", "monthly_revenue": "monthly_revenue",
+                   "category_revenue": "category_revenue"}
+QUERIES.update({f"dashboard_{name}": _dashboard_member(name) for name in DASHBOARD_TWINS})
+
+
 @query
 def mart_payload(spark: SparkSession, folder: str) -> DataFrame:
     return payload(build_mart(star_tables(spark, folder)))
