@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from patronage.functions.dates import iso_text, month_label, month_start, naive
 from patronage.functions.numbers import EXACT, band, exact_mean, money, rounded
 from patronage.operators.features import COMPLETED, is_completed, with_statuses
+from patronage.operators.ranking import rows_at_ranks
 from patronage.operators.value import health, is_churned
 
 PAID = (COMPLETED,)
@@ -22,8 +23,7 @@ PAID = (COMPLETED,)
 # Right-closed age bands.
 AGE_BANDS = [(24, "18-24"), (34, "25-34"), (44, "35-44"), (54, "45-54"), (64, "55-64"), (120, "65+")]
 HISTOGRAM_BINS = 25
-SOURCE_LABELS = ("Public retail data", "Demo or uploaded data")
-LARGE_SOURCE = 100_000
+PUBLIC_SOURCE, UPLOADED_SOURCE = "Public retail data", "Demo or uploaded data"
 
 
 def total(amount: str) -> Column:
@@ -182,13 +182,13 @@ def activity_span(transactions: DataFrame) -> DataFrame:
 
 
 def dataset_header(span: DataFrame, products: DataFrame, customers: DataFrame,
-                   labels: tuple[str, str] = SOURCE_LABELS) -> DataFrame:
-    """One row: sizes, date range and number of markets; ``span`` may hold partial rows."""
+                   source: str = UPLOADED_SOURCE) -> DataFrame:
+    """One row: where the data are from, sizes, date range, number of markets; ``span`` may hold partial rows."""
     lines = span.agg(F.coalesce(F.sum("lines"), F.lit(0)).alias("transactions"), F.min("first").alias("first"),
                      F.max("last").alias("last"))
     people = customers.agg(F.struct(F.count("*").alias("customers"), F.count_distinct("state").alias("markets")))
     return lines.select(
-        F.when(F.col("transactions") > LARGE_SOURCE, labels[0]).otherwise(labels[1]).alias("source"),
+        F.lit(source).alias("source"),
         "transactions",
         products.agg(F.count("*")).scalar().alias("products"),
         people.scalar()["customers"].alias("customers"),
@@ -279,12 +279,19 @@ def market_summary(states: DataFrame) -> DataFrame:
     )
 
 
-def value_summary(listed: DataFrame) -> DataFrame:
-    """One row over a CLV listing, which is a top list and so of limited length."""
-    return listed.agg(
+def value_summary(valued: DataFrame, key: str = "customer_id") -> DataFrame:
+    """One row over all customers with a value: how many, the largest and the median.
+
+    The median is looked up at its ranks in the sorted values.
+    """
+    known = valued.filter(F.col("predicted_clv").isNotNull()).select(F.lit(0).alias("all"), "predicted_clv", key)
+    found = rows_at_ranks(known, "all", ["predicted_clv", key], lambda n: [(n - 1) // 2, n // 2]).get(0)
+    middle = [row["predicted_clv"] for row in found.rows.values()] if found else []
+    median = F.lit(sum(middle) / len(middle) if middle else None).cast("double")
+    return valued.agg(
         F.count("*").alias("customers_ranked"),
         rounded(F.max("predicted_clv"), 2).alias("top_clv"),
-        rounded(F.median("predicted_clv"), 2).alias("median_clv"),
+        rounded(median, 2).alias("median_clv"),
     )
 
 

@@ -200,3 +200,29 @@ def touch_feed(spark: SparkSession, folder: str) -> DataFrame:
         .alias("Campaign Cost"),
         F.col("event_id").alias("sent"),
     )
+
+
+def written_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """Customer records with what people type: quotes, line breaks, stray white space, texts for missing values."""
+    key = F.col("c_custkey")
+    nation = _read(spark, folder, "nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    name = (F.when(key % 7 == 0, F.concat(F.lit('ann "q" '), F.lower("c_name")))
+            .when(key % 7 == 1, F.concat(F.lit("two\nlines, "), F.lower("c_name"))).otherwise(F.col("c_name")))
+    state = F.when(key % 11 == 0, "NA").when(key % 11 == 1, "nan").otherwise(
+        F.concat(F.lit("\t"), F.lower("n_name"), F.lit("\u00a0")))
+    return _read(spark, folder, "customer").join(nation, "c_nationkey").select(
+        F.when(key % 2 == 0, F.concat(key.cast("string"), F.lit(".0"))).otherwise(key.cast("string")).alias("customer_id"),
+        name.alias("name"), state.alias("state"),
+        F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), (key % 1000).cast("int")), "MM/dd/yyyy").alias("signup_date"),
+        F.when(key % 3 == 0, "NaN").otherwise("y").alias("is_active"),
+    )
+
+
+def customer_batches(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Three files to load: every second customer, every third with a new name, and the second file again."""
+    key = F.col("c_custkey")
+    people = _read(spark, folder, "customer").select(key.alias("customer_id"), F.col("c_name").alias("name"),
+                                                     F.lit("2020-02-03").alias("signup_date"))
+    even = people.filter("customer_id % 2 = 0").withColumn("email", F.concat("customer_id", F.lit("@example.com")))
+    third = people.filter("customer_id % 3 = 0").withColumn("name", F.concat(F.lit("new "), F.lower("name")))
+    return {"a": even, "b": third, "c": third}

@@ -127,8 +127,9 @@ def test_top_segment_tie_and_histogram(spark):
 
 
 def test_value_summary_and_markets(spark):
-    listed = spark.createDataFrame([(1.0,), (2.0,), (9.0,), (4.0,)], "predicted_clv DOUBLE")
+    listed = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 9.0), (4, 4.0)], "customer_id INT, predicted_clv DOUBLE")
     assert tuple(rollups.value_summary(listed).first()) == (4, 9.0, 3.0)
+    assert tuple(rollups.value_summary(listed.limit(0)).first()) == (0, None, None)
     states = spark.createDataFrame([("B", 1, 5.0), ("A", 2, 5.0), ("C", 1, 1.0)],
                                    "state STRING, customers BIGINT, revenue DOUBLE")
     assert tuple(rollups.market_summary(states).first()) == (3, "A", 5.0)
