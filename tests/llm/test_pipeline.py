@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
 from patronage.llm.queries import vocabulary_path
-from test_minhash import by_hand as classes_by_hand
-from test_minhash import collection as near_collection
-from test_suffixes import by_hand as spans_by_hand
-from test_suffixes import collection as passage_collection
+from llm.test_minhash import by_hand as classes_by_hand
+from llm.test_minhash import collection as near_collection
+from llm.test_suffixes import by_hand as spans_by_hand
+from llm.test_suffixes import collection as passage_collection
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = [(9001, None, None), (9002, "", None), (None, "no id here", "s"), (None, None, None), (9003, "x", "only")]
