@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import slices
+from patronage.llm.common import Index, slices
 
 # fixed values: how byte-level vocabularies cut text into pieces
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -44,14 +44,6 @@ KNOWN_PIECES = 100_000
 SLICE = 500_000
 
 
-class _Index(dict):
-    """Numbers pieces in the order in which they are first asked for."""
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        return number
-
-
 def _byte_characters() -> list[str]:
     """The character that stands for each byte: itself if it is visible, else one from U+0100 on."""
     visible = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b]
@@ -93,7 +85,7 @@ class Vocabulary:
         self.pattern = regex.compile(pattern)
         names = sorted(self.special, key=len, reverse=True)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.known, self.symbols, self.bounds = _Index(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.known, self.symbols, self.bounds = Index(), np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def merged(self, pieces: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all pieces, one after the other, and the number of symbols of each."""
@@ -145,7 +137,7 @@ class Vocabulary:
     def encode(self, texts: Sequence[str | None]) -> list[np.ndarray]:
         """Ids of every text."""
         if len(self.known) > KNOWN_PIECES:  # what a worker remembers stays bounded; results do not depend on it
-            self.known, self.symbols, self.bounds = _Index(), np.zeros(0, np.int32), np.zeros(1, np.int64)
+            self.known, self.symbols, self.bounds = Index(), np.zeros(0, np.int32), np.zeros(1, np.int64)
         before = len(self.known)
         numbered = [np.array(self._numbered(text) if text else [], np.int64) for text in texts]
         new = [piece.encode() for piece in list(self.known)[before:]]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,7 @@ from patronage.session import staged
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_CHARS = 1_500_000
 
-__all__ = ["SLICE_CHARS", "WORD", "fresh", "held_out", "read", "slices", "staged", "word_hashes", "words_of"]
+__all__ = ["Index", "SLICE_CHARS", "WORD", "fresh", "held_out", "letters", "read", "slices", "staged", "word_hashes", "words_of"]
 
 
 def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -39,6 +40,20 @@ def fresh(label: str) -> str:
     return f"_{label}_{uuid.uuid4().hex[:8]}"
 
 
+@lru_cache(maxsize=1)
+def letters() -> np.ndarray:
+    """For every code point whether it is a letter."""
+    return np.fromiter((chr(point).isalpha() for point in range(0x110000)), bool, 0x110000)
+
+
+class Index(dict):
+    """Numbers pieces of text in the order in which they are first asked for."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of slices of about ``limit`` characters; a longer text is a slice of its own."""
     start = size = 0

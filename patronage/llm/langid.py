@@ -18,7 +18,6 @@ whole; repeated and id-less rows are predicted like any other.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -26,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import slices
+from patronage.llm.common import letters, slices
 
 UNKNOWN = "und"
 BUCKET_BITS = 12
@@ -48,17 +47,12 @@ class Model(NamedTuple):
     idf: np.ndarray
 
 
-@lru_cache(maxsize=1)
-def _letters() -> np.ndarray:
-    return np.fromiter((chr(point).isalpha() for point in range(0x110000)), bool, 0x110000)
-
-
 def gram_counts(text: str | None) -> np.ndarray | None:
     """How often each bucket of n-grams occurs; None without a letter."""
     if not text:
         return None
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[points]
+    letter = letters()[points]
     if not letter.any():
         return None
     keep = letter.copy()

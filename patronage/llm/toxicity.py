@@ -7,12 +7,12 @@ of the unlabelled set less the prior's part of the positives. Where that differe
 turns negative, the step is taken the other way, so that the model cannot win by
 learning the unlabelled texts by heart.
 
-Features are the words of the lower-cased text and their beginnings of four to eight
-letters, as hashes, and the length of the text, since a long text has any word sooner
-by chance. Which words say something is counted over all training documents: they
-must occur in a share of the positives, and there more often than elsewhere beyond
-chance. Meeting a word or beginning a second and third time counts of its own. The linear model on the features is fitted in numpy on a
-bounded sample of rows.
+Features are the words (runs of letters) of the lower-cased text and their beginnings
+of four to eight letters, as hashes; meeting one a second and a third time counts of
+its own. The length of the text is a feature too, since a long text has any word
+sooner by chance. Which words say something is counted: they must occur in a share of
+the positives, and there more often than in all training documents beyond chance. The
+linear model on these features is fitted in numpy on a bounded sample of rows.
 
 Null and empty texts have no features and get the score of such a text. Without any
 positive or without any label every score is 0. Rows without an id are scored and
@@ -21,7 +21,6 @@ never learnt from; several labels of an id count as toxic if one of them is.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,7 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import slices
+from patronage.llm.common import Index, letters, slices, staged
+from patronage.llm.suffixes import Rolling
 
 THRESHOLD = 0.3
 BEGINNINGS = (4, 5, 6, 7, 8)
@@ -46,7 +46,8 @@ LEAST_ODDS = 2.0
 FEATURES = 8192
 #: Bounds of the rows that the classifier is fitted on.
 POSITIVES, UNLABELLED = 10_000, 20_000
-_RUNS = re.compile(r"[^\W\d_]+")
+KNOWN_PIECES = 200_000
+BASE = 0x9E3779B97F4A7C15
 
 
 class Model(NamedTuple):
@@ -55,78 +56,121 @@ class Model(NamedTuple):
     bias: float
 
 
-def feature_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, feature) pairs, each once, in order of both."""
-    index: dict[str, int] = {}
-    numbers, times, owners = [], [], []
-    lengths = np.zeros(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        runs = _RUNS.findall(text.lower()) if text else []
-        words = Counter(runs)
-        lengths[i] = min(len(runs).bit_length(), LENGTHS)
-        numbers.append(np.fromiter((index.setdefault(word, len(index)) for word in words), np.int64, len(words)))
-        times.append(np.fromiter(words.values(), np.int64, len(words)))
-        owners.append(np.full(len(words), i))
-    filled = np.flatnonzero(lengths)
-    if not len(filled):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words = list(index)
-    kinds = []
-    for size in (None, *BEGINNINGS):
-        values = np.empty(len(words), object)
-        values[:] = [word if size is None else f"{word[:size]}-" if len(word) > size else "" for word in words]
-        hashed = pd.util.hash_array(values, categorize=False).view(np.int64)
-        kinds.append(np.where(values == "", np.int64(0), hashed))
-    table = np.stack(kinds, axis=1)
-    number, owner, time = map(np.concatenate, (numbers, owners, times))
-    feature, text_number = table[number].ravel(), np.repeat(owner, table.shape[1])
-    time = np.repeat(time, table.shape[1])
-    order = np.lexsort((feature, text_number))
-    feature, text_number, time = feature[order], text_number[order], time[order]
-    new = np.ones(len(feature), bool)
-    new[1:] = (feature[1:] != feature[:-1]) | (text_number[1:] != text_number[:-1])
-    first = np.flatnonzero(new)
-    time = np.add.reduceat(time, first) if len(first) else time
-    feature, text_number = feature[first], text_number[first]
-    real = feature != 0
-    found = [(feature[real & (time > i)] ^ again, text_number[real & (time > i)]) for i, again in enumerate(AGAIN)]
-    feature = np.concatenate([each[0] for each in found] + [lengths[filled]])
-    text_number = np.concatenate([each[1] for each in found] + [filled])
-    order = np.lexsort((feature, text_number))
-    return text_number[order], feature[order]
+class Features:
+    """Features of texts; of all, or only those in a sorted array of hashes.
+
+    Texts are split at white space; which words a piece such as ``rock'n'roll,`` holds
+    is found once and remembered, up to a bound.
+    """
+
+    def __init__(self, wanted: np.ndarray | None = None):
+        self.wanted = wanted
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index = Index()
+        self.first = np.zeros(1, np.int64)  # where the words of a piece begin in the table
+        self.table = np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
+        self.useful = np.zeros(0, bool)
+
+    def _is_wanted(self, hashes: np.ndarray) -> np.ndarray:
+        if self.wanted is None:
+            return np.ones(hashes.shape, bool)
+        if not len(self.wanted):
+            return np.zeros(hashes.shape, bool)
+        at = np.minimum(np.searchsorted(self.wanted, hashes), len(self.wanted) - 1)
+        return self.wanted[at] == hashes
+
+    def _learn(self) -> None:
+        """Words, hashes and use of the pieces that are new."""
+        pieces = list(self.index)[len(self.first) - 1:]
+        points = np.frombuffer("\n".join([*pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        edges = np.diff(np.concatenate(([0], letters()[points].view(np.int8), [0])))
+        begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+        of = np.searchsorted(np.flatnonzero(points == 10), begin)  # pieces hold no line break
+        counts = np.bincount(of, minlength=len(pieces))
+        self.first = np.concatenate((self.first, self.first[-1] + np.cumsum(counts)))
+        rolling = Rolling(points.astype(np.uint64) + np.uint64(1), BASE)
+        table = np.zeros((len(begin), 1 + len(BEGINNINGS)), np.int64)
+        table[:, 0] = rolling.of(begin, end).view(np.int64)
+        for column, size in enumerate(BEGINNINGS, 1):
+            longer = end - begin > size
+            start = rolling.of(begin[longer], begin[longer] + size)
+            table[longer, column] = (start ^ np.uint64(BASE)).view(np.int64)
+        useful = np.zeros(len(begin), bool)
+        for again in AGAIN:
+            useful |= (self._is_wanted(table ^ again) & (table != 0)).any(axis=1)
+        self.table = np.concatenate((self.table, table))
+        self.useful = np.concatenate((self.useful, np.bincount(of[useful], minlength=len(pieces)) > 0))
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text number, feature) pairs, each once, in order of both."""
+        if len(self.index) > KNOWN_PIECES:
+            self._forget()
+        numbers, times = [], []
+        for text in texts:
+            pieces = Counter(text.lower().split()) if text else Counter()
+            numbers.append(np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces)))
+            times.append(np.fromiter(pieces.values(), np.int64, len(pieces)))
+        self._learn()
+        owner = np.repeat(np.arange(len(texts)), list(map(len, numbers)))
+        number, time = np.concatenate([*numbers, np.zeros(0, np.int64)]), np.concatenate([*times, np.zeros(0, np.int64)])
+        count = np.diff(self.first)[number]
+        words = np.bincount(owner, time * count, minlength=len(texts)).astype(np.int64)
+        lengths = np.array([min(n.bit_length(), LENGTHS) for n in words.tolist()], np.int64)
+        keep = self.useful[number]
+        number, time, owner, count = number[keep], time[keep], owner[keep], count[keep]
+        ends = np.cumsum(count)
+        row = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - self.first[number], count)
+        time, owner = np.repeat(time, count), np.repeat(owner, count)
+        feature = self.table[row].ravel()
+        text_number, time = np.repeat(owner, self.table.shape[1]), np.repeat(time, self.table.shape[1])
+        order = np.lexsort((feature, text_number))
+        feature, text_number, time = feature[order], text_number[order], time[order]
+        new = np.ones(len(feature), bool)
+        new[1:] = (feature[1:] != feature[:-1]) | (text_number[1:] != text_number[:-1])
+        first = np.flatnonzero(new)
+        time = np.add.reduceat(time, first) if len(first) else time
+        feature, text_number = feature[first], text_number[first]
+        filled = np.flatnonzero(lengths)
+        features, owners = [lengths[filled]], [filled]
+        for i, again in enumerate(AGAIN):
+            real = (feature != 0) & (time > i)
+            features.append(feature[real] ^ again)
+            owners.append(text_number[real])
+        feature, text_number = np.concatenate(features), np.concatenate(owners)
+        keep = self._is_wanted(feature)
+        feature, text_number = feature[keep], text_number[keep]
+        order = np.lexsort((feature, text_number))
+        return text_number[order], feature[order]
 
 
 def _counts(wanted: np.ndarray | None):
     """Documents per feature in a task, of the wanted features or of all; feature 0 counts the documents."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counter: Counter = Counter()
-        totals = np.zeros(0 if wanted is None else len(wanted), np.int64)
+        features = Features(wanted)
         documents = 0
         for batch in batches:
             values = batch["text"].tolist()
             documents += len(values)
             for begin, end in slices(values):
-                feature = feature_hashes(values[begin:end])[1]
-                if wanted is None:
-                    counter.update(dict(zip(*map(np.ndarray.tolist, np.unique(feature, return_counts=True)),
-                                            strict=True)))
-                elif len(wanted):
-                    at = np.minimum(np.searchsorted(wanted, feature), len(wanted) - 1)
-                    totals += np.bincount(at[wanted[at] == feature], minlength=len(wanted))
-        if wanted is not None:
-            counter = dict(zip(wanted.tolist(), totals.tolist(), strict=True))
+                found, count_ = np.unique(features.of(values[begin:end])[1], return_counts=True)
+                for feature, n in zip(found.tolist(), count_.tolist(), strict=True):
+                    counter[feature] += n
         yield pd.DataFrame({"feature": [0, *counter], "n": [documents, *counter.values()]}, dtype="int64")
     return count
 
 
 def _rows_of(features: np.ndarray):
     """Places of the model's features in each text."""
+    lookup = Features(features)
+
     def find(values: list[str | None]) -> list[np.ndarray]:
-        owner, feature = feature_hashes(values)
-        at = np.minimum(np.searchsorted(features, feature), max(len(features) - 1, 0))
-        hit = features[at] == feature if len(features) else np.zeros(len(feature), bool)
-        bounds = np.searchsorted(owner[hit], np.arange(len(values) + 1))
-        return [at[hit][bounds[i]:bounds[i + 1]] for i in range(len(values))]
+        owner, feature = lookup.of(values)
+        at = np.searchsorted(features, feature)
+        bounds = np.searchsorted(owner, np.arange(len(values) + 1))
+        return [at[bounds[i]:bounds[i + 1]] for i in range(len(values))]
     return find
 
 
@@ -180,43 +224,57 @@ def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
 
     ``prior`` is the share of toxic documents; by default that of the labelled ones.
     ``positives`` and ``unlabelled`` bound the rows that the classifier is fitted on,
-    drawn by a hash of the id; features are chosen by counts over all rows.
+    drawn by a hash of the id; how frequent features are is counted over all rows.
     """
     texts = training.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     marks = (labels.select(F.col(label_id).alias("id"), F.col(toxic).alias("toxic")).filter("toxic IS NOT NULL")
              .groupBy("id").agg(F.max("toxic").alias("toxic")))
-    labelled = texts.select("id").join(marks, "id")
+    labelled = staged(texts.select("id").join(marks, "id"), "labelled")
     found = labelled.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
     nothing = Model(np.zeros(0, np.int64), np.zeros(0), -np.inf)
     if not found["toxic"]:
         return nothing
     prior = found["toxic"] / found["n"] if prior is None else prior
     prior = min(max(prior, 1e-4), 0.9)
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    least = max(LEAST_COUNT, LEAST_SHARE * min(found["toxic"], positives))
 
-    def counted(rows: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-        return (rows.select("text").mapInPandas(_counts(wanted), "feature long, n long").groupBy("feature")
+    def counted(rows: DataFrame, wanted: np.ndarray | None) -> dict[int, int]:
+        sums = (rows.select("text").mapInPandas(_counts(wanted), "feature long, n long").groupBy("feature")
                 .agg(F.sum("n").alias("n")))
-
-    toxic_texts = texts.join(marks.filter("toxic = 1"), "id")
-    least = max(LEAST_COUNT, LEAST_SHARE * found["toxic"])
-    # at most (features of a text) / LEAST_SHARE rows
-    frequent = {row["feature"]: row["n"] for row in counted(toxic_texts, None).filter(F.col("n") >= least).collect()}
-    in_toxic = frequent.pop(0, found["toxic"])
+        # of all features those in LEAST_SHARE of the texts: at most (features of a text) / LEAST_SHARE rows
+        return {row["feature"]: row["n"] for row in (sums if wanted is not None else sums.filter(F.col("n") >= least)
+                                                     ).collect()}
+
+    # ids of the positives: no more than ``positives``, so the texts need no shuffle
+    chosen = labelled.filter((F.col("toxic") == 1) & (draw * found["toxic"] < positives)).select("id").distinct()
+    toxic_texts = staged(texts.join(F.broadcast(chosen), "id", "left_semi"), "positives")
+    in_toxic = toxic_texts.count()
+    if not in_toxic:
+        return nothing
+    frequent = counted(toxic_texts, None)
+    frequent.pop(0, None)
     candidates = np.array(sorted(feature for feature in frequent if not 0 < feature <= LENGTHS), np.int64)
-    everywhere = {row["feature"]: row["n"] for row in counted(texts, candidates).collect()}  # as many rows
-    documents = everywhere.pop(0)
-    share = np.array([frequent[feature] for feature in candidates.tolist()]) / in_toxic
-    usual = np.array([everywhere.get(feature, 0) for feature in candidates.tolist()]) / documents
-    expected = np.maximum(usual, 1 / documents) * in_toxic
-    seen = share * in_toxic
-    # how unlikely the excess is if the feature were as frequent in the positives as everywhere (Poisson tail)
-    surprise = np.where(seen > expected, seen * np.log(seen / expected) - (seen - expected), 0.0)
-    chosen = np.argsort(-surprise, kind="stable")[:FEATURES]
-    telling = candidates[chosen[surprise[chosen] >= np.log(max(len(candidates), 1)) + LEAST_ODDS]]
+    documents = texts.count()
+    drawn = texts.filter(draw * documents < unlabelled)
+
+    def surprise(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
+        """How unlikely the positives have a feature so often if they were like ``rows`` (Poisson tail)."""
+        elsewhere = counted(rows, wanted)  # as many rows as features wanted
+        count = max(elsewhere.pop(0, 1), 1)
+        usual = np.array([elsewhere.get(feature, 0) for feature in wanted.tolist()]) / count
+        seen = np.array([frequent[feature] for feature in wanted.tolist()], float)
+        expected = np.maximum(usual, 1 / count) * in_toxic
+        return np.where(seen > expected, seen * np.log(seen / expected) - (seen - expected), 0.0)
+
+    # words as frequent in the sample as in the positives are left out before all documents are counted
+    enough = np.log(max(len(candidates), 1)) + LEAST_ODDS
+    telling = candidates[surprise(drawn, candidates) >= enough / 2]
+    found_odds = surprise(texts, telling)
+    telling = telling[np.argsort(-found_odds, kind="stable")[:np.count_nonzero(found_odds >= enough)]][:FEATURES]
     features = np.union1d(telling, np.arange(1, LENGTHS + 1))
 
     find = _rows_of(features)
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
 
     @F.pandas_udf("array<int>")
     def places(values: pd.Series) -> pd.Series:
@@ -224,11 +282,11 @@ def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
         out = [row.astype(np.int32) for begin, end in slices(values) for row in find(values[begin:end])]
         return pd.Series(out, dtype=object)
 
-    def sample(rows: DataFrame, count: int, of: int) -> list[np.ndarray]:
-        drawn = rows.filter(draw * of < count).select("id", places("text").alias("row")).collect()
+    def places_in(rows: DataFrame) -> list[np.ndarray]:
+        drawn = rows.select("id", places("text").alias("row")).collect()
         return [np.array(row["row"], np.int64) for row in sorted(drawn, key=lambda row: (row["id"], row["row"]))]
 
-    rows = [sample(toxic_texts, positives, in_toxic), sample(texts, unlabelled, documents)]
+    rows = [places_in(toxic_texts), places_in(drawn)]
     if not rows[0] or not rows[1]:
         return nothing
     return Model(features, *nnpu(rows[0], rows[1], prior, len(features)))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patronage.llm.common import held_out
-from patronage.llm.toxicity import THRESHOLD, feature_hashes, fit, nnpu, score
+from patronage.llm.toxicity import THRESHOLD, Features, fit, nnpu, score
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -73,9 +73,17 @@ def test_estimator_matches_the_prior():
     assert abs(np.mean(chances) - 0.1) < 1e-3 and weights[0] > 2 and weights[1] < 0
 
 
-def test_features():
-    owner, feature = feature_hashes(["Alpha alpha", None, "alphabet", ""])
+def test_features(monkeypatch):
+    texts = ["Alpha alpha", None, "alphabet", "", "alps " * 3]
+    owner, feature = Features().of(texts)
     per_text = [set(feature[owner == i].tolist()) for i in range(4)]
     assert not per_text[1] and not per_text[3]
     assert len(per_text[0]) == 2 * 2 + 1  # the word and its beginning of four, met twice, and the length
     assert len(per_text[2]) == 1 + 4 + 1 and len(per_text[0] & per_text[2]) == 1
+    wanted = np.unique(feature)[::3]
+    monkeypatch.setattr("patronage.llm.toxicity.KNOWN_PIECES", 1)
+    lookup = Features(wanted)
+    for _ in range(3):  # words are forgotten and met again
+        some_owner, some = lookup.of(texts)
+        keep = np.isin(feature, wanted)
+        assert (some_owner == owner[keep]).all() and (some == feature[keep]).all()
