@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 SHARD = 8192
 BLOCK = 512
-LEAF = 128
+LEAF = 512
 _NEAR = 1e-9
 
 
