@@ -213,13 +213,12 @@ def _compared(percent: int):
 def _crossing(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between components that share a bucket.
 
-    ``rows`` has key, rep and component for buckets of several components. A bucket is
-    cut into blocks of about ``BLOCK`` rows; every pair of blocks is a tile.
+    ``rows`` has key, rep, component and blocks for buckets of several components. A
+    bucket is cut into its number of blocks; every pair of blocks is a tile.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
-    placed = (rows.join(sizes, "key").withColumn("block", block).withColumn("with", F.explode(others))
+    placed = (rows.withColumn("block", block).withColumn("with", F.explode(others))
               .withColumn("side", F.when(F.col("block") <= F.col("with"), 0).otherwise(1))
               .withColumn("tile", F.least("block", "with").cast("long") * F.col("blocks") + F.greatest("block", "with")))
     full = placed.select("key", "tile", "side", "rep", "component").join(sets, "rep")
@@ -233,16 +232,18 @@ def near_duplicates(documents: DataFrame, doc_id: str, text: str, percent: int =
     sketches = staged(texts.mapInArrow(
         _sketched, "doc_id long, n_shingles long, digest long, digest2 long, bands array<long>"), "sketches")
     filled = F.col("n_shingles") > 0
-    copies = (sketches.filter(filled & F.col("doc_id").isNotNull()).groupBy("n_shingles", "digest", "digest2")
-              .agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_copies")).filter("_copies > 1"))
+    # what meets a hot key again is stored first: Spark splits large partitions of a join, not of a join on an aggregate
+    copies = staged(sketches.filter(filled & F.col("doc_id").isNotNull()).groupBy("n_shingles", "digest", "digest2")
+                    .agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_copies")).filter("_copies > 1"), "copies")
     rep = F.coalesce("_rep", "doc_id")
     nodes = staged(sketches.join(copies, ["n_shingles", "digest", "digest2"], "left").select(
         "doc_id", "n_shingles", rep.alias("rep"), F.when(rep == F.col("doc_id"), F.col("bands")).alias("bands")),
         "nodes")
 
     banded = nodes.filter(F.col("bands").isNotNull()).select("rep", F.explode("bands").alias("key"))
-    shared = (banded.groupBy("key").agg(F.min("rep").alias("_min"), F.max("rep").alias("_max"),
-                                        F.count("*").alias("size")).filter("_min < _max").select("key", "size"))
+    shared = staged(banded.groupBy("key").agg(F.min("rep").alias("_min"), F.max("rep").alias("_max"),
+                                              F.count("*").alias("size")).filter("_min < _max").select("key", "size"),
+                    "shared")
     buckets = staged(banded.join(shared, "key"), "buckets")
     # the more company a node has in its buckets, the nearer it is to the middle of its group
     company = staged(buckets.groupBy("rep").agg(F.sum("size").alias("company")), "company")
@@ -264,9 +265,10 @@ def near_duplicates(documents: DataFrame, doc_id: str, text: str, percent: int =
     labels = components(links, "a", "b").withColumnRenamed("node", "rep")
     labelled = buckets.join(labels, "rep", "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_ = (labelled.groupBy("key").agg(F.min("component").alias("_min"), F.max("component").alias("_max"))
-             .filter("_min < _max").select("key"))
-    crossing = _crossing(staged(labelled.join(open_, "key"), "open"), sets, percent)
+    open_ = staged(labelled.groupBy("key").agg(
+        F.min("component").alias("_min"), F.max("component").alias("_max"),
+        F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).filter("_min < _max").select("key", "blocks"), "open")
+    crossing = _crossing(labelled.join(open_, "key"), sets, percent)
 
     copied = nodes.filter("rep <> doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     whole = components(links.union(crossing).union(copied), "a", "b").select(
