@@ -245,10 +245,11 @@ def repeated_spans(documents: DataFrame, doc_id: str, text: str, length: int = L
     sketch = "doc_id long, n_words long, digest long, digest2 long, suffixes array<struct<place:int,key:long>>"
     all_rows = staged(texts.mapInArrow(_suffixes(length), sketch), "suffixes")
     long_ = all_rows.filter(F.col("n_words") >= length)
-    one = (long_.groupBy("doc_id").agg(F.min(F.struct("digest", "digest2", "n_words")).alias("_d"))
-           .select("doc_id", "_d.*"))
-    copies = (one.groupBy("digest", "digest2", "n_words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n"))
-              .filter("_n > 1").drop("_n"))
+    one = staged(long_.groupBy("doc_id").agg(F.min(F.struct("digest", "digest2", "n_words")).alias("_d"))
+                 .select("doc_id", "_d.*"), "digests")
+    # stored, so that Spark splits the join where one text has very many copies
+    copies = staged(one.groupBy("digest", "digest2", "n_words")
+                    .agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "copies")
     copied = staged(one.join(copies, ["digest", "digest2", "n_words"]).filter("doc_id <> rep")
                     .select("doc_id", "n_words", "rep"), "copied")
 
