@@ -120,7 +120,8 @@ def fit(training: DataFrame, text: str, language: str, doc_id: str, sample: int
 
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    drawn = known.join(sizes, "lang").filter(draw * F.col("n") < 1.2 * sample).select("text", "lang", "id")
+    # one row per language, of which the model itself holds several vectors; no text is shuffled but the sample
+    drawn = known.join(F.broadcast(sizes), "lang").filter(draw * F.col("n") < 1.2 * sample).select("text", "lang", "id")
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["id", "text"])
