@@ -39,6 +39,7 @@ from patronage.llm.urls import host_of
 
 #: A class needs this many pages and tokens.
 LEAST_PAGES, LEAST_TOKENS = 3, 2
+SALT = 32
 ALL_PAGES, ELEMENT, TEXT = 0, 1, 2
 
 # fixed values: elements of HTML by their role
@@ -265,5 +266,8 @@ def extracted(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                          F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
     deduced = templates(named.select("host", F.xxhash64("page_id", "url").alias("page"), "html"))
-    joined = named.join(deduced, "host", "left").select("page_id", "url", "html", "texts", "main")
+    # a host may have a third of all pages: its pages go to SALT tasks, each with a copy of the small template
+    pages_ = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)))
+    copies = deduced.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    joined = pages_.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "texts", "main")
     return joined.mapInArrow(_extracted(2), "page_id long, url string, text string")
