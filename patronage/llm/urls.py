@@ -5,7 +5,8 @@ suffix. Going down that ladder, every level's rate is shrunk towards the level a
 by a beta-binomial prior; the prior's strength is estimated from how far the groups
 of a level differ beyond chance. A host is blocked if the lower bound of its
 posterior rate of bad pages is above a threshold, so a host with few labels is judged
-mostly by its domain, and an unlabelled one is never blocked by a guess.
+mostly by its domain, and an unlabelled one by its domain alone. Where the domain has no
+label either nothing is blocked, as the rate of a whole suffix would be a guess.
 
 Built-in functions only. Outcomes are summed per host before anything is joined, and
 the levels above are summed from the hosts. Only three strengths come to the driver.
@@ -90,15 +91,21 @@ def _shrunk(groups: DataFrame) -> tuple[DataFrame, float]:
     return groups.withColumn("mean", mean), strength
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(outcomes: DataFrame, z: float = Z, others: DataFrame | None = None) -> DataFrame:
     """Posterior of the share of bad pages per host.
 
-    ``outcomes`` has host and bad (0 or 1), a row per labelled page. Returns host, n, bad,
-    mean (posterior) and bound (posterior mean less ``z`` standard deviations).
+    ``outcomes`` has host and bad (0 or 1), a row per labelled page; ``others`` has hosts
+    that may have no label. Returns host, n, bad, mean (posterior) and bound (posterior
+    mean less ``z`` standard deviations) of the hosts whose domain has labels.
     """
-    hosts = (outcomes.filter(F.col("bad").isNotNull()).groupBy("host")
-             .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad"))
-             .select("*", *[column.alias(name) for name, column in levels(F.col("host")).items()]))
+    counts = (outcomes.filter(F.col("bad").isNotNull()).groupBy("host")
+              .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")))
+    if others is not None:
+        zero = F.lit(0).cast("long")
+        known = others.select("host").distinct().select("host", zero.alias("n"), zero.alias("bad"))
+        counts = counts.unionByName(known).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    # groups without labels add nothing to sums and strengths
+    hosts = counts.select("*", *[column.alias(name) for name, column in levels(F.col("host")).items()])
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
@@ -106,7 +113,8 @@ def host_reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
 
     suffixes, _ = _shrunk(suffixes.withColumn("prior", F.lit(overall)))
     domains, _ = _shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix"))
-    hosts, strength = _shrunk(hosts.join(domains.select("domain", "suffix", F.col("mean").alias("prior")),
+    labelled = domains.filter(F.col("n") > 0)
+    hosts, strength = _shrunk(hosts.join(labelled.select("domain", "suffix", F.col("mean").alias("prior")),
                                          ["domain", "suffix"]))
     spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength + 1))
     return hosts.select("host", "n", "bad", "mean", (F.col("mean") - z * spread).alias("bound"))
@@ -119,7 +127,8 @@ def judged(pages: DataFrame, page_id: str, url: str, outcomes: DataFrame, rules:
     ``outcomes`` has url and bad (0 or 1), a row per labelled page.
     """
     labelled = outcomes.select(host_of(F.col("url")).alias("host"), "bad").filter(F.col("host") != "")
-    blocked = host_reputation(labelled, z).filter(F.col("bound") > threshold).select(
+    seen = pages.select(host_of(F.col(url)).alias("host")).filter(F.col("host") != "")
+    blocked = host_reputation(labelled, z, seen).filter(F.col("bound") > threshold).select(
         "host", F.lit("block").alias("_verdict"))
     parsed = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"),
                           path_of(F.col(url)).alias("path"))

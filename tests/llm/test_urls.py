@@ -81,3 +81,20 @@ def test_judged(spark):
     nothing = judged(table, "page_id", "url", outcomes.limit(0), RULES).collect()
     assert {row["verdict"] for row in nothing if row["rule"] is None} == {"allow"}
     assert judged(table.limit(0), "page_id", "url", outcomes, RULES).collect() == []
+
+
+def test_unlabelled_host_is_judged_by_its_domain(spark):
+    outcomes = spark.createDataFrame(
+        [(f"http://h{i % 20}.bad.net/{i}", 1) for i in range(1000)] + [("http://one.bad.net/x", 1)]
+        + [(f"http://h{i % 20}.good.org/{i}", 0) for i in range(1000)], "url string, bad int")
+    pages = {1: ("http://one.bad.net/y", "block"), 2: ("http://new.bad.net/y", "block"), 3: ("http://new.good.org/", "allow"),
+             4: ("http://new.net/", "allow"), 5: ("http://new.info/", "allow"), 6: ("no scheme", "allow")}
+    table = spark.createDataFrame([(i, url) for i, (url, _) in pages.items()], "page_id long, url string")
+    found = judged(table, "page_id", "url", outcomes, []).collect()
+    assert {row["page_id"]: row["verdict"] for row in found} == {i: verdict for i, (_, verdict) in pages.items()}
+    labelled = outcomes.select(host_of(F.col("url")).alias("host"), "bad")
+    before = {row["host"]: row["bound"] for row in host_reputation(labelled).collect()}
+    hosts = table.select(host_of(F.col("url")).alias("host"))
+    after = {row["host"]: row["bound"] for row in host_reputation(labelled, others=hosts).collect()}
+    assert {host: after[host] for host in before} == pytest.approx(before)
+    assert set(after) - set(before) == {"new.bad.net", "new.good.org"}
