@@ -1,20 +1,24 @@
 """Main text of web pages, by templates deduced from the pages of a host.
 
-A page is a sequence of tokens: the path of every block element, and every block of
-text. A token's occurrence vector says how often each page of the host has it. Tokens
-with the same vector form an equivalence class. A class is valid if enough pages have
-it, it holds an element, and it has more than one token; valid classes, nested by the
-paths of their elements, are the host's template, and texts in them belong to it.
-What is left are the slots. A page's main text is what stands in the slots of its
-article; without an article element it is the slots around the path that carries most
-of the host's remaining text. Navigation, headers, footers, sidebars, adverts,
-notices, forms, scripts, styles and reader comments are no slots of a main text.
-
-A vector is never built: pages are summed into a fingerprint per host and token (the
-exclusive or of a hash of page and count), with partial sums before the shuffle, so a
-host may have any number of pages. A template holds tokens of at least half of a
-host's pages, so it is no larger than two pages. Texts inside an article element are
-kept even if other pages repeat them, as copies of an article are still its text.
+A page is a set of tokens: the path of every block element that holds text, with or
+without text of its own, and every block of text. A token's occurrence vector says how
+often each page of the host has it; equal pages of a host count once. Tokens with the
+same vector form an equivalence class: those of a site, of one of its layouts, of a
+part that some pages have. A text of ``LEAST_PAGES`` pages or more belongs to the
+template if it is nested in an element of its own class, at any depth. On a page the
+classes are nested by their pages: what the fewest pages share fills the slots of what
+more pages share, so of a page that holds template only, the innermost class is kept.
+A page's main text is what stands in the slots of its article; without an article
+element it is the slots in the element that carries most of the host's remaining text.
+Navigation, headers, footers, sidebars, adverts, notices, forms, scripts, styles and
+reader comments are no slots of a main text.
+
+A vector is never built: pages are summed into a fingerprint per host and token (sums
+of a hash of page and count), with partial sums before the shuffle, so a host may have
+any number of pages. Template texts are joined to the tokens of each page, so a page
+gets no more of them than it holds. The order of the tokens of a class is not compared.
+Texts inside an article element are kept even if other pages repeat them, as copies of
+an article are still its text.
 
 Null or empty html has no text. A null url belongs to the host "". Repeated rows are
 extracted like any other. Long pages are read whole.
@@ -25,7 +29,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -37,10 +41,9 @@ from pyspark.sql import functions as F
 from patronage.llm.common import staged
 from patronage.llm.urls import host_of
 
-#: A class needs this many pages and tokens.
-LEAST_PAGES, LEAST_TOKENS = 3, 2
-SALT = 32
-ALL_PAGES, ELEMENT, TEXT = 0, 1, 2
+#: A class needs this many pages.
+LEAST_PAGES = 3
+ELEMENT, INSIDE, TEXT = 0, 1, 2
 
 # fixed values: elements of HTML by their role
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -103,8 +106,8 @@ def _named(attributes: str) -> tuple[str, bool, bool]:
     return first, bool(words & NOT_MAIN_NAMES) and not words & MAIN_NAMES, hidden
 
 
-def blocks(html: str | None) -> list[Block]:
-    """Blocks of text in page order."""
+def blocks(html: str | None, elements: Counter | None = None) -> list[Block]:
+    """Blocks of text in page order; ``elements`` counts the paths of all block elements."""
     found: list[Block] = []
     stack = [_Open("", True, "", True, False, False)]
     parts: list[str] = []
@@ -167,7 +170,9 @@ def blocks(html: str | None) -> list[Block]:
             slot = False
         if not slot and top.slot:
             flush()
-        path = f"{top.path}>{name}{'.' + first if first else ''}" if block else top.path
+        path = f"{top.path}>{name}{'.' + first.replace('>', '') if first else ''}" if block else top.path
+        if block and elements is not None:
+            elements[path] += 1
         if not (attributes.endswith("/") and not block):
             stack.append(_Open(name, block, path, slot, top.article or main, header))
     if html and at < len(html):
@@ -186,68 +191,138 @@ def _text_tokens(page: list[Block]) -> list[str]:
     return [f"{block.path}\n{block.text}" for block in page]
 
 
+def _around(path: str) -> list[str]:
+    """The path and those of all elements around it."""
+    parts = path.split(">")
+    return [">".join(parts[:i]) for i in range(1, len(parts) + 1)]
+
+
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, html) to a row per page and token: kind, hash, count, and characters in slots of that path."""
+    """(host, page, weight, html) to a row per page and token.
+
+    ELEMENT: a path that holds text in slots, its holder, how often, and its own
+    characters outside articles. INSIDE: a path with such text and an element around it.
+    TEXT: such a text, its path, how often, and its characters outside articles.
+    """
     for batch in batches:
-        hosts, pages = batch.column(0), batch.column(1)
-        rows, kinds, names, counts, chars, paths = [], [], [], [], [], []
-        for i, html in enumerate(batch.column(2).to_pylist()):
-            page = blocks(html)
-            slots = Counter()
-            for block in page:
-                slots[block.path] += len(block.text) if block.slot and not block.article else 0
-            elements, texts = Counter(block.path for block in page), Counter(_text_tokens(page))
-            rows += [i] * (1 + len(elements) + len(texts))
-            kinds += [ALL_PAGES] + [ELEMENT] * len(elements) + [TEXT] * len(texts)
-            names += ["", *elements, *texts]
-            counts += [1, *elements.values(), *texts.values()]
-            chars += [0, *[slots[path] for path in elements], *[0] * len(texts)]
+        hosts, pages, weights = (batch.column(i) for i in range(3))
+        rows, kinds, names, paths, counts, chars = [], [], [], [], [], []
+        for i, html in enumerate(batch.column(3).to_pylist()):
+            elements = Counter({"": 1})
+            page = [block for block in blocks(html, elements) if block.slot]
+            own, in_texts, path_of, holders = Counter(), Counter(), {}, {}
+            for block, token in zip(page, _text_tokens(page), strict=True):
+                size = len(block.text) if not block.article else 0
+                own[block.path] += size
+                in_texts[token] += size
+                path_of[token] = block.path
+                holders[block.path] = holder(block)
+            texts = Counter(_text_tokens(page))
+            inside = [(path, each) for path in holders for each in _around(path)]
+            around = {"", *[each for _, each in inside]}
+            rows += [i] * (len(around) + len(inside) + len(texts))
+            kinds += [ELEMENT] * len(around) + [INSIDE] * len(inside) + [TEXT] * len(texts)
+            names += [*around, *[path for path, _ in inside], *texts]
+            paths += [*[holders.get(path, path) for path in around], *[each for _, each in inside],
+                      *[path_of[token] for token in texts]]
+            counts += [*[elements[path] for path in around], *[1] * len(inside), *texts.values()]
+            chars += [*[own[path] for path in around], *[0] * len(inside), *[in_texts[token] for token in texts]]
         at = pa.array(rows, pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [hosts.take(at), pages.take(at), pa.array(kinds, pa.int32()), pa.array(_hash(names)),
-             pa.array(counts, pa.int32()), pa.array(chars, pa.int64())],
-            ["host", "page", "kind", "token", "count", "chars"])
+            [hosts.take(at), pages.take(at), weights.take(at), pa.array(kinds, pa.int32()), pa.array(_hash(names)),
+             pa.array(_hash(paths)), pa.array(counts, pa.int32()), pa.array(chars, pa.int64())],
+            ["host", "page", "weight", "kind", "token", "path", "count", "chars"])
+
+
+def _page_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, html) to the text tokens in slots of each page."""
+    for batch in batches:
+        rows, names = [], []
+        for i, html in enumerate(batch.column(2).to_pylist()):
+            texts = set(_text_tokens([block for block in blocks(html) if block.slot]))
+            rows += [i] * len(texts)
+            names += texts
+        at = pa.array(rows, pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(_hash(names))],
+                                         ["host", "page", "token"])
 
 
 def templates(hosts_pages: DataFrame) -> DataFrame:
-    """host, ``texts`` (text tokens of its template) and ``main`` (the path with most text in slots outside articles).
+    """host, page, ``texts`` (template texts the page holds, each with the pages of its class) and ``main``.
 
-    Takes host, page (a number that tells pages apart) and html.
+    ``main`` is the element that holds most text in slots outside articles, on hosts of
+    ``LEAST_PAGES`` different pages or more. Takes host, page (a hash of the html) and
+    html; returns a row per host and page.
     """
-    tokens = hosts_pages.mapInArrow(
-        _tokens, "host string, page long, kind int, token long, count int, chars long")
+    distinct = staged(hosts_pages.groupBy("host", "page").agg(F.count("*").alias("copies")), "distinct")
+    enough = staged(distinct.groupBy("host").agg(F.count("*").alias("_n")).filter(F.col("_n") >= LEAST_PAGES)
+                    .select("host"), "hosts")
+    # few pages have copies; a copy weighs its share of the page
+    copies = staged(distinct.filter(F.col("copies") > 1), "copies")
+    weight = (1 / F.coalesce("copies", F.lit(1))).alias("weight")
+    tokens = (hosts_pages.join(enough, "host", "left_semi").join(copies, ["host", "page"], "left")
+              .select("host", "page", weight, "html").mapInArrow(
+        _tokens, "host string, page long, weight double, kind int, token long, path long, count int, chars long"))
+    hashed = F.xxhash64("page", "count")
+    # two sums of 32 bits, as a sum of 64 would overflow
     vectors = staged(
-        tokens.groupBy("host", "kind", "token").agg(
-            F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "count")).alias("vector"),
-            F.sum("chars").alias("chars")).filter((F.col("pages") >= LEAST_PAGES) | (F.col("kind") != TEXT)),
-        "vectors")
-    classes = (vectors.filter(F.col("pages") >= LEAST_PAGES).groupBy("host", "vector", "pages")
-               .agg(F.count("*").alias("size"), F.min("kind").alias("least_kind"))
-               .filter((F.col("size") >= LEAST_TOKENS) & (F.col("least_kind") < TEXT))
-               .select("host", "vector", "pages"))
-    everywhere = vectors.filter(F.col("kind") == ALL_PAGES).select("host", F.col("pages").alias("all"))
-    # tokens on at least half of a host's pages: no more than two pages hold
-    texts = (vectors.filter(F.col("kind") == TEXT).join(classes, ["host", "vector", "pages"]).join(everywhere, "host")
-             .filter(2 * F.col("pages") >= F.col("all")).groupBy("host").agg(F.collect_set("token").alias("texts")))
-    enough = everywhere.filter(F.col("all") >= LEAST_PAGES).select("host")
-    main = (vectors.filter((F.col("kind") == ELEMENT) & (F.col("chars") > 0)).join(enough, "host").groupBy("host")
-            .agg(F.max(F.struct("chars", "token")).alias("_m")).select("host", F.col("_m.token").alias("main")))
-    return texts.join(main, "host", "full_outer")
-
-
-def main_text(page: list[Block], template: frozenset[int], main: int | None) -> str:
-    """Blocks of the page's main slots, joined by empty lines."""
-    inside = [block.text for block in page if block.article and block.slot]
+        tokens.groupBy("host", "kind", "token", "path").agg(
+            F.round(F.sum("weight")).cast("long").alias("pages"),
+            F.sum(hashed.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(hashed, 32)).alias("high"),
+            F.sum(F.col("chars") * F.col("weight")).alias("chars"))
+        .filter((F.col("pages") >= LEAST_PAGES) | (F.col("kind") != TEXT)), "vectors")
+    elements = vectors.filter(F.col("kind") == ELEMENT)
+    inside = vectors.filter(F.col("kind") == INSIDE).select("host", F.col("token").alias("path"), F.col("path").alias("around"))
+    nested = elements.select("host", F.col("token").alias("around"), "pages", "low", "high")
+    texts = staged(vectors.filter(F.col("kind") == TEXT).join(inside, ["host", "path"])
+                   .join(nested, ["host", "around", "pages", "low", "high"], "left_semi")
+                   .groupBy("host", "token", "path").agg(F.max("pages").alias("pages"), F.max("chars").alias("chars")), "texts")
+    gone = texts.groupBy("host", F.col("path").alias("token")).agg(F.sum("chars").alias("gone"))
+    left = F.round(F.col("chars") - F.coalesce("gone", F.lit(0.0)))
+    held = (elements.filter(F.col("chars") > 0).join(gone, ["host", "token"], "left")
+            .groupBy("host", F.col("path").alias("holder")).agg(F.sum(left).alias("left"), F.sum("chars").alias("chars")))
+    main = held.groupBy("host").agg(F.max(F.struct("left", "chars", "holder")).alias("_m")).select(
+        "host", F.col("_m.holder").alias("main"))
+    on_page = (hosts_pages.join(texts.select("host").distinct(), "host", "left_semi").mapInArrow(
+        _page_texts, "host string, page long, token long").join(texts.select("host", "token", "pages"), ["host", "token"])
+        .groupBy("host", "page").agg(F.collect_set(F.struct("token", "pages")).alias("texts")))
+    return (distinct.select("host", "page").join(main, "host", "left").join(staged(on_page, "on_page"), ["host", "page"], "left")
+            .select("host", "page", "texts", "main"))
+
+
+def holder(block: Block) -> str:
+    """The element that a block stands in."""
+    return block.parent
+
+
+def _in_slots(region: list[Block], pages: dict[int, int], copy: bool) -> list[Block]:
+    """Blocks outside the template.
+
+    If nothing else is there, those of the innermost class, on the fewest pages. With
+    ``copy``, a region that is template for more than half of its text is a copy of
+    others, with a line of its own perhaps, and stays whole.
+    """
+    shared = [pages.get(token, 0) for token in _hash(_text_tokens(region)).tolist()]
+    least = min(shared, default=0)
+    left = [block for block, n in zip(region, shared, strict=True) if n == least]
+    if copy and 2 * sum(len(block.text) for block in left) < sum(len(block.text) for block in region):
+        return region
+    return left
+
+
+def main_text(page: list[Block], template: Iterable[tuple[int, int]], main: int | None) -> str:
+    """Blocks of the page's main slots, joined by empty lines; ``template`` has tokens and their pages."""
+    slots = [block for block in page if block.slot]
+    inside = [block for block in slots if block.article]
     if inside:
-        return "\n\n".join(inside)
-    hashes = _hash(_text_tokens(page)).tolist()
-    slots = [block for block, own in zip(page, hashes, strict=True) if block.slot and own not in template]
-    if main is not None and slots:
-        paths = _hash([block.path for block in slots]).tolist()
-        around = {block.parent for block, path in zip(slots, paths, strict=True) if path == main}
+        return "\n\n".join(block.text for block in inside)
+    pages = dict(template)
+    if main is not None:
+        hashes = _hash([holder(block) for block in slots]).tolist()
+        around = [block for block, each in zip(slots, hashes, strict=True) if each == main]
         if around:
-            slots = [block for block in slots if block.parent in around]
-    return "\n\n".join(block.text for block in slots)
+            return "\n\n".join(block.text for block in _in_slots(around, pages, True))
+    return "\n\n".join(block.text for block in _in_slots(slots, pages, False))
 
 
 def _extracted(keep: int):
@@ -255,7 +330,8 @@ def _extracted(keep: int):
         for batch in batches:
             texts = []
             for html, template, main in zip(*[batch.column(keep + i) for i in range(3)], strict=True):
-                texts.append(main_text(blocks(html.as_py()), frozenset(template.as_py() or ()), main.as_py()))
+                shared = [(each["token"], each["pages"]) for each in template.as_py() or ()]
+                texts.append(main_text(blocks(html.as_py()), shared, main.as_py()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:keep], pa.array(texts, pa.string())],
                                              [*batch.schema.names[:keep], "text"])
     return extract
@@ -265,9 +341,8 @@ def extracted(pages: DataFrame, page_id: str, url: str, html: str) -> DataFrame:
     """page_id, url and ``text`` of every page."""
     named = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"),
                          F.col(html).alias("html"), host_of(F.col(url)).alias("host"))
-    deduced = templates(named.select("host", F.xxhash64("page_id", "url").alias("page"), "html"))
-    # a host may have a third of all pages: its pages go to SALT tasks, each with a copy of the small template
-    pages_ = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALT)))
-    copies = deduced.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
-    joined = pages_.join(copies, ["host", "salt"], "left").select("page_id", "url", "html", "texts", "main")
+    named = named.withColumn("page", F.xxhash64("html"))
+    # stored, so that Spark splits the join where one page has very many copies
+    deduced = staged(templates(named.select("host", "page", "html")), "deduced")
+    joined = named.join(deduced, ["host", "page"], "left").select("page_id", "url", "html", "texts", "main")
     return joined.mapInArrow(_extracted(2), "page_id long, url string, text string")

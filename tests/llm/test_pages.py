@@ -71,3 +71,36 @@ def test_copies_of_an_article_keep_their_text(spark):
     html = "<nav>n</nav><article><h1>Same</h1><p>everywhere</p></article>"
     table = spark.createDataFrame([(i, "http://h/", html) for i in range(20)], "page_id long, url string, html string")
     assert {row["text"] for row in extracted(table, "page_id", "url", "html").collect()} == {"Same\n\neverywhere"}
+
+
+def texts_of(spark, pages: list[str]) -> list[str]:
+    """Main texts of the pages of a host, in order."""
+    table = spark.createDataFrame([(i, "http://h/", html) for i, html in enumerate(pages)],
+                                  "page_id long, url string, html string").repartition(3)
+    found = {row["page_id"]: row["text"] for row in extracted(table, "page_id", "url", "html").collect()}
+    return [found[i] for i in range(len(pages))]
+
+
+def test_templates_of_several_layouts(spark):
+    """A third of the pages has each layout, so none has half of them."""
+    pages = [f"<div class=site><p>Site</p></div><div class={kind}><div class=top><p>Top of {kind}</p></div>"
+             f"<p>Page {kind} {i} has a text</p><p>and number {i}</p></div>" for kind in "abc" for i in range(4)]
+    assert texts_of(spark, pages) == [f"Page {kind} {i} has a text\n\nand number {i}" for kind in "abc" for i in range(4)]
+
+
+def test_copies_of_a_page_without_article(spark):
+    page = "<div class=c><h2>Only</h2><p>One text on all pages</p></div>"
+    assert texts_of(spark, [page] * 4) == ["Only\n\nOne text on all pages"] * 4
+    # not equal, but all text of the page is the same
+    assert texts_of(spark, [f"<nav>{i}</nav>{page}" for i in range(4)]) == ["Only\n\nOne text on all pages"] * 4
+    # copies of a page do not make its texts a template of the host
+    others = [f"<div class=c><h2>Title {i}</h2><p>Another text, number {i}</p></div>" for i in range(3)]
+    assert texts_of(spark, [page] * 4 + others)[0] == "Only\n\nOne text on all pages"
+
+
+def test_template_nested_in_elements_of_its_class(spark):
+    """A notice in an element that the same pages have goes; a sentence that they merely share stays."""
+    box = "<div class=box><div class=in><p>Look here</p></div></div>"
+    pages = [f"<div class=c><p>Text of page {i}, which is long</p><p>Shared</p>{box}</div>" if i < 3 else
+             f"<div class=c><p>Text of page {i}, which is long</p></div>" for i in range(9)]
+    assert texts_of(spark, pages)[:3] == [f"Text of page {i}, which is long\n\nShared" for i in range(3)]
