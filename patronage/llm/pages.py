@@ -17,8 +17,9 @@ A vector is never built: pages are summed into a fingerprint per host and token
 of a hash of page and count), with partial sums before the shuffle, so a host may have
 any number of pages. Template texts are joined to the tokens of each page, so a page
 gets no more of them than it holds. The order of the tokens of a class is not compared.
-Texts inside an article element are kept even if other pages repeat them, as copies of
-an article are still its text.
+The template decides inside article elements as elsewhere; the article element only says
+which slots are the main ones. Copies of an article keep their text: an article or main
+element of which more than half is template stays whole.
 
 Null or empty html has no text. A null url belongs to the host "". Repeated rows are
 extracted like any other. Long pages are read whole.
@@ -314,9 +315,9 @@ def main_text(page: list[Block], template: Iterable[tuple[int, int]], main: int
     """Blocks of the page's main slots, joined by empty lines; ``template`` has tokens and their pages."""
     slots = [block for block in page if block.slot]
     inside = [block for block in slots if block.article]
-    if inside:
-        return "\n\n".join(block.text for block in inside)
     pages = dict(template)
+    if inside:
+        return "\n\n".join(block.text for block in _in_slots(inside, pages, True))
     if main is not None:
         hashes = _hash([holder(block) for block in slots]).tolist()
         around = [block for block, each in zip(slots, hashes, strict=True) if each == main]

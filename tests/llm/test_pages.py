@@ -104,3 +104,19 @@ def test_template_nested_in_elements_of_its_class(spark):
     pages = [f"<div class=c><p>Text of page {i}, which is long</p><p>Shared</p>{box}</div>" if i < 3 else
              f"<div class=c><p>Text of page {i}, which is long</p></div>" for i in range(9)]
     assert texts_of(spark, pages)[:3] == [f"Text of page {i}, which is long\n\nShared" for i in range(3)]
+
+
+def test_template_inside_article_elements(spark):
+    """What a host repeats inside its articles goes, copies of an article stay."""
+    def page(i: int, title: str, text: str) -> str:
+        return (f"<nav>{i}</nav><article><h1>{title}</h1><p>{text}</p><div class=box><p>Read also our guide</p></div>"
+                f"<p>{text} ends</p><p class=foot>Written by us</p></article>")
+
+    own = [page(i, f"Title {i}", f"A text of page {i} that is long") for i in range(8)]
+    copies = [page(i, "Same", "One text that three pages have") for i in range(8, 11)]
+    found = texts_of(spark, own + copies)
+    assert found[:8] == [f"Title {i}\n\nA text of page {i} that is long\n\nA text of page {i} that is long ends"
+                         for i in range(8)]
+    assert found[8:] == ["Same\n\nOne text that three pages have\n\nOne text that three pages have ends"] * 3
+    near = [f"<article><h1>Same</h1><p>One long text that all pages have</p><p>on day {i}</p></article>" for i in range(5)]
+    assert texts_of(spark, near) == [f"Same\n\nOne long text that all pages have\n\non day {i}" for i in range(5)]
