@@ -9,7 +9,8 @@ template if it is nested in an element of its own class, at any depth. On a page
 classes are nested by their pages: what the fewest pages share fills the slots of what
 more pages share, so of a page that holds template only, the innermost class is kept.
 A page's main text is what stands in the slots of its article; without an article
-element it is the slots in the element that carries most of the host's remaining text.
+element it is all slots below the element that carries most of the host's remaining text,
+where what stands in sections, lists, tables and quotes counts for the element around.
 Navigation, headers, footers, sidebars, adverts, notices, forms, scripts, styles and
 reader comments are no slots of a main text.
 
@@ -55,6 +56,9 @@ HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 NOT_MAIN = frozenset("""aside button canvas dialog footer form head iframe math menu nav noscript object select svg
 template textarea title""".split())
 MAIN = frozenset("article main".split())
+#: Parts of a text, which hold blocks but are no frame of a main text.
+INNER = frozenset("""blockquote caption center dd details dl dt figcaption figure hgroup li menu ol p section summary
+table tbody td tfoot th thead tr ul""".split()) | HEADING
 NOT_MAIN_NAMES = frozenset("""ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs
 comment comments consent cookie cookies copyright disqus footer gdpr legal login masthead menu modal nav navbar
 navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply
@@ -292,8 +296,11 @@ def templates(hosts_pages: DataFrame) -> DataFrame:
 
 
 def holder(block: Block) -> str:
-    """The element that a block stands in."""
-    return block.parent
+    """The element that a block stands in, not counting lists, tables, quotes and the like."""
+    parts = block.parent.split(">")
+    while len(parts) > 1 and parts[-1].split(".")[0] in INNER:
+        parts.pop()
+    return ">".join(parts)
 
 
 def _in_slots(region: list[Block], pages: dict[int, int], copy: bool) -> list[Block]:
@@ -319,8 +326,9 @@ def main_text(page: list[Block], template: Iterable[tuple[int, int]], main: int
     if inside:
         return "\n\n".join(block.text for block in _in_slots(inside, pages, True))
     if main is not None:
-        hashes = _hash([holder(block) for block in slots]).tolist()
-        around = [block for block, each in zip(slots, hashes, strict=True) if each == main]
+        paths = list({block.path for block in slots})
+        below = {path for path in paths if main in _hash(_around(path)).tolist()}
+        around = [block for block in slots if block.path in below]
         if around:
             return "\n\n".join(block.text for block in _in_slots(around, pages, True))
     return "\n\n".join(block.text for block in _in_slots(slots, pages, False))

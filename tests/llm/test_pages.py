@@ -120,3 +120,16 @@ def test_template_inside_article_elements(spark):
     assert found[8:] == ["Same\n\nOne text that three pages have\n\nOne text that three pages have ends"] * 3
     near = [f"<article><h1>Same</h1><p>One long text that all pages have</p><p>on day {i}</p></article>" for i in range(5)]
     assert texts_of(spark, near) == [f"Same\n\nOne long text that all pages have\n\non day {i}" for i in range(5)]
+
+
+def test_all_slots_below_the_main_element(spark):
+    """Lists, quotes, tables and sections of an article belong to it; so does text without a paragraph."""
+    def page(i: int) -> str:
+        return (f"<div class=post>Loose {i}<h1>Title {i}</h1><p>A text of page {i} that is long</p><ul><li>Point {i}</ul>"
+                f"<blockquote><p>Quote {i}</p></blockquote><table><tr><td>Cell {i}</table>"
+                f"<section><h2>Part {i}</h2><p>More {i}</p></section></div><div class=low><p>Low {i}</p></div>")
+
+    names = ("Loose {}", "Title {}", "A text of page {} that is long", "Point {}", "Quote {}", "Cell {}", "Part {}", "More {}")
+    assert texts_of(spark, [page(i) for i in range(4)]) == ["\n\n".join(names).format(*[i] * 8) for i in range(4)]
+    listed = [f"<div class=post><h1>Title {i}</h1><ul><li>A point of page {i} that is long<li>Point {i}</ul></div>" for i in range(3)]
+    assert texts_of(spark, listed)[1] == "Title 1\n\nA point of page 1 that is long\n\nPoint 1"
