@@ -12,7 +12,8 @@ A page's main text is what stands in the slots of its article; without an articl
 element it is all slots below the element that carries most of the host's remaining text,
 where what stands in sections, lists, tables and quotes counts for the element around.
 Navigation, headers, footers, sidebars, adverts, notices, forms, scripts, styles and
-reader comments are no slots of a main text.
+reader comments are no slots of a main text. Outside articles a word of a class, id or
+role tells them; inside only a whole name of a container does, as a word may be a slug.
 
 A vector is never built: pages are summed into a fingerprint per host and token (sums
 of a hash of page and count), with partial sums before the shuffle, so a host may have
@@ -64,6 +65,9 @@ comment comments consent cookie cookies copyright disqus footer gdpr legal login
 navigation newsletter notice notices overlay pager pagination popup promo promotion recommended related replies reply
 search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar widget""".split())
 MAIN_NAMES = frozenset("article body content entry main post story".split())
+#: Inside an article only these elements are ruled out by a name, and only by a whole one; a class may add such a word.
+CONTAINERS = frozenset("div dl figure ol section span table ul".split())
+PART_NAMES = frozenset("bar box button buttons icons links list widget widgets".split())
 #: What an opening tag closes if it is still open, and where to stop looking.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
           "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}),
@@ -95,9 +99,22 @@ class _Open(NamedTuple):
     header: bool
 
 
-def _named(attributes: str) -> tuple[str, bool, bool]:
-    """First class or id, whether the names rule main text out, and whether the element is hidden."""
-    first, words, hidden = "", set(), False
+class _Names(NamedTuple):
+    first: str = ""  # first class or id
+    ruled_out: bool = False  # whether a word of the names rules main text out
+    role: bool = False  # whether a whole name does
+    hidden: bool = False
+
+
+def _is_role(attribute: str, value: str) -> bool:
+    words = {word.lower() for word in _WORDS.findall(value)}
+    if attribute != "class":  # an id may be a slug of a heading
+        return value.lower() in NOT_MAIN_NAMES
+    return bool(words & NOT_MAIN_NAMES) and words <= NOT_MAIN_NAMES | PART_NAMES
+
+
+def _named(attributes: str) -> _Names:
+    first, words, role, hidden = "", set(), False, False
     for match in _NAMES.finditer(attributes):
         name = match[1].lower()
         value = match[2] or match[3] or match[4] or ""
@@ -108,7 +125,8 @@ def _named(attributes: str) -> tuple[str, bool, bool]:
         else:
             first = first or (value.split() or [""])[0]
             words |= {word.lower() for word in _WORDS.findall(value)}
-    return first, bool(words & NOT_MAIN_NAMES) and not words & MAIN_NAMES, hidden
+            role |= any(_is_role(name, each) for each in value.split())
+    return _Names(first, bool(words & NOT_MAIN_NAMES) and not words & MAIN_NAMES, role and not words & MAIN_NAMES, hidden)
 
 
 def blocks(html: str | None, elements: Counter | None = None) -> list[Block]:
@@ -167,8 +185,10 @@ def blocks(html: str | None, elements: Counter | None = None) -> list[Block]:
                     break
         top = stack[-1]
         attributes = match[4] or match[7] or ""
-        first, ruled_out, hidden = _named(attributes) if attributes.strip(" /") else ("", False, False)
+        first, ruled_out, role, hidden = _named(attributes) if attributes.strip(" /") else _Names()
         main = name in MAIN
+        if top.article:
+            ruled_out = role and name in CONTAINERS
         slot = top.slot and name not in NOT_MAIN and not hidden and (main or name in ("html", "body") or not ruled_out)
         header = top.header or name == "header" or first.lower() in ("header", "page-header", "site-header")
         if header and not top.article:

@@ -133,3 +133,20 @@ def test_all_slots_below_the_main_element(spark):
     assert texts_of(spark, [page(i) for i in range(4)]) == ["\n\n".join(names).format(*[i] * 8) for i in range(4)]
     listed = [f"<div class=post><h1>Title {i}</h1><ul><li>A point of page {i} that is long<li>Point {i}</ul></div>" for i in range(3)]
     assert texts_of(spark, listed)[1] == "Title 1\n\nA point of page 1 that is long\n\nPoint 1"
+
+
+@pytest.mark.parametrize("part", [
+    "<section id=related-work><p>x</p></section>", "<h2 id=login-flow>x</h2>", "<div class=legal-text>x</div>",
+    "<p class=alert>x</p>", "<h2 class=share>x</h2>", "<section class='chapter search-index'>x</section>",
+    "<section id=menu-bar>x</section>", "<table class=share-prices><tr><td>x</table>", "<ul id=comment-syntax><li>x</ul>",
+])
+def test_names_inside_an_article_that_are_no_roles(part):
+    assert alone(f"<article><p>a</p>{part}<p>b</p></article>") == "a\n\nx\n\nb"
+
+
+@pytest.mark.parametrize("part", [
+    "<section id=related><p>x</p></section>", "<div class='wide share'>x</div>", "<div class=social-links>x</div>",
+    "<ul class=Comments><li>x</ul>", "<div role=search>x</div>",
+])
+def test_names_inside_an_article_that_are_roles(part):
+    assert alone(f"<article><p>a</p>{part}<p>b</p></article>") == "a\n\nb"
