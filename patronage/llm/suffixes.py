@@ -18,7 +18,8 @@ first occurrence is never reported. Documents whose word sequences are equal are
 sorted once, for the smallest id.
 
 Null, empty and short texts have no spans. Rows without an id are left out. Of rows
-that repeat an id one counts (the smallest by its hashes). Texts are used whole.
+that repeat an id one counts (of those with ``LENGTH`` words the smallest by its hashes).
+Texts are used whole.
 """
 
 from __future__ import annotations
@@ -149,7 +150,10 @@ def _rows(docs, places) -> pa.RecordBatch:
 
 
 def _extended(length: int):
-    """(doc_id, text, places of matching suffixes) to all windows of ``length`` words that begin near one."""
+    """(doc_id, text, places of matching suffixes) to all windows of ``length`` words that begin near one.
+
+    Two more columns have the digests of the row that counts, for ids of several rows.
+    """
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts, places = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
@@ -158,8 +162,11 @@ def _extended(length: int):
                 windows = words.windows(length)
                 found = words.minimisers(windows, GRAM, NEAR)
                 matched = np.zeros(len(words.hashes) + 1, bool)
+                digests = [digest.tolist() for digest in words.digests()]
                 for i in range(begin, end):
-                    matched[words.starts[i - begin] + places[i].values.to_numpy()] = True
+                    wanted = tuple(batch.column(3 + j)[i].as_py() for j in range(2))
+                    if wanted in ((None, None), (digests[0][i - begin], digests[1][i - begin])):
+                        matched[words.starts[i - begin] + places[i].values.to_numpy()] = True
                 windows = windows[matched[found]]
                 owner = np.searchsorted(words.starts, windows, "right") - 1
                 one, two = (rolling.of(windows, windows + length) for rolling in words.rolling)
@@ -245,20 +252,26 @@ def repeated_spans(documents: DataFrame, doc_id: str, text: str, length: int = L
     sketch = "doc_id long, n_words long, digest long, digest2 long, suffixes array<struct<place:int,key:long>>"
     all_rows = staged(texts.mapInArrow(_suffixes(length), sketch), "suffixes")
     long_ = all_rows.filter(F.col("n_words") >= length)
-    one = staged(long_.groupBy("doc_id").agg(F.min(F.struct("digest", "digest2", "n_words")).alias("_d"))
-                 .select("doc_id", "_d.*"), "digests")
+    least = F.min(F.when(F.col("n_words") >= length, F.struct("digest", "digest2", "n_words")))
+    one = staged(all_rows.groupBy("doc_id").agg(least.alias("_d"), F.count("*").alias("_rows"))
+                 .filter("_d IS NOT NULL").select("doc_id", "_d.*", "_rows"), "digests")
+    # the row that counts, of ids that have several
+    counting = staged(one.filter("_rows > 1").select("doc_id", F.col("digest").alias("_one"), F.col("digest2").alias("_two")),
+                      "counting")
     # stored, so that Spark splits the join where one text has very many copies
     copies = staged(one.groupBy("digest", "digest2", "n_words")
                     .agg(F.min("doc_id").alias("rep"), F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "copies")
     copied = staged(one.join(copies, ["digest", "digest2", "n_words"]).filter("doc_id <> rep")
                     .select("doc_id", "n_words", "rep"), "copied")
 
-    kept = long_.join(copied.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.inline("suffixes"))
+    counts = F.col("_one").isNull() | (F.col("_one") == F.col("digest")) & (F.col("_two") == F.col("digest2"))
+    kept = (long_.join(copied.select("doc_id"), "doc_id", "left_anti").join(counting, "doc_id", "left").filter(counts)
+            .select("doc_id", F.inline("suffixes")))
     order = ["key", "doc_id", "place"]
     matching = (kept.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
                 .mapInArrow(_matching, "doc_id long, place int"))
-    near = matching.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    windows = staged(texts.join(near, "doc_id").select("doc_id", "text", "places").mapInArrow(
+    near = matching.groupBy("doc_id").agg(F.collect_set("place").alias("places")).join(counting, "doc_id", "left")
+    windows = staged(texts.join(near, "doc_id").select("doc_id", "text", "places", "_one", "_two").mapInArrow(
         _extended(length), "h long, h2 int, doc_id long, start int"), "windows")
     order = ["h", "h2", "doc_id", "start"]
     runs = (windows.repartitionByRange(*order).sortWithinPartitions(*order)

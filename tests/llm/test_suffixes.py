@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from patronage.llm.suffixes import cut, repeated_spans
+from patronage.llm.suffixes import Words, cut, repeated_spans
 
 
 def by_hand(rows: list[tuple], length: int = 50) -> set:
@@ -87,3 +87,14 @@ def test_cut(spark):
     table = spark.createDataFrame([row[:3] for row in rows], kinds)
     found = table.select("i", cut(F.col("text"), F.col("spans")).alias("t")).collect()
     assert {row["i"]: row["t"] for row in found} == {row[0]: row[3] for row in rows}
+
+
+def test_rows_of_an_id_with_other_texts(documents):
+    """Only the row that counts is compared: a shorter one has no such places, a longer one other words at them."""
+    first, second = (" ".join(f"{name}{i}" for i in range(300)) for name in "ab")
+    one, two = Words([first, second]).digests()
+    counting, other = (first, second) if (one[0], two[0]) < (one[1], two[1]) else (second, first)
+    for partitions in (1, 3):
+        rows = [(2, f"x {counting}"), (3, f"y {other}"), (1, first), (1, second), (1, "short"), (1, None), (1, "z")]
+        found = repeated_spans(documents(rows, partitions), "doc_id", "text").collect()
+        assert [tuple(row) for row in found] == [(2, 1, 300, 1, 0)]
