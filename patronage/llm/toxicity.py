@@ -47,6 +47,8 @@ FEATURES = 8192
 #: Bounds of the rows that the classifier is fitted on.
 POSITIVES, UNLABELLED = 10_000, 20_000
 KNOWN_PIECES = 200_000
+#: So many counts a task holds before it hands them on.
+HELD_COUNTS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -158,6 +160,9 @@ def _counts(wanted: np.ndarray | None):
                 found, count_ = np.unique(features.of(values[begin:end])[1], return_counts=True)
                 for feature, n in zip(found.tolist(), count_.tolist(), strict=True):
                     counter[feature] += n
+                if len(counter) > HELD_COUNTS:
+                    yield pd.DataFrame({"feature": counter.keys(), "n": counter.values()}, dtype="int64")
+                    counter.clear()
         yield pd.DataFrame({"feature": [0, *counter], "n": [documents, *counter.values()]}, dtype="int64")
     return count
 
@@ -224,7 +229,8 @@ def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
 
     ``prior`` is the share of toxic documents; by default that of the labelled ones.
     ``positives`` and ``unlabelled`` bound the rows that the classifier is fitted on,
-    drawn by a hash of the id; how frequent features are is counted over all rows.
+    drawn by a hash of the id; how frequent features are, in the positives and in all
+    documents, is counted over all rows.
     """
     texts = training.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     marks = (labels.select(F.col(label_id).alias("id"), F.col(toxic).alias("toxic")).filter("toxic IS NOT NULL")
@@ -237,41 +243,33 @@ def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
     prior = found["toxic"] / found["n"] if prior is None else prior
     prior = min(max(prior, 1e-4), 0.9)
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    least = max(LEAST_COUNT, LEAST_SHARE * min(found["toxic"], positives))
+    least = max(LEAST_COUNT, LEAST_SHARE * found["toxic"])
 
     def counted(rows: DataFrame, wanted: np.ndarray | None) -> dict[int, int]:
         sums = (rows.select("text").mapInPandas(_counts(wanted), "feature long, n long").groupBy("feature")
                 .agg(F.sum("n").alias("n")))
         # of all features those in LEAST_SHARE of the texts: at most (features of a text) / LEAST_SHARE rows
-        return {row["feature"]: row["n"] for row in (sums if wanted is not None else sums.filter(F.col("n") >= least)
-                                                     ).collect()}
-
-    # ids of the positives: no more than ``positives``, so the texts need no shuffle
-    chosen = labelled.filter((F.col("toxic") == 1) & (draw * found["toxic"] < positives)).select("id").distinct()
-    toxic_texts = staged(texts.join(F.broadcast(chosen), "id", "left_semi"), "positives")
-    in_toxic = toxic_texts.count()
-    if not in_toxic:
-        return nothing
-    frequent = counted(toxic_texts, None)
-    frequent.pop(0, None)
+        return {row["feature"]: row["n"] for row in (sums if wanted is not None else
+                                                     sums.filter((F.col("n") >= least) | (F.col("feature") == 0))).collect()}
+
+    # ids of the positives are few, so that Spark can broadcast them and the texts need no shuffle
+    confirmed = staged(labelled.filter(F.col("toxic") == 1).select("id").distinct(), "confirmed")
+    frequent = counted(texts.join(confirmed, "id", "left_semi"), None)
+    in_toxic = frequent.pop(0)
     candidates = np.array(sorted(feature for feature in frequent if not 0 < feature <= LENGTHS), np.int64)
-    documents = texts.count()
-    drawn = texts.filter(draw * documents < unlabelled)
 
-    def surprise(rows: DataFrame, wanted: np.ndarray) -> np.ndarray:
-        """How unlikely the positives have a feature so often if they were like ``rows`` (Poisson tail)."""
-        elsewhere = counted(rows, wanted)  # as many rows as features wanted
+    def surprise(wanted: np.ndarray) -> np.ndarray:
+        """How unlikely the positives have a feature so often if they were like all documents (Poisson tail)."""
+        elsewhere = counted(texts, wanted)  # as many rows as features wanted
         count = max(elsewhere.pop(0, 1), 1)
         usual = np.array([elsewhere.get(feature, 0) for feature in wanted.tolist()]) / count
         seen = np.array([frequent[feature] for feature in wanted.tolist()], float)
         expected = np.maximum(usual, 1 / count) * in_toxic
         return np.where(seen > expected, seen * np.log(seen / expected) - (seen - expected), 0.0)
 
-    # words as frequent in the sample as in the positives are left out before all documents are counted
     enough = np.log(max(len(candidates), 1)) + LEAST_ODDS
-    telling = candidates[surprise(drawn, candidates) >= enough / 2]
-    found_odds = surprise(texts, telling)
-    telling = telling[np.argsort(-found_odds, kind="stable")[:np.count_nonzero(found_odds >= enough)]][:FEATURES]
+    found_odds = surprise(candidates)
+    telling = candidates[np.argsort(-found_odds, kind="stable")[:np.count_nonzero(found_odds >= enough)]][:FEATURES]
     features = np.union1d(telling, np.arange(1, LENGTHS + 1))
 
     find = _rows_of(features)
@@ -286,7 +284,11 @@ def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
         drawn = rows.select("id", places("text").alias("row")).collect()
         return [np.array(row["row"], np.int64) for row in sorted(drawn, key=lambda row: (row["id"], row["row"]))]
 
-    rows = [places_in(toxic_texts), places_in(drawn)]
+    # the classifier alone is fitted on a bounded number of rows
+    documents = texts.count()
+    drawn = texts.filter(draw * documents < unlabelled)
+    chosen = F.broadcast(confirmed.filter(draw * found["toxic"] < positives))
+    rows = [places_in(texts.join(chosen, "id", "left_semi")), places_in(drawn)]
     if not rows[0] or not rows[1]:
         return nothing
     return Model(features, *nnpu(rows[0], rows[1], prior, len(features)))

@@ -87,3 +87,23 @@ def test_features(monkeypatch):
         some_owner, some = lookup.of(texts)
         keep = np.isin(feature, wanted)
         assert (some_owner == owner[keep]).all() and (some == feature[keep]).all()
+
+
+def test_features_are_counted_over_all_rows(spark, documents, monkeypatch):
+    """The bounds of the rows that the model is fitted on do not change which features are found."""
+    draw = random.Random(8)
+    rows = []
+    for i in range(600):
+        words = [f"word{draw.randrange(300)}" for _ in range(draw.randrange(10, 60))]
+        if i % 4 == 0:
+            words.append(["nasty", "vile"][i % 40 == 0])
+        rows.append((i, " ".join(words)))
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    table = documents(rows)
+    full = fit(table, "doc_id", "text", labels, "doc_id", "toxic")
+    monkeypatch.setattr("patronage.llm.toxicity.HELD_COUNTS", 100)
+    bounded = fit(table, "doc_id", "text", labels, "doc_id", "toxic", positives=20, unlabelled=40)
+    assert np.array_equal(full.features, bounded.features)
+    assert set(Features().of(["vile"])[1].tolist()) <= set(bounded.features.tolist())
+    one = fit(table, "doc_id", "text", labels.filter("doc_id < 4"), "doc_id", "toxic")
+    assert len(one.features) and np.isfinite(one.bias)
