@@ -28,14 +28,35 @@ def without_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the smallest id of every group; one row per id, rows without an id all stay."""
+    """The document with the smallest id of every group; rows without an id all stay.
+
+    Rows of one id with other texts are documents of their own; of those alike one stays.
+    """
     ship(spark)
-    found = minhash.near_duplicates(docs, "doc_id", "text")
-    kept = found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    number = fresh("number")
-    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(kept, "doc_id", "left_semi").withColumn(number, F.row_number().over(first))
-    return (named.filter(F.col(number) == 1).select(*docs.columns)
+    key, digest, flag, own_id, rows = (fresh(name) for name in ("key", "digest", "flag", "own_id", "rows"))
+    named = docs.filter(F.col("doc_id").isNotNull()).withColumn(digest, F.xxhash64("text"))
+    texts = staged(named.groupBy("doc_id", digest).agg(F.count("*").alias(rows)), "texts")
+    several = staged(texts.groupBy("doc_id").agg(F.count("*").alias(rows)).filter(F.col(rows) > 1)
+                     .select("doc_id", F.lit(True).alias(flag)), "several")
+    # a key per id, or per id and text where an id has several
+    own = F.when(F.col(flag), F.xxhash64("doc_id", digest)).otherwise(F.col("doc_id").cast("long")).alias(key)
+    keyed = named.join(several, "doc_id", "left").select(*docs.columns, own)
+    found = staged(minhash.near_duplicates(keyed, key, "text").select(
+        F.col("doc_id").alias(key), "component_id", "kept"), "found")
+
+    # groups with a key that is no id are told by the ids of their rows
+    others = staged(texts.join(several, "doc_id").select(own, F.col("doc_id").cast("long").alias(own_id)), "others")
+    mixed = staged(found.join(others, key, "left_semi").select("component_id").distinct(), "mixed")
+    least = F.min(F.struct(F.coalesce(own_id, key).alias(own_id), F.col(key))).alias("_least")
+    first = (found.join(mixed, "component_id").join(others, key, "left").groupBy("component_id").agg(least)
+             .select(F.col("_least").getField(key).alias(key)))
+    kept = staged(found.filter("kept").join(mixed, "component_id", "left_anti").select(key).distinct().union(first), "kept")
+
+    copies = staged(texts.filter(F.col(rows) > 1).join(several, "doc_id", "left").select(own), "copies")
+    left = keyed.join(kept, key, "left_semi")
+    once = (left.join(copies, key, "left_semi").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("_row"))
+            .select("_row.*"))
+    return (left.join(copies, key, "left_anti").select(*docs.columns).unionByName(once)
             .unionByName(docs.filter(F.col("doc_id").isNull())))
 
 

@@ -37,6 +37,16 @@ def test_near_duplicates(spark, documents):
     assert found.columns == table.columns and Counter(texts_of(found)) == Counter(expected)
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark, documents):
+    """Other texts of an id stay, unless a row with a smaller id has them."""
+    one, two, three = (" ".join(f"{name}{i}" for i in range(60)) for name in "abc")
+    rows = [(4, one), (4, two), (4, two), (4, three), (9, two), (2, three + " more"), (4, None), (6, "alone"), (-7, "x")]
+    table = documents(rows)
+    found = pipeline.without_near_duplicates(spark, table, FOLDER)
+    expected = [(4, one), (4, two), (2, three + " more"), (4, None), (6, "alone"), (-7, "x")]
+    assert found.columns == table.columns and Counter(texts_of(found)) == Counter(expected)
+
+
 def test_repeated_passages(spark, documents):
     rows = passage_collection(4)
     table = documents([*rows, (9100, rows[1][1]), (9100, "other"), *ODD])
