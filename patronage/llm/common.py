@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,8 @@ from patronage.session import staged
 WORD = r"[^\x20\x09-\x0D]+"
 SLICE_CHARS = 1_500_000
 
-__all__ = ["Index", "SLICE_CHARS", "WORD", "fresh", "held_out", "letters", "read", "slices", "staged", "word_hashes", "words_of"]
+__all__ = ["Index", "SLICE_CHARS", "WORD", "fresh", "held_out", "letters", "parts", "read", "slices", "staged",
+           "word_hashes", "words_of"]
 
 
 def read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -67,6 +70,17 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tu
         yield start, len(texts)
 
 
+def parts(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str | None]]:
+    """The texts of an Arrow column in lists of about ``limit`` bytes, so that few are Python strings at once."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(texts):
+        passed = ends[begin - 1] if begin else 0
+        end = max(int(np.searchsorted(ends, passed + limit, side="right")), begin + 1)
+        yield texts[begin:end].to_pylist()
+        begin = end
+
+
 def words_of(texts: Sequence[str | None], lower: bool = False) -> tuple[list[bytes], np.ndarray]:
     """All words of the texts in one list, and where each text's words start; null has none.
 

@@ -16,7 +16,10 @@ linear model on these features is fitted in numpy on a bounded sample of rows.
 
 Null and empty texts have no features and get the score of such a text. Without any
 positive or without any label every score is 0. Rows without an id are scored and
-never learnt from; several labels of an id count as toxic if one of them is.
+never learnt from; several labels of an id count as toxic if one of them is. Rows that
+repeat an id are documents each when features are counted. Long texts are read whole,
+one at a time. Equal texts get equal scores, so there are no ties to break. An empty
+table teaches nothing and gives no rows.
 """
 
 from __future__ import annotations
@@ -26,11 +29,11 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import Index, letters, slices, staged
+from patronage.llm.common import Index, letters, parts, staged
 from patronage.llm.suffixes import Rolling
 
 THRESHOLD = 0.3
@@ -43,11 +46,14 @@ AGAIN = (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)
 LEAST_SHARE, LEAST_COUNT = 0.002, 3
 #: Its excess in the positives must be this much less likely by chance (as a logarithm) than one in all candidates.
 LEAST_ODDS = 2.0
+#: The model keeps the most telling features, so many at most.
 FEATURES = 8192
 #: Bounds of the rows that the classifier is fitted on.
 POSITIVES, UNLABELLED = 10_000, 20_000
-KNOWN_PIECES = 200_000
-#: So many counts a task holds before it hands them on.
+KNOWN_PIECES = 100_000
+#: Bytes of text that a worker takes apart at a time.
+PART = 400_000
+#: So many counts a task holds before it adds them up, and hands them on if still more than half.
 HELD_COUNTS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
 
@@ -147,23 +153,36 @@ class Features:
         return text_number[order], feature[order]
 
 
+def _summed(features: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Every feature once, with the sum of its counts."""
+    flat, number = np.concatenate(features), np.concatenate(counts)
+    order = np.argsort(flat, kind="stable")
+    flat, number = flat[order], number[order]
+    first = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1])))
+    return flat[first], np.add.reduceat(number, first)
+
+
 def _counts(wanted: np.ndarray | None):
     """Documents per feature in a task, of the wanted features or of all; feature 0 counts the documents."""
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counter: Counter = Counter()
-        features = Features(wanted)
-        documents = 0
+    def rows(features: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(map(pa.array, _summed(features, counts))), ["feature", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Features(wanted)
+        features, counts, documents = [], [], 0
         for batch in batches:
-            values = batch["text"].tolist()
-            documents += len(values)
-            for begin, end in slices(values):
-                found, count_ = np.unique(features.of(values[begin:end])[1], return_counts=True)
-                for feature, n in zip(found.tolist(), count_.tolist(), strict=True):
-                    counter[feature] += n
-                if len(counter) > HELD_COUNTS:
-                    yield pd.DataFrame({"feature": counter.keys(), "n": counter.values()}, dtype="int64")
-                    counter.clear()
-        yield pd.DataFrame({"feature": [0, *counter], "n": [documents, *counter.values()]}, dtype="int64")
+            documents += batch.num_rows
+            for texts in parts(batch.column(0), PART):
+                new, number = np.unique(found.of(texts)[1], return_counts=True)
+                features.append(new)
+                counts.append(number)
+                if sum(map(len, features)) > HELD_COUNTS:
+                    feature, n = _summed(features, counts)
+                    features, counts = [feature], [n]
+                    if len(feature) > HELD_COUNTS // 2:
+                        yield rows(features, counts)
+                        features, counts = [], []
+        yield rows([*features, np.zeros(1, np.int64)], [*counts, np.array([documents])])
     return count
 
 
@@ -224,13 +243,15 @@ def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id: str, toxic: str,
-        prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+        prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+        features: int = FEATURES) -> Model:
     """Learn from the documents of ``training`` and the labels of these documents.
 
     ``prior`` is the share of toxic documents; by default that of the labelled ones.
     ``positives`` and ``unlabelled`` bound the rows that the classifier is fitted on,
-    drawn by a hash of the id; how frequent features are, in the positives and in all
-    documents, is counted over all rows.
+    drawn by a hash of id and text; rows that repeat both are drawn once. How frequent
+    features are, in the positives and in all documents, is counted over all rows; the
+    model keeps the ``features`` most telling ones.
     """
     texts = training.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
     marks = (labels.select(F.col(label_id).alias("id"), F.col(toxic).alias("toxic")).filter("toxic IS NOT NULL")
@@ -242,11 +263,10 @@ def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
         return nothing
     prior = found["toxic"] / found["n"] if prior is None else prior
     prior = min(max(prior, 1e-4), 0.9)
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     least = max(LEAST_COUNT, LEAST_SHARE * found["toxic"])
 
     def counted(rows: DataFrame, wanted: np.ndarray | None) -> dict[int, int]:
-        sums = (rows.select("text").mapInPandas(_counts(wanted), "feature long, n long").groupBy("feature")
+        sums = (rows.select("text").mapInArrow(_counts(wanted), "feature long, n long").groupBy("feature")
                 .agg(F.sum("n").alias("n")))
         # of all features those in LEAST_SHARE of the texts: at most (features of a text) / LEAST_SHARE rows
         return {row["feature"]: row["n"] for row in (sums if wanted is not None else
@@ -254,7 +274,8 @@ def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
 
     # ids of the positives are few, so that Spark can broadcast them and the texts need no shuffle
     confirmed = staged(labelled.filter(F.col("toxic") == 1).select("id").distinct(), "confirmed")
-    frequent = counted(texts.join(confirmed, "id", "left_semi"), None)
+    toxic_texts = texts.join(confirmed, "id", "left_semi")
+    frequent = counted(toxic_texts, None)
     in_toxic = frequent.pop(0)
     candidates = np.array(sorted(feature for feature in frequent if not 0 < feature <= LENGTHS), np.int64)
 
@@ -269,41 +290,41 @@ def fit(training: DataFrame, doc_id: str, text: str, labels: DataFrame, label_id
 
     enough = np.log(max(len(candidates), 1)) + LEAST_ODDS
     found_odds = surprise(candidates)
-    telling = candidates[np.argsort(-found_odds, kind="stable")[:np.count_nonzero(found_odds >= enough)]][:FEATURES]
-    features = np.union1d(telling, np.arange(1, LENGTHS + 1))
-
-    find = _rows_of(features)
-
-    @F.pandas_udf("array<int>")
-    def places(values: pd.Series) -> pd.Series:
-        values = values.tolist()
-        out = [row.astype(np.int32) for begin, end in slices(values) for row in find(values[begin:end])]
-        return pd.Series(out, dtype=object)
-
-    def places_in(rows: DataFrame) -> list[np.ndarray]:
-        drawn = rows.select("id", places("text").alias("row")).collect()
-        return [np.array(row["row"], np.int64) for row in sorted(drawn, key=lambda row: (row["id"], row["row"]))]
+    telling = candidates[np.argsort(-found_odds, kind="stable")[:np.count_nonzero(found_odds >= enough)]][:features]
+    chosen = np.union1d(telling, np.arange(1, LENGTHS + 1))
+    find = _rows_of(chosen)
+
+    @F.arrow_udf("array<int>")
+    def places(values: pa.Array) -> pa.Array:
+        return pa.array([row.astype(np.int32) for texts in parts(values, PART) for row in find(texts)],
+                        pa.list_(pa.int32()))
+
+    def drawn(rows: DataFrame, bound: int) -> list[np.ndarray]:
+        """Features of at most ``bound`` rows, in an order that does not depend on how rows are dealt out."""
+        content = F.xxhash64("id", "text")
+        different = rows.agg(F.approx_count_distinct(content, 0.02)).first()[0]
+        draw = F.pmod(F.xxhash64(content, F.lit(7)), F.lit(1 << 30)).alias("draw")
+        some = rows.filter(draw * max(different, 1) < float(bound) * (1 << 30)).select(
+            draw, content.alias("content"), places("text").alias("row"))
+        once = some.groupBy("draw", "content").agg(F.first("row").alias("row"))  # repeated rows are drawn alike
+        taken = sorted(once.collect(), key=lambda row: (row["draw"], row["content"]))[:bound]
+        return [np.array(row["row"], np.int64) for row in taken]
 
     # the classifier alone is fitted on a bounded number of rows
-    documents = texts.count()
-    drawn = texts.filter(draw * documents < unlabelled)
-    chosen = F.broadcast(confirmed.filter(draw * found["toxic"] < positives))
-    rows = [places_in(texts.join(chosen, "id", "left_semi")), places_in(drawn)]
+    rows = [drawn(toxic_texts, positives), drawn(texts, unlabelled)]
     if not rows[0] or not rows[1]:
         return nothing
-    return Model(features, *nnpu(rows[0], rows[1], prior, len(features)))
+    return Model(chosen, *nnpu(rows[0], rows[1], prior, len(chosen)))
 
 
 def score(text: Column, model: Model) -> Column:
     """Chance that a text is toxic, 0 to 1."""
     find = _rows_of(model.features)
 
-    @F.pandas_udf("double")
-    def rate(texts: pd.Series) -> pd.Series:
-        values = texts.tolist()
-        sums = [float(model.weights[row].sum()) + model.bias
-                for begin, end in slices(values) for row in find(values[begin:end])]
+    @F.arrow_udf("double")
+    def rate(values: pa.Array) -> pa.Array:
+        sums = [float(model.weights[row].sum()) + model.bias for texts in parts(values, PART) for row in find(texts)]
         with np.errstate(over="ignore"):
-            return pd.Series(1 / (1 + np.exp(-np.array(sums, float))))
+            return pa.array(1 / (1 + np.exp(-np.array(sums, float))))
 
     return rate(text)
