@@ -180,3 +180,61 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 WHERE rank <= 20
 """
+
+# every run holds five words in a row that equal those one period before: pairs of such stretches give all lags
+ORACLE["op11_periodic_runs"] = f"""
+WITH worded AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '{WORD}'), []) AS w,
+    flatten([[(ascii(c) >> k) & 1 FOR k IN range(8)] FOR c IN string_split(doc_id::VARCHAR, '')]) AS bits
+  FROM documents
+),
+hashed AS (
+  SELECT doc_id, w, len(w) AS n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, bits), lambda c, b:
+    xor(c >> 1, CASE WHEN xor(c, b::BIGINT) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END))) AS h
+  FROM worded
+),
+dealt AS (
+  SELECT doc_id, w, n, h % 10 = 0 AND n > 0 AS hit, h // 10 AS g, CASE WHEN n > 0 THEN (h // 10) % n END AS a FROM hashed
+),
+listed AS (
+  SELECT doc_id, n, hit, a, 1 + (n - a) // (3 + g % 8) AS p, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM dealt
+),
+words AS (
+  SELECT l.doc_id, l.n, l.i, coalesce(o.word, l.word) AS word
+  FROM listed l LEFT JOIN listed o ON l.hit AND l.i >= l.a AND o.doc_id = l.doc_id AND o.i = l.a + (l.i - l.a) % l.p
+),
+grams AS (
+  SELECT doc_id, n, i, concat_ws(' ', word, lead(word, 1) OVER t, lead(word, 2) OVER t, lead(word, 3) OVER t, lead(word, 4) OVER t) AS gram
+  FROM words WINDOW t AS (PARTITION BY doc_id ORDER BY i)
+),
+diagonals AS (
+  SELECT a.doc_id, a.i - b.i AS q, a.i FROM grams a JOIN grams b USING (doc_id, gram)
+  WHERE a.i > b.i AND 4 * (a.i - b.i) <= a.n AND a.i + 5 <= a.n
+),
+stretches AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM diagonals
+),
+candidates AS (
+  SELECT doc_id, min(i) - q AS start, count(*) + 4 + q AS length, q AS period FROM stretches
+  GROUP BY doc_id, q, island HAVING count(*) + 4 + q >= greatest(6, 4 * q)
+),
+runs AS (
+  SELECT * FROM candidates r WHERE NOT EXISTS (FROM candidates s WHERE s.doc_id = r.doc_id AND s.period < r.period
+    AND r.period % s.period = 0 AND s.start <= r.start AND r.start + r.length <= s.start + s.length)
+),
+totals AS (
+  SELECT doc_id, count(*) AS n_runs, max({{'length': length, 'start': -start, 'period': -period}}) AS best,
+    string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+  FROM runs GROUP BY doc_id
+),
+dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+),
+collapsed AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_words, coalesce(t.n_runs, 0) AS n_runs, -t.best.start AS start, t.best.length AS length,
+  -t.best.period AS period, 1000 * t.best.length // -t.best.period AS exponent_milli,
+  sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(c.text, '')) AS collapsed_sha256
+FROM dealt d LEFT JOIN totals t USING (doc_id) LEFT JOIN collapsed c USING (doc_id)
+"""

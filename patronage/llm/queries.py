@@ -13,8 +13,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, langid, minhash, mixing, pages, quality, suffixes, toxicity, urls, vptree
-from patronage.llm.common import held_out, read, staged
+from patronage.llm import bpe, langid, minhash, mixing, pages, quality, runs, suffixes, toxicity, urls, vptree
+from patronage.llm.common import WORD, held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,3 +142,40 @@ def op2_nearest(spark: SparkSession, folder: str) -> DataFrame:
 def op5_main_text(spark: SparkSession, folder: str) -> DataFrame:
     found = pages.extracted(read(spark, folder, "pages", "page_id", "url", "html"), "page_id", "url", "html")
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def with_planted_periods(documents: DataFrame) -> DataFrame:
+    """Texts of which a tenth repeat some of their own words to the end, as a hash of the id says; others are left alone.
+
+    With h the CRC-32 of the decimal id, every word i >= a becomes word a + (i - a) % p.
+    A row without an id has no hash and stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    n, g = F.size("_words"), F.floor(h / 10)
+    a = F.col("_a")
+    # the stretch of p words from a on, as often as fits and cut to length; no word is looked up one by one
+    repeated = F.flatten(F.array_repeat(F.slice("_words", a + 1, F.col("_p")),
+                                        F.ceil((n - a) / F.col("_p")).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice("_words", F.lit(1), a), repeated), F.lit(1), n), " ")
+    hit = F.col("_words").isNotNull() & (n > 0)
+    return (documents.withColumn("_words", found)
+            .withColumn("_a", F.when(hit, (g % n).cast("int")))
+            .withColumn("_p", F.when(hit, (1 + F.floor((n - a) / (3 + g % 8))).cast("int")))
+            .select("doc_id", F.when(hit, planted).otherwise(F.col("text")).alias("text")))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    documents = with_planted_periods(read(spark, folder, "documents", "doc_id", "text"))
+    found = runs.periodic_runs(documents, "text", ["doc_id"])
+    order = F.transform("runs", lambda run: F.struct(run["length"].alias("length"), (-run["start"]).alias("start"),
+                                                     (-run["period"]).alias("period")))
+    best = F.array_max(order)
+    lines = F.transform("runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("_best", best).select(
+        "doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), (-F.col("_best.start")).alias("start"),
+        F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
+        F.floor(1000 * F.col("_best.length") / -F.col("_best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
