@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, langid, minhash, mixing, pages, quality, runs, suffixes, toxicity, urls, vptree
+from patronage.llm import bpe, langid, minhash, mixing, pages, quality, runs, simhash, suffixes, toxicity, urls, vptree
 from patronage.llm.common import WORD, held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,3 +179,9 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
         F.col("_best.length").alias("length"), (-F.col("_best.period")).alias("period"),
         F.floor(1000 * F.col("_best.length") / -F.col("_best.period")).alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query
+def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")

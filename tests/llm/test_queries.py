@@ -16,6 +16,7 @@ COLUMNS = {
     "op3_language": ["doc_id", "held_out", "lang_pred", "score", "rejected"],
     "op5_main_text": ["page_id", "url", "text", "n_chars"],
     "op7_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op13_simhash": ["doc_id", "fingerprint", "component_id"],
 }
 
 
