@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import bpe, langid, minhash, mixing, pages, quality, runs, simhash, suffixes, toxicity, urls, vptree
+from patronage.llm import bpe, gnat, langid, minhash, mixing, pages, quality, runs, simhash, suffixes, toxicity, urls, vptree
 from patronage.llm.common import WORD, held_out, read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,3 +185,13 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 def op13_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
     return found.select("doc_id", simhash.as_hex(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.col("label").cast("long")
+    whole = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("double"))
+    rows = read(spark, folder, "embeddings", "vec_id", "label", "embedding").select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        F.when(gnat.usable(F.col("embedding")), whole).alias("vector"))
+    return gnat.hard_negatives(rows, "vec_id", "label", "vector", F.col("id") % 100 == 0)
