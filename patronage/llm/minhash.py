@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patronage.llm.common import slices, staged, word_hashes, words_of
+from patronage.llm.common import parts, staged, word_hashes, words_of
 from patronage.llm.components import components
 
 SHINGLE = 5
@@ -94,9 +94,10 @@ def signatures(keys: np.ndarray, starts: np.ndarray, count: int) -> np.ndarray:
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to set size, set digest and band keys; the keys of an empty set are null."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for begin, end in slices(texts):
-            keys, starts = shingle_sets(texts[begin:end])
+        ids, end = batch.column(0), 0
+        for texts in parts(batch.column(1)):
+            begin, end = end, end + len(texts)
+            keys, starts = shingle_sets(texts)
             sizes = np.diff(starts)
             filled = sizes > 0
             minima = signatures(keys, starts, BANDS * ROWS).reshape(-1, BANDS, ROWS).astype(np.uint64)
@@ -119,9 +120,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to the full set and its longer signature, both as bytes; empty sets are left out."""
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        for begin, end in slices(texts):
-            keys, starts = shingle_sets(texts[begin:end])
+        ids, end = batch.column(0), 0
+        for texts in parts(batch.column(1)):
+            begin, end = end, end + len(texts)
+            keys, starts = shingle_sets(texts)
             filled = np.flatnonzero(np.diff(starts) > 0)
             short = signatures(keys, starts, CHECK).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([

@@ -20,6 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 VOCABULARY = "byte_bpe_50k.json"
 WEB_POLICY = "web.2"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Exact: the vectors have so little structure that leaving out more loses more than it saves.
 NEAREST_FACTOR = 1.0
 URL_RULES = (
@@ -54,8 +55,14 @@ def _ship(application: str) -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, as ``--py-files`` would."""
+    """Give the executors this package, once per application, as ``--py-files`` would.
+
+    Batches of rows for Python are bounded by bytes as well, unless the session says how;
+    ten thousand long texts are more than a worker should hold.
+    """
     _ship(spark.sparkContext.applicationId)
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

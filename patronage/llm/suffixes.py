@@ -28,13 +28,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from patronage.llm.common import slices, staged, word_hashes, words_of
+from patronage.llm.common import parts, staged, word_hashes, words_of
 
 #: Words of the shortest passage that counts as repeated.
 LENGTH = 50
@@ -104,9 +103,10 @@ def _suffixes(length: int):
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for begin, end in slices(texts):
-                words = Words(texts[begin:end])
+            ids, end = batch.column(0), 0
+            for texts in parts(batch.column(1)):
+                begin, end = end, end + len(texts)
+                words = Words(texts)
                 kept = np.unique(words.minimisers(words.windows(length), GRAM, NEAR))
                 keys = words.rolling[0].of(kept, kept + head).view(np.int64)
                 bounds = np.searchsorted(kept, words.starts).astype(np.int32)
@@ -156,9 +156,10 @@ def _extended(length: int):
     """
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, places = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2)
-            for begin, end in slices(texts):
-                words = Words(texts[begin:end])
+            ids, places, end = batch.column(0).to_numpy(), batch.column(2), 0
+            for texts in parts(batch.column(1)):
+                begin, end = end, end + len(texts)
+                words = Words(texts)
                 windows = words.windows(length)
                 found = words.minimisers(windows, GRAM, NEAR)
                 matched = np.zeros(len(words.hashes) + 1, bool)
@@ -304,10 +305,14 @@ def repeated_spans(documents: DataFrame, doc_id: str, text: str, length: int = L
 def cut(text: Column, spans: Column) -> Column:
     """``text`` without spans given as ``array<struct<start_word,n_words>>``; no spans, no change."""
 
-    @F.pandas_udf("string")
-    def without(texts: pd.Series, rows: pd.Series) -> pd.Series:
-        return pd.Series([_without(one, cuts) for one, cuts in zip(texts, rows, strict=True)], index=texts.index,
-                         dtype=object)
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, rows: pa.Array) -> pa.Array:
+        done, end = [], 0
+        for some in parts(texts):
+            begin, end = end, end + len(some)
+            done.append(pa.array([_without(one, cuts) for one, cuts in
+                                  zip(some, rows[begin:end].to_pylist(), strict=True)], pa.string()))
+        return pa.concat_arrays([*done, pa.array([], pa.string())])
 
     return without(text, spans)
 
