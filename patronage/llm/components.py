@@ -2,8 +2,8 @@
 
 Both steps group the edges by node and hang a node's neighbours on the smallest one.
 Repeated in turn they leave a star per component, around its smallest node. A node
-with very many edges is never gathered: its smallest neighbour is an aggregate, and
-the edges meet it in a join whose large partitions Spark splits.
+with very many edges is never gathered: its smallest neighbour is an aggregate, which
+is stored, so that the edges meet it in a join whose large partitions Spark splits.
 
 Edges with a null end and loops are left out; repeated edges count once. No edges:
 no rows. Every round is a table in the shared folder.
@@ -25,13 +25,13 @@ def _digest(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of every node move to the smallest node around it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of every node, and the node itself, move to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = staged(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
@@ -43,7 +43,7 @@ def components(edges: DataFrame, one: str, other: str) -> DataFrame:
                      "edges")
     digest = _digest(current)
     while digest[0]:
-        current = staged(_small_star(_large_star(current)), "edges")
+        current = staged(_small_star(staged(_large_star(current), "large")), "edges")
         before, digest = digest, _digest(current)
         if digest == before:
             break
