@@ -53,7 +53,9 @@ def without_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -
     kept = staged(found.filter("kept").join(mixed, "component_id", "left_anti").select(key).distinct().union(first), "kept")
 
     copies = staged(texts.filter(F.col(rows) > 1).join(several, "doc_id", "left").select(own), "copies")
-    left = keyed.join(kept, key, "left_semi")
+    # those that go are the fewer
+    gone = staged(found.select(key).distinct().join(kept, key, "left_anti"), "gone")
+    left = keyed.join(gone, key, "left_anti")
     once = (left.join(copies, key, "left_semi").groupBy(key).agg(F.first(F.struct(*docs.columns)).alias("_row"))
             .select("_row.*"))
     return (left.join(copies, key, "left_anti").select(*docs.columns).unionByName(once)
