@@ -8,9 +8,10 @@ copies taken spread evenly over all sizes and the words taken differ from the ta
 by less than the longest document.
 
 The running sum needs each document's place in its source. Documents are range
-partitioned by (source, size, id), which spreads a hot source over many tasks; a task
-numbers its own stretch, and counts per stretch, a few per source, give the rest. The
-counts of sources never come to the driver.
+partitioned by (source, size, id), rows alike in these by where they were read, which
+spreads a hot source, and rows that repeat, over many tasks; a task numbers its own
+stretch, and counts per stretch, a few per source, give the rest. The counts of sources
+never come to the driver.
 
 Null source: a source of its own, last in order. Null text: size 0. Null ids are
 ordered first; repeated rows are documents of their own, told apart by nothing, so
@@ -85,9 +86,10 @@ def mixed(documents: DataFrame, doc_id: str, source: str, size: Column, weights:
     (copies times size). ``size`` is a whole number >= 0 per document, null counts as 0.
     """
     sized = documents.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
-                             F.coalesce(size, F.lit(0)).cast("long").alias("size"))
+                             F.coalesce(size, F.lit(0)).cast("long").alias("size"),
+                             F.monotonically_increasing_id().alias("_read"))
     # sorting samples its input first: the texts are read and counted once only
-    runs = sorted_runs(staged(sized, "sizes"), "source", "size", "doc_id")
+    runs = sorted_runs(staged(sized, "sizes"), "source", "size", "doc_id", "_read")
     # a source lies in neighbouring runs: as many rows as sources and runs together
     parts = runs.groupBy("source", RUN).agg(F.count("*").alias("_count"), F.min(PLACE).alias("_begin"),
                                             F.sum("size").alias("_words"))
