@@ -83,13 +83,13 @@ WITH parsed AS (
         FROM pages)),
 labelled AS (
   SELECT p.host, 1 - l.quality AS bad FROM parsed p
-  JOIN labels l ON l.doc_id = try_cast(regexp_extract(p.path, '/(\\d{{1,18}})(\\.html|/)?$', 1) AS BIGINT)
-  WHERE l.quality IS NOT NULL AND p.host <> ''),
+  LEFT JOIN labels l ON l.doc_id = try_cast(regexp_extract(p.path, '/(\\d{{1,18}})(\\.html|/)?$', 1) AS BIGINT)
+  WHERE p.host <> ''),
 hosts AS (
   SELECT host, n, bad, parts, CASE WHEN wide THEN array_to_string(parts[-3:], '.') ELSE two END AS domain,
          CASE WHEN wide THEN two ELSE parts[-1] END AS suffix
   FROM (SELECT *, array_to_string(parts[-2:], '.') AS two, array_to_string(parts[-2:], '.') IN ({_TWO}) AS wide
-        FROM (SELECT host, {_LABELS} AS parts, count(*) AS n, sum(bad) AS bad FROM labelled GROUP BY host))),
+        FROM (SELECT host, {_LABELS} AS parts, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM labelled GROUP BY host))),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (
   SELECT suffix, sum(n) AS n, sum(bad) AS bad, sum(sum(bad)) OVER () / sum(sum(n)) OVER () AS prior

@@ -4,16 +4,20 @@ Labelled outcomes of pages (bad or not) are counted per host, registered domain
 suffix. Going down that ladder, every level's rate is shrunk towards the level above
 by a beta-binomial prior; the prior's strength is estimated from how far the groups
 of a level differ beyond chance. A host is blocked if the lower bound of its
-posterior rate of bad pages is above a threshold, so a host with few labels is judged
-mostly by its domain, and an unlabelled one by its domain alone. Where the domain has no
-label either nothing is blocked, as the rate of a whole suffix would be a guess.
+posterior rate of bad pages is above a threshold. So a host with few labels is judged
+mostly by its domain, one without labels by its domain alone, by its suffix where the
+domain has no label either, and by all labels where the suffix has none.
 
-Built-in functions only. Outcomes are summed per host before anything is joined, and
-the levels above are summed from the hosts. Only three strengths come to the driver.
+Built-in functions only. Outcomes are summed per host, stored, and the levels above are
+summed from the hosts; pages are read for the verdicts alone. Only three strengths come
+to the driver.
 
 Null url, or one without ``://``: host and path are empty, no rule fits, verdict
-allow. Repeated rows are judged alike. Outcomes with a null page or verdict are left
-out; several outcomes of a page all count.
+allow. Urls are taken whole, however long. Repeated rows are judged alike. Outcomes with
+a null page or verdict are left out; several outcomes of a page all count. Of rules that
+fit the longest wins; none are equally long and fit the same url with other verdicts. A
+bound at the threshold allows. No outcomes: nothing but the rules blocks. An empty table
+of pages gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from patronage.llm.common import staged
+
 PORT_OR_USER = r"^[^@]*@|:[0-9]*$"
 #: Suffixes of two labels under which domains are registered.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
@@ -91,33 +97,40 @@ def _shrunk(groups: DataFrame) -> tuple[DataFrame, float]:
     return groups.withColumn("mean", mean), strength
 
 
-def host_reputation(outcomes: DataFrame, z: float = Z, others: DataFrame | None = None) -> DataFrame:
-    """Posterior of the share of bad pages per host.
+class Reputation(NamedTuple):
+    """Posterior of the share of bad pages, and its lower bound, per rung of the ladder.
 
-    ``outcomes`` has host and bad (0 or 1), a row per labelled page; ``others`` has hosts
-    that may have no label. Returns host, n, bad, mean (posterior) and bound (posterior
-    mean less ``z`` standard deviations) of the hosts whose domain has labels.
+    The bounds of domains, suffixes and of all are those of a host without labels.
     """
+
+    hosts: DataFrame  # host, n, bad, mean, bound
+    domains: DataFrame  # domain, mean, bound
+    suffixes: DataFrame  # suffix, mean, bound
+    overall: float
+
+
+def reputation(outcomes: DataFrame, z: float = Z) -> Reputation:
+    """What labelled pages, given as host and bad (0 or 1), say; ``z`` standard deviations below the mean is the bound."""
     counts = (outcomes.filter(F.col("bad").isNotNull()).groupBy("host")
               .agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("bad")))
-    if others is not None:
-        zero = F.lit(0).cast("long")
-        known = others.select("host").distinct().select("host", zero.alias("n"), zero.alias("bad"))
-        counts = counts.unionByName(known).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    # groups without labels add nothing to sums and strengths
-    hosts = counts.select("*", *[column.alias(name) for name, column in levels(F.col("host")).items()])
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    hosts = staged(counts.select("*", *[column.alias(name) for name, column in levels(F.col("host")).items()]), "hosts")
+    domains = staged(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
+    suffixes = staged(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "suffixes")
     whole = suffixes.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = whole["bad"] / whole["n"] if whole["n"] else 0.0
 
     suffixes, _ = _shrunk(suffixes.withColumn("prior", F.lit(overall)))
     domains, _ = _shrunk(domains.join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix"))
-    labelled = domains.filter(F.col("n") > 0)
-    hosts, strength = _shrunk(hosts.join(labelled.select("domain", "suffix", F.col("mean").alias("prior")),
+    hosts, strength = _shrunk(hosts.join(domains.select("domain", "suffix", F.col("mean").alias("prior")),
                                          ["domain", "suffix"]))
-    spread = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("n") + strength + 1))
-    return hosts.select("host", "n", "bad", "mean", (F.col("mean") - z * spread).alias("bound"))
+
+    def bound(n: Column) -> Column:
+        return (F.col("mean") - z * F.sqrt(F.col("mean") * (1 - F.col("mean")) / (n + strength + 1))).alias("bound")
+
+    none = F.lit(0)
+    return Reputation(staged(hosts.select("host", "n", "bad", "mean", bound(F.col("n"))), "reputation"),
+                      domains.select("domain", "mean", bound(none)), suffixes.select("suffix", "mean", bound(none)),
+                      overall - z * (overall * (1 - overall) / (strength + 1)) ** 0.5)
 
 
 def judged(pages: DataFrame, page_id: str, url: str, outcomes: DataFrame, rules: Sequence[UrlRule],
@@ -127,12 +140,16 @@ def judged(pages: DataFrame, page_id: str, url: str, outcomes: DataFrame, rules:
     ``outcomes`` has url and bad (0 or 1), a row per labelled page.
     """
     labelled = outcomes.select(host_of(F.col("url")).alias("host"), "bad").filter(F.col("host") != "")
-    seen = pages.select(host_of(F.col(url)).alias("host")).filter(F.col("host") != "")
-    blocked = host_reputation(labelled, z, seen).filter(F.col("bound") > threshold).select(
-        "host", F.lit("block").alias("_verdict"))
+    known = reputation(labelled, z)
     parsed = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"),
                           path_of(F.col(url)).alias("path"))
-    ruled = parsed.withColumn("_rule", longest_rule(rules, F.col("host"), F.col("path")))
-    return ruled.join(blocked, "host", "left").select(
-        "page_id", "host", "path", F.col("_rule.rule").alias("rule"),
-        F.coalesce(F.col("_rule.verdict"), F.col("_verdict"), F.lit("allow")).alias("verdict"))
+    ruled = parsed.select("*", longest_rule(rules, F.col("host"), F.col("path")).alias("_rule"),
+                          *[column.alias(f"_{name}") for name, column in levels(F.col("host")).items()])
+    # the nearest rung that has labels tells
+    for name, rung in (("host", known.hosts), ("_domain", known.domains), ("_suffix", known.suffixes)):
+        told = rung.select(F.col(name.removeprefix("_")).alias(name), F.col("bound").alias(f"{name}_bound"))
+        ruled = ruled.join(told, name, "left")
+    bound = F.coalesce("host_bound", "_domain_bound", "_suffix_bound", F.lit(known.overall))
+    verdict = F.when((F.col("host") != "") & (bound > threshold), "block").otherwise("allow")
+    return ruled.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"),
+                        F.coalesce(F.col("_rule.verdict"), verdict).alias("verdict"))
