@@ -15,7 +15,7 @@ from patronage.errors import DataValidationError
 from patronage.functions.dates import parsed_moment
 from patronage.functions.numbers import floored_money, number
 from patronage.functions.text import header_name, stripped, tidy_gender, tidy_title, truth
-from patronage.operators.ranking import rows_at_ranks
+from patronage.operators.selection import median
 from patronage.schemas import (
     BOOLEANS,
     DATES,
@@ -115,17 +115,9 @@ def _whole_numbers(dataset: str) -> dict[str, str]:
 
 
 def with_imputed_age(rows: DataFrame) -> DataFrame:
-    """Unknown ages become the median; an all-unknown column stays null.
-
-    The median comes from the sorted distinct ages with their counts; only the one
-    or two rows in the middle are looked up.
-    """
-    by_age = rows.filter(F.col("age").isNotNull()).groupBy(F.lit(0).alias("all"), "age").agg(
-        F.count("*").alias("people"))
-    found = rows_at_ranks(by_age, "all", ["age"], lambda n: [(n - 1) // 2, n // 2], weight="people").get(0)
-    middle = [row["age"] for row in found.rows.values()] if found else []
-    median = F.lit(sum(middle) / len(middle) if middle else None).cast("double")
-    return rows.withColumn("age", F.bround(F.coalesce("age", median), 0).cast("int"))
+    """Unknown ages become the exact median; an all-unknown column stays null."""
+    middle = F.lit(median(rows, "age")).cast("double")
+    return rows.withColumn("age", F.bround(F.coalesce("age", middle), 0).cast("int"))
 
 
 def missing_required(cleaned: DataFrame, dataset: str) -> dict[str, int]:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from patronage.functions.dates import iso_text, month_label, month_start, naive
 from patronage.functions.numbers import EXACT, band, exact_mean, money, rounded
 from patronage.operators.features import COMPLETED, is_completed, with_statuses
-from patronage.operators.ranking import rows_at_ranks
+from patronage.operators.selection import median
 from patronage.operators.value import health, is_churned
 
 PAID = (COMPLETED,)
@@ -279,19 +279,13 @@ def market_summary(states: DataFrame) -> DataFrame:
     )
 
 
-def value_summary(valued: DataFrame, key: str = "customer_id") -> DataFrame:
-    """One row over all customers with a value: how many, the largest and the median.
-
-    The median is looked up at its ranks in the sorted values.
-    """
-    known = valued.filter(F.col("predicted_clv").isNotNull()).select(F.lit(0).alias("all"), "predicted_clv", key)
-    found = rows_at_ranks(known, "all", ["predicted_clv", key], lambda n: [(n - 1) // 2, n // 2]).get(0)
-    middle = [row["predicted_clv"] for row in found.rows.values()] if found else []
-    median = F.lit(sum(middle) / len(middle) if middle else None).cast("double")
+def value_summary(valued: DataFrame) -> DataFrame:
+    """One row over all customers with a value: how many, the largest and the exact median."""
+    middle = F.lit(median(valued, "predicted_clv")).cast("double")
     return valued.agg(
         F.count("*").alias("customers_ranked"),
         rounded(F.max("predicted_clv"), 2).alias("top_clv"),
-        rounded(median, 2).alias("median_clv"),
+        rounded(middle, 2).alias("median_clv"),
     )
 
 
