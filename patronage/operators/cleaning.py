@@ -7,8 +7,9 @@ the same key came last in the file.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from patronage.errors import DataValidationError
@@ -30,6 +31,7 @@ from patronage.session import staged
 from patronage.sources.files import SEQUENCE
 
 AGE_RANGE = (16, 110)
+_RECEIVED = "_received"
 
 
 def normalised(rows: DataFrame) -> DataFrame:
@@ -46,35 +48,34 @@ def check_columns(columns: Sequence[str], dataset: str) -> list[str]:
     return REQUIRED[dataset]
 
 
-def last_per_key(rows: DataFrame, key: str, sequence: str) -> DataFrame:
+def last_per_key(rows: DataFrame, key: str, sequence: str, count: str | None = None) -> DataFrame:
     """One row per key, the one with the highest sequence; a null key counts as a key.
 
     An aggregate rather than a window: rows of a frequent key are thinned out
-    before the shuffle.
+    before the shuffle. ``count`` names a column for the number of rows of the key.
     """
     others = [name for name in rows.columns if name not in (key, sequence)]
-    newest = F.max_by(F.struct(*others), F.col(sequence)) if others else None
-    if newest is None:
-        return rows.select(key).distinct()
-    picked = rows.groupBy(key).agg(newest.alias("_row"))
+    newest = F.max_by(F.struct(F.lit(True).alias("_there"), *others), F.col(sequence))
+    picked = rows.groupBy(key).agg(newest.alias("_row"), F.count("*").alias(count or "_count"))
     return picked.select(*[F.col(key) if name == key else F.col(f"_row.{name}").alias(name)
-                           for name in rows.columns if name != sequence])
+                           for name in rows.columns if name != sequence], *([count] if count else []))
 
 
 def standardise(rows: DataFrame, dataset: str, mode: str = "strict", sequence: str = SEQUENCE,
-                formats: Sequence[str] = ()) -> DataFrame:
+                formats: Sequence[str] = (), count: str | None = None) -> DataFrame:
     """The cleaning rules that look at one row at a time, after the last row per key is chosen.
 
     ``mode='strict'`` also canonicalises gender, booleans and age and floors money
     at 0; ``mode='report'`` leaves those as they are and unreadable numbers null.
+    ``count`` names a column for the number of rows that had the key.
     """
     rows = normalised(rows)
     key = check_columns(rows.columns, dataset)[0]
     wholes = _whole_numbers(dataset)
     if key in wholes:  # 7, 07 and 7.0 are the same key
         rows = rows.withColumn(key, F.coalesce(whole(F.col(key), wholes[key]).cast("string"), stripped(F.col(key))))
-    cleaned = last_per_key(rows, key, sequence)
-    have = set(cleaned.columns)
+    cleaned = last_per_key(rows, key, sequence, count)
+    have = set(cleaned.columns) - {count}
     changes: dict[str, Column] = {}
 
     def moments(names: Sequence[str], kind: str) -> None:
@@ -114,25 +115,57 @@ def _whole_numbers(dataset: str) -> dict[str, str]:
     return {name: kind.lower() for name, kind in fields if kind in ("BIGINT", "INT") and name != "age"}
 
 
-def with_imputed_age(rows: DataFrame) -> DataFrame:
-    """Unknown ages become the exact median; an all-unknown column stays null."""
-    middle = F.lit(median(rows, "age")).cast("double")
-    return rows.withColumn("age", F.bround(F.coalesce("age", middle), 0).cast("int"))
+def with_imputed_age(rows: DataFrame, middle: float | None) -> DataFrame:
+    """Unknown ages become ``middle``, their median; an all-unknown column stays null."""
+    return rows.withColumn("age", F.bround(F.coalesce("age", F.lit(middle).cast("double")), 0).cast("int"))
 
 
-def missing_required(cleaned: DataFrame, dataset: str) -> dict[str, int]:
-    """Null counts of the required columns that have any; one small row comes to the driver."""
-    counts = cleaned.agg(*[F.count_if(F.col(name).isNull()).alias(name) for name in REQUIRED[dataset]]).first()
-    return {name: count for name, count in counts.asDict().items() if count}
+class Cleaned(NamedTuple):
+    """Cleaned rows, stored, and what was counted while they were written."""
 
+    rows: DataFrame
+    received: int
+    standardized: int
+    nulls: dict[str, int]  # per column
 
-def clean_strict(rows: DataFrame, dataset: str, sequence: str = SEQUENCE, formats: Sequence[str] = ()) -> DataFrame:
-    """Cleaned rows, or an error naming the required values that are missing or unreadable."""
-    cleaned = staged(standardise(rows, dataset, "strict", sequence, formats), "cleaned")
-    invalid = missing_required(cleaned, dataset)
+    def report(self, dataset: str, names: Sequence[str] | None = None) -> dict[str, int]:
+        """The counts of ``cleaning_report``, for the named columns."""
+        names = self.rows.columns if names is None else names
+        return {"rows_received": self.received, "duplicates_removed": self.received - self.standardized,
+                "columns": len(names), "rows_standardized": self.standardized,
+                "missing_values": sum(self.nulls[name] for name in names),
+                **{f"invalid_{name}": self.nulls[name] for name in REQUIRED[dataset]}}
+
+
+def cleaned_and_counted(rows: DataFrame, dataset: str, sequence: str = SEQUENCE, formats: Sequence[str] = ()) -> Cleaned:
+    """Cleaned rows, or an error naming the required values that are missing or unreadable.
+
+    ``rows`` is read once: how many rows came in is summed from the rows per key, and
+    everything is counted in the tasks that write the result, of which each counts once
+    even if executors are lost.
+    """
+    cleaned = standardise(rows, dataset, "strict", sequence, formats, _RECEIVED)
+    names = [name for name in cleaned.columns if name != _RECEIVED]
+    seen = Observation()
+    observed = cleaned.observe(seen, F.sum(_RECEIVED).alias("received"), F.count(F.lit(1)).alias("standardized"),
+                               *[F.count_if(F.col(name).isNull()).alias(f"null {name}") for name in names])
+    stored = staged(observed.drop(_RECEIVED), "cleaned")
+    counts = seen.get
+    nulls = {name: counts.get(f"null {name}") or 0 for name in names}
+    invalid = {name: nulls[name] for name in REQUIRED[dataset] if nulls[name]}
     if invalid:
         raise DataValidationError(f"Invalid required values: {invalid}")
-    return with_imputed_age(cleaned) if "age" in cleaned.columns else cleaned
+    if "age" in names:
+        middle = median(stored, "age")
+        stored = with_imputed_age(stored, middle)
+        if middle is not None:
+            nulls["age"] = 0
+    return Cleaned(stored, counts.get("received") or 0, counts.get("standardized") or 0, nulls)
+
+
+def clean_strict(rows: DataFrame, dataset: str, sequence: str = SEQUENCE, formats: Sequence[str] = ()) -> DataFrame:
+    """Cleaned rows, or an error naming the required values that are missing or unreadable."""
+    return cleaned_and_counted(rows, dataset, sequence, formats).rows
 
 
 def clean_report(rows: DataFrame, dataset: str, sequence: str = SEQUENCE, formats: Sequence[str] = ()) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from patronage.schemas import DEFAULTS, SCHEMAS
 
 COMPLETED, DUPLICATE = "completed", "duplicate"
-WHOLE_FILE, CHUNK = 1 << 30, 1 << 23
+WHOLE_FILE, CHUNK = 1 << 26, 1 << 23
 
 
 def allowed_columns(batch: DataFrame, dataset: str) -> DataFrame:
@@ -92,8 +92,9 @@ def _streamed_sha256(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def file_checksums(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
     """Name and SHA-256 of every file under ``path``, one task per file.
 
-    Files of up to ``whole`` bytes are read by Spark as one value; larger ones, which
-    a value cannot hold, are streamed in pieces.
+    Files of up to ``whole`` bytes, small ones, are read by Spark as one value, from
+    wherever Spark reads; larger ones are streamed in pieces, as the digest of a file
+    needs all of it in order.
     """
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1).alias("file_name")

@@ -664,6 +664,35 @@ ORACLE["ingest_job"] = f"""
            DATE '2020-02-03' AS signup_date, true AS is_active
     FROM customer WHERE c_custkey % 2 = 0 OR c_custkey % 3 = 0"""
 
+ORACLE["ingest_second_run"] = f"""
+    SELECT coalesce(l.c_custkey, f.customer_id) AS customer_id,
+           coalesce(l.name, f.name) AS name, f.email, coalesce(l.signup_date, f.signup_date) AS signup_date, true AS is_active
+    FROM ({ORACLE["ingest_job"]}) f FULL JOIN (
+        SELECT c_custkey, {title("c_name")} AS name, DATE '2021-07-08' AS signup_date FROM customer WHERE c_custkey % 5 = 0
+    ) l ON l.c_custkey = f.customer_id"""
+
+ORACLE["ingest_counts"] = """
+    WITH loads AS (
+        SELECT count(*) FILTER (c_custkey % 2 = 0) AS n, 4 AS columns FROM customer
+        UNION ALL SELECT count(*) FILTER (c_custkey % 3 = 0), 3 FROM customer)
+    SELECT n AS row_count, unnest(['rows_received', 'rows_standardized', 'duplicates_removed', 'columns', 'missing_values',
+                                   'invalid_customer_id', 'invalid_name', 'invalid_signup_date']) AS metric,
+           unnest([n, n, 0, columns, 0, 0, 0, 0]) AS value
+    FROM loads"""
+
+ORACLE["text_batches"] = """
+    WITH texts AS (
+        SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS file_name, sha256(text) AS checksum, source
+        FROM documents WHERE text IS NOT NULL),
+    ledger AS (
+        SELECT checksum, count(*) AS n FROM texts WHERE source = (SELECT min(source) FROM texts) GROUP BY checksum)
+    SELECT file_name, t.checksum,
+           CASE WHEN n IS NULL THEN substr(t.checksum, 1, 32) ELSE substr(t.checksum, 33, 32) END AS batch_id,
+           CASE WHEN n IS NULL AND file_name = min(file_name) OVER (PARTITION BY t.checksum) THEN 'completed'
+                ELSE 'duplicate' END AS status,
+           n AS rows_loaded
+    FROM texts t LEFT JOIN ledger USING (checksum)"""
+
 ORACLE["ingest_outcome"] = """
     SELECT 'a' AS batch, 'completed' AS status, count(*) FILTER (c_custkey % 2 = 0) AS rows_loaded FROM customer
     UNION ALL SELECT 'b', 'completed', count(*) FILTER (c_custkey % 3 = 0) FROM customer

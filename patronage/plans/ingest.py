@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from functools import reduce
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.operators.cleaning import clean_strict, cleaning_report
+from patronage.operators.cleaning import Cleaned, cleaned_and_counted
 from patronage.operators.loading import (
     allowed_columns,
     compare_with_ledger,
@@ -21,8 +20,9 @@ from patronage.operators.loading import (
 )
 from patronage.operators.profiling import profile
 from patronage.schemas import DEFAULTS, SCHEMAS, empty_table
+from patronage.session import at_once, path_exists, staged
+from patronage.sinks import buckets
 from patronage.sources.files import cast_to, csv_header, read_csv, read_parquet
-from patronage.session import staged
 
 
 class Loaded(NamedTuple):
@@ -32,35 +32,42 @@ class Loaded(NamedTuple):
     version: str | None
 
 
+def last_batch(spark: SparkSession, root: str, dataset: str) -> str | None:
+    """The last completed batch of a dataset, which names its version; None before the first."""
+    ledger = read_ledger(spark, root)
+    return ledger.filter(F.col("dataset_type") == dataset).agg(F.max_by("batch_id", "created_at")).first()[0]
+
+
 def latest_version(spark: SparkSession, root: str, dataset: str) -> DataFrame:
     """The dataset as of the last completed ledger entry; empty before the first."""
-    ledger = read_ledger(spark, root)
-    entry = ledger.filter((F.col("dataset_type") == dataset)).agg(
-        F.max_by("batch_id", "created_at")).first()[0]
-    if entry is None:
+    version = last_batch(spark, root, dataset)
+    if version is None:
         return empty_table(spark, dataset)
-    return cast_to(spark.read.parquet(f"{root}/{dataset}/{entry}"), dataset)
+    folder = f"{root}/{dataset}"
+    rows = buckets.read_buckets(spark, folder, buckets.read_layout(spark, folder, version))
+    return empty_table(spark, dataset) if rows is None else cast_to(rows, dataset)
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
     """The ledger; it has no rows until the first batch is noted."""
-    try:
-        return spark.read.schema(SCHEMAS["ingestion_batches"]).parquet(f"{root}/ingestion_batches")
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    path = f"{root}/ingestion_batches"
+    if not path_exists(spark, path):
         return empty_table(spark, "ingestion_batches")
+    return spark.read.schema(SCHEMAS["ingestion_batches"]).parquet(path)
 
 
 def load_files(spark: SparkSession, root: str, dataset: str, path: str, formats: Sequence[str] = (),
-               multiline: bool = True) -> Loaded:
+               multiline: bool = True, bucket_count: int = buckets.BUCKETS) -> Loaded:
     """Load the files at ``path`` that were not loaded before.
 
-    Each new file is cleaned as a batch of its own; then all are merged, later files
-    over earlier ones cell by cell, and upserted together into one new version of the
-    dataset. The ledger entries, one per file, are appended last. A run that dies in
-    between leaves no entry and is simply repeated. ``formats`` are date formats read
-    besides ISO.
+    Each new file is read and cleaned once, as a batch of its own, and counted while the
+    cleaned rows are written; several files are cleaned at the same time. Then all are
+    merged, later files over earlier ones cell by cell, and upserted together into the
+    buckets of the dataset that their keys fall into; no other bucket is read or
+    written. The ledger entries, one per file, are appended last. A run that dies in
+    between leaves no entry and the dataset as it was, and is simply repeated. One load
+    of a dataset runs at a time. ``formats`` are date formats read besides ISO;
+    ``bucket_count`` counts for the first load of a dataset.
     """
     ledger = staged(read_ledger(spark, root), "ledger")
     files = staged(file_checksums(spark, path), "checksums")
@@ -69,43 +76,49 @@ def load_files(spark: SparkSession, root: str, dataset: str, path: str, formats:
     if not entries:
         return Loaded(outcome, None)
 
-    def read(entry) -> DataFrame:
+    def read(entry: Row) -> DataFrame:
         name = entry["file_path"]
         if name.lower().endswith(".parquet"):
             return read_parquet(spark, name)
         return read_csv(spark, name, csv_header(spark, name), multiline)
 
-    rows = [read(entry) for entry in entries]
-    cleaned = [allowed_columns(clean_strict(each, dataset, formats=formats), dataset) for each in rows]
-    key = cleaned[0].columns[0]
-    version = f"{root}/{dataset}/{entries[-1]['checksum'][:32]}"
-    merged = upsert_brought(latest_version(spark, root, dataset), merged_batches(cleaned, key), key, DEFAULTS[dataset])
-    merged.write.mode("overwrite").parquet(version)
+    cleaned = at_once([lambda entry=entry: cleaned_and_counted(read(entry), dataset, formats=formats) for entry in entries])
+    batches = [allowed_columns(each.rows, dataset) for each in cleaned]
+    version = upsert_files(spark, root, dataset, batches, entries[-1]["checksum"][:32], bucket_count)
 
+    reports = at_once([lambda each=each, batch=batch: quality_report(each, batch, dataset)
+                       for each, batch in zip(cleaned, batches, strict=True)])
     # entries of one run differ in time by their order, so that the last one names the version
-    now = F.localtimestamp()
-    noted = staged(reduce(DataFrame.unionByName, [
-        quality_report(each, batch, dataset).select(
-            F.lit(entry["checksum"][:32]).alias("batch_id"),
-            F.lit(dataset).alias("dataset_type"),
-            F.lit(entry["file_name"]).alias("file_name"),
-            F.lit(entry["checksum"]).alias("checksum"),
-            batch.agg(F.count("*")).scalar().alias("row_count"),
-            F.lit("completed").alias("status"),
-            F.col("quality_report"),
-            (now + F.expr(f"INTERVAL {number} MICROSECOND")).alias("created_at"),
-        ) for number, (entry, each, batch) in enumerate(zip(entries, rows, cleaned, strict=True))]), "noted")
+    noted = spark.createDataFrame(
+        [(number, entry["checksum"][:32], dataset, entry["file_name"], entry["checksum"], each.standardized, "completed", report)
+         for number, (entry, each, report) in enumerate(zip(entries, cleaned, reports, strict=True))],
+        "number long, batch_id string, dataset_type string, file_name string, checksum string, row_count long, "
+        "status string, quality_report string")  # one row per file
+    created = (F.localtimestamp() + F.make_dt_interval(secs=F.col("number") / 1_000_000)).alias("created_at")
+    noted = staged(noted.select(*[name for name in noted.columns if name != "number"], created), "noted")
     noted.coalesce(1).write.mode("append").parquet(f"{root}/ingestion_batches")
     counts = noted.select("checksum", F.col("row_count").alias("_count"), "quality_report")
     return Loaded(outcome.join(counts, "checksum", "left").withColumn(
         "rows_loaded", F.coalesce("rows_loaded", "_count")).drop("_count"), version)
 
 
-def quality_report(rows: DataFrame, cleaned: DataFrame, dataset: str) -> DataFrame:
-    """One row of JSON: row counts of the cleaning and the profile of its result, one entry per column."""
-    counts = cleaning_report(rows, cleaned, dataset).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))).alias("counts"))
-    columns = profile(cleaned).agg(F.sort_array(F.collect_list(F.struct("column_name", "data_type", "missing", "count",
-                                                                      "mean", "std", "min", "p25", "p50", "p75",
-                                                                      "max", "row_count", "duplicate_rows"))))
-    return counts.select(F.to_json(F.struct("counts", columns.scalar().alias("columns"))).alias("quality_report"))
+def upsert_files(spark: SparkSession, root: str, dataset: str, batches: Sequence[DataFrame], version: str,
+                 bucket_count: int = buckets.BUCKETS) -> str:
+    """Write the buckets of a dataset that rows of the batches fall into, as a new version; returns its folder."""
+    folder, key = f"{root}/{dataset}", batches[0].columns[0]
+    last = last_batch(spark, root, dataset)
+    layout = buckets.Layout(bucket_count, {}) if last is None else buckets.read_layout(spark, folder, last)
+    # stored: its keys tell the buckets, then it is merged into them
+    merged = staged(merged_batches(batches, key), "merged")
+    touched = buckets.touched_buckets(merged, key, layout)
+    held = buckets.read_buckets(spark, folder, layout, touched)
+    target = empty_table(spark, dataset) if held is None else cast_to(held, dataset)
+    buckets.write_version(upsert_brought(target, merged, key, DEFAULTS[dataset]), key, folder, version, layout, touched)
+    return f"{folder}/{version}"
+
+
+def quality_report(cleaned: Cleaned, batch: DataFrame, dataset: str) -> str:
+    """JSON: row counts of the cleaning and the profile of its result, one entry per column."""
+    columns = [{name: value for name, value in row.asDict().items() if value is not None and name != "column_count"}
+               for row in profile(batch).orderBy("column_name").collect()]  # one row per column
+    return json.dumps({"counts": cleaned.report(dataset, batch.columns), "columns": columns})

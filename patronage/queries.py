@@ -43,12 +43,12 @@ from patronage.plans.forecast import (
     revenue_forecast,
     revenue_series,
 )
-from patronage.plans.ingest import latest_version, load_files
+from patronage.plans.ingest import latest_version, load_files, read_ledger
 from patronage.plans.master import as_document, customer_master, customer_profile, register_master_view
 from patronage.plans.mart import build_mart, payload, write_mart
 from patronage.schemas import empty_table
 from patronage.session import staged, staged_lines, staging_folder
-from patronage.sinks.files import manifest, write_csv, write_tables
+from patronage.sinks.files import write_csv, write_tables
 from patronage.sources import star
 from patronage.sources.files import load_retail, read_csv, read_raw_retail
 from patronage.sources.star import star_tables
@@ -418,6 +418,39 @@ def ingest_outcome(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.element_at(F.split("file_path", "/"), -2).alias("batch"), "status", "rows_loaded")
 
 
+@query
+def ingest_second_run(spark: SparkSession, folder: str) -> DataFrame:
+    """The dataset after another run, with a file of some known and some new customers and no e-mail addresses."""
+    root, _ = _loaded(spark, folder)
+    write_csv(star.later_customers(spark, folder).coalesce(1), f"{root}/inbox/d")
+    load_files(spark, root, "customers", f"{root}/inbox/*/*.csv")
+    return latest_version(spark, root, "customers").select("customer_id", "name", "email", "signup_date", "is_active")
+
+
+@query
+def ingest_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """What the load counted while it wrote each file, from the reports in the ledger."""
+    root, _ = _loaded(spark, folder)
+    counts = F.from_json(F.get_json_object("quality_report", "$.counts"), "map<string,bigint>")
+    return read_ledger(spark, root).select("row_count", F.explode(counts).alias("metric", "value"))
+
+
+@query
+def text_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as uploads: the checksum of each, the batch it belongs to, and whether its text came before.
+
+    Texts of the first source count as loaded earlier.
+    """
+    checksum = F.sha2("text", 256)
+    texts = star.documents(spark, folder).filter("text IS NOT NULL").select(
+        F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("file_name"), checksum.alias("checksum"), "source")
+    first = texts.agg(F.min("source")).scalar()
+    ledger = texts.filter(F.col("source") == first).groupBy("checksum").agg(F.count("*").alias("row_count")).select(
+        "checksum", F.substring("checksum", 33, 32).alias("batch_id"), "row_count")
+    files = texts.select("file_name", F.col("file_name").alias("file_path"), "checksum")
+    return compare_with_ledger(files, ledger).drop("file_path")
+
+
 @query
 def load_ledger(spark: SparkSession, folder: str) -> DataFrame:
     files = file_checksums(spark, f"{folder}/*.parquet")
@@ -463,7 +496,8 @@ def monthly_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def retail_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return manifest(retail.prepare(star.raw_retail(spark, folder))._asdict())
+    prepared = retail.prepare(star.raw_retail(spark, folder))._asdict()
+    return write_tables(prepared, _run_folder(spark, "retail"))
 
 
 # -- BI mart --------------------------------------------------------------------------------------

@@ -55,10 +55,20 @@ def staging_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/patronage-{spark.sparkContext.applicationId}"
 
 
+def file_system(spark: SparkSession, path: str) -> Any:
+    """The Hadoop file system that holds ``path``."""
+    named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return file_system(spark, path).exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path))
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Remove all intermediate tables of this application, once its results have been written or collected."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    file_system(spark, staging_folder(spark)).delete(path, True)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -82,8 +92,8 @@ def staged_lines(df: DataFrame, label: str) -> DataFrame:
     return staged(df, label).select("*", place.alias(LINE))
 
 
-def at_once(jobs: Sequence[Callable[[], Any]]) -> list:
-    """Results of independent jobs, submitted to Spark at the same time."""
+def at_once(jobs: Sequence[Callable[[], Any]], most: int = 16) -> list:
+    """Results of independent jobs, submitted to Spark at the same time, ``most`` of them."""
     inherit = inheritable_thread_target(SparkSession.active())
-    with ThreadPoolExecutor(max_workers=max(len(jobs), 1)) as pool:
+    with ThreadPoolExecutor(max_workers=min(max(len(jobs), 1), most)) as pool:
         return [future.result() for future in [pool.submit(inherit(job)) for job in jobs]]

@@ -226,3 +226,12 @@ def customer_batches(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     even = people.filter("customer_id % 2 = 0").withColumn("email", F.concat("customer_id", F.lit("@example.com")))
     third = people.filter("customer_id % 3 = 0").withColumn("name", F.concat(F.lit("new "), F.lower("name")))
     return {"a": even, "b": third, "c": third}
+
+
+def later_customers(spark: SparkSession, folder: str) -> DataFrame:
+    """A file that comes later: every fifth customer, capitalised otherwise, of some the second time in the file."""
+    people = _read(spark, folder, "customer").filter("c_custkey % 5 = 0").select(
+        F.col("c_custkey").alias("customer_id"), F.lower("c_name").alias("name"), F.lit("2021-07-08").alias("signup_date"))
+    twice = people.filter("customer_id % 2 = 0").withColumn("name", F.lit("first try"))
+    return (twice.withColumn("turn", F.lit(0)).unionByName(people.withColumn("turn", F.lit(1)))
+            .orderBy("turn", "customer_id").drop("turn"))

@@ -5,13 +5,14 @@ import json
 
 import pytest
 from conftest import customer, sale
+from pyspark.sql import functions as F
 
 from patronage.errors import DataValidationError
 from patronage.operators.loading import compare_with_ledger, file_checksums, new_files
 from patronage.plans.ingest import latest_version, load_files, read_ledger
 from patronage.plans.mart import build_mart, payload, segmented_export, write_mart
 from patronage.schemas import empty_table
-from patronage.sinks import database
+from patronage.sinks import buckets, database
 from patronage.sinks.files import manifest, write_csv, write_tables
 from patronage.sources.files import (
     csv_header,
@@ -63,6 +64,111 @@ def test_failed_load_leaves_no_entry(spark, tmp_path):
     assert read_ledger(spark, str(tmp_path / "out")).count() == 0
 
 
+def people(numbers, name: str = "p", email: bool = True) -> str:
+    rows = [f"{n},{name}{n},2024-01-01" + (f",{n}@x" if email else "") for n in numbers]
+    return "customer_id,name,signup_date" + (",email" if email else "") + "\n" + "\n".join(rows) + "\n"
+
+
+def test_load_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    write(inbox, "a.csv", people(range(200)))
+    load_files(spark, root, "customers", f"{inbox}/a.csv", bucket_count=8)
+    before = latest_version(spark, root, "customers").inputFiles()
+    held = {row[0]: row[1] for row in spark.range(200).select("id", buckets.bucket_of(F.col("id"), 8)).collect()}
+    one = [n for n in held if held[n] == held[7]]
+    write(inbox, "b.csv", people([*one[:3], *[n for n in range(1000, 1100) if spark.range(n, n + 1).select(
+        buckets.bucket_of(F.col("id"), 8)).first()[0] == held[7]][:2]], "q", email=False))
+    loaded = load_files(spark, root, "customers", f"{inbox}/b.csv", bucket_count=99)
+    after = latest_version(spark, root, "customers").inputFiles()
+    of = f"/bucket={held[7]}/"
+    assert {file for file in before if of not in file} == {file for file in after if of not in file}
+    assert not {file for file in before if of in file} & set(after)
+    assert all(of in file for file in after if loaded.version.rsplit("/", 1)[1] in file)
+    rows = {row.customer_id: (row.name, row.email) for row in latest_version(spark, root, "customers").collect()}
+    assert len(rows) == 202 and all(rows[n] == (f"Q{n}", f"{n}@x") for n in one[:3])
+    assert rows[one[3]] == (f"P{one[3]}", f"{one[3]}@x") and {rows[n][1] for n in rows if n >= 1000} == {None}
+    # what the layout no longer names can go, the dataset stays
+    folder = f"{root}/customers"
+    layout = buckets.read_layout(spark, folder, loaded.version.rsplit("/", 1)[1])
+    assert buckets.remove_superseded(spark, folder, layout) == [f"{before[0].split('/rows/')[0].rsplit('/', 1)[1]}/bucket={held[7]}"]
+    assert {row.customer_id: (row.name, row.email) for row in latest_version(spark, root, "customers").collect()} == rows
+
+
+def test_dead_run_leaves_the_dataset(spark, tmp_path, monkeypatch):
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    write(inbox, "a.csv", people(range(20)))
+    load_files(spark, root, "customers", f"{inbox}/a.csv", bucket_count=4)
+    write(inbox, "b.csv", people(range(10, 30), "new"))
+    write(inbox, "c.csv", people(range(25, 35), "newer"))
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr("patronage.plans.ingest.quality_report", dies)
+        with pytest.raises(RuntimeError):
+            load_files(spark, root, "customers", f"{inbox}/*.csv")
+    rows = {row.customer_id: row.name for row in latest_version(spark, root, "customers").collect()}
+    assert rows == {n: f"P{n}" for n in range(20)} and read_ledger(spark, root).count() == 1
+    # other files under the same last one: nothing of the dead run is left in the dataset
+    (inbox / "b.csv").unlink()
+    load_files(spark, root, "customers", f"{inbox}/*.csv")
+    rows = {row.customer_id: row.name for row in latest_version(spark, root, "customers").collect()}
+    assert rows == {n: f"P{n}" for n in range(20)} | {n: f"Newer{n}" for n in range(25, 35)}
+
+
+def test_files_are_read_and_cleaned_once(spark, tmp_path, monkeypatch):
+    """Only the cleaning scans the files; counts are observed while it writes."""
+    inbox, root = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    write(inbox, "a.csv", "customer_id,name,signup_date,age\n1,a,2024-01-01,30\n1,b,2024-01-02,40\n2,c,2024-01-02,\n")
+    write(inbox, "b.csv", "customer_id,name,signup_date,extra\n3,d,2024-01-01,\n")
+    plans = {"stored": [], "profiled": []}
+
+    def plan_of(df) -> str:
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    import patronage.operators.cleaning as cleaning
+    import patronage.plans.ingest as ingest
+
+    store, look = cleaning.staged, ingest.profile
+    monkeypatch.setattr(cleaning, "staged", lambda df, label: (plans["stored"].append(plan_of(df)), store(df, label))[1])
+    monkeypatch.setattr(ingest, "profile", lambda df: (plans["profiled"].append(plan_of(df)), look(df))[1])
+    monkeypatch.setattr(ingest, "staged", lambda df, label: (plans.setdefault(label, []).append(plan_of(df)), store(df, label))[1])
+    loaded = load_files(spark, root, "customers", f"{inbox}/*.csv")
+    assert len(plans["stored"]) == 2 and all(plan.count(" csv") == 1 and "CollectMetrics" in plan for plan in plans["stored"])
+    assert not any(" csv" in plan for plan in [*plans["profiled"], *plans["merged"]])
+    reports = {row.file_name: json.loads(row.quality_report) for row in loaded.files.collect()}
+    assert reports["a.csv"]["counts"] == {
+        "rows_received": 3, "duplicates_removed": 1, "columns": 4, "rows_standardized": 2, "missing_values": 0,
+        "invalid_customer_id": 0, "invalid_name": 0, "invalid_signup_date": 0}
+    assert reports["b.csv"]["counts"]["columns"] == 3 and reports["b.csv"]["counts"]["rows_received"] == 1
+    ages = next(entry for entry in reports["a.csv"]["columns"] if entry["column_name"] == "age")
+    assert (ages["count"], ages["mean"], ages["missing"], ages["row_count"]) == (2.0, 40.0, 0, 2)
+
+
+def test_file_without_rows(spark, tmp_path):
+    root = str(tmp_path / "out")
+    path = write(tmp_path, "a.csv", "customer_id,name,signup_date\n")
+    loaded = load_files(spark, root, "customers", path)
+    assert [(row.status, row.rows_loaded) for row in loaded.files.collect()] == [("completed", 0)]
+    assert latest_version(spark, root, "customers").count() == 0
+    more = write(tmp_path, "b.csv", people([4]))
+    load_files(spark, root, "customers", more)
+    assert [row.customer_id for row in latest_version(spark, root, "customers").collect()] == [4]
+
+
+def test_counts_of_written_files(make, tmp_path, spark):
+    tables = make(customers=[customer(1), customer(2)], transactions=[sale(i, 1, 2.0, DAY) for i in range(7)])
+    found = write_tables({"customers": tables.customers, "transactions": tables.transactions, "products": tables.products},
+                         str(tmp_path))
+    assert {tuple(row) for row in found.collect()} == {tuple(row) for row in manifest(
+        {"customers": tables.customers, "transactions": tables.transactions, "products": tables.products}).collect()}
+    assert write_csv(tables.customers, str(tmp_path / "c.csv")) == 2 and write_csv(tables.products, str(tmp_path / "p.csv")) == 0
+
+
 def test_same_bytes_under_two_names_are_one_batch(spark, tmp_path):
     for name in ("a.csv", "b.csv"):
         write(tmp_path, name, "x\n1\n")
