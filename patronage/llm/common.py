@@ -71,7 +71,10 @@ def slices(texts: Sequence[str | None], limit: int = SLICE_CHARS) -> Iterator[tu
 
 
 def parts(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str | None]]:
-    """The texts of an Arrow column in lists of about ``limit`` bytes, so that few are Python strings at once."""
+    """The texts of an Arrow column in lists of about ``limit`` bytes, so that few are Python strings at once.
+
+    After the last one Arrow gives back the memory it keeps for reuse.
+    """
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     begin = 0
     while begin < len(texts):
@@ -79,6 +82,7 @@ def parts(texts: pa.Array, limit: int = SLICE_CHARS) -> Iterator[list[str | None
         end = max(int(np.searchsorted(ends, passed + limit, side="right")), begin + 1)
         yield texts[begin:end].to_pylist()
         begin = end
+    pa.default_memory_pool().release_unused()
 
 
 def words_of(texts: Sequence[str | None], lower: bool = False) -> tuple[list[bytes], np.ndarray]:

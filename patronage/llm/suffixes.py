@@ -314,7 +314,8 @@ def cut(text: Column, spans: Column) -> Column:
                                   zip(some, rows[begin:end].to_pylist(), strict=True)], pa.string()))
         return pa.concat_arrays([*done, pa.array([], pa.string())])
 
-    return without(text, spans)
+    # else Spark runs it once for a filter on the text and once more for the text, in two workers per task
+    return without.asNondeterministic()(text, spans)
 
 
 def _without(text: str | None, spans) -> str | None:

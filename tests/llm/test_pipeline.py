@@ -88,6 +88,12 @@ def test_repeated_passages_of_rows_that_share_an_id(spark, documents):
         Counter([(None, "e f")] * 2 + [(7, "c d")]), Counter([(None, "e f")] * 2 + [(9, "g h")]))
 
 
+def test_texts_are_cut_once(spark, documents):
+    found = pipeline.without_repeated_passages(spark, documents(passage_collection(4)), FOLDER)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [without") == 1
+
+
 def test_mixing(spark, documents):
     rows = [(i, "w " * (i % 13), "hot" if i % 3 else f"s{i % 4}") for i in range(300)]
     rows += [rows[7], (7, "v " * 7, rows[7][2]), *ODD]
