@@ -12,7 +12,8 @@ Only text is read to predict. The model is a few vectors per language.
 
 Null text and text without a letter: ``und`` with score 0, rejected. Ties go to the
 language that sorts first. No training document: ``und`` for all. Long texts are used
-whole; repeated and id-less rows are predicted like any other.
+whole; repeated and id-less rows are predicted like any other, and drawn into the sample
+once if id and text are the same. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -107,7 +108,7 @@ def fit(training: DataFrame, text: str, language: str, doc_id: str, sample: int
     """Learn from all rows of ``training``; those without language or without a letter say nothing.
 
     ``sample`` bounds the texts per language that are clustered; which ones is
-    decided by a hash of the id. Everything else is counted over all rows.
+    decided by a hash of id and text. Everything else is counted over all rows.
     """
     known = training.select(F.col(text).alias("text"), F.col(language).alias("lang"),
                             F.col(doc_id).cast("string").alias("id")).filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -118,14 +119,16 @@ def fit(training: DataFrame, text: str, language: str, doc_id: str, sample: int
         frequency[row["bucket"] + 1] = row["n"]
     idf = np.log((1 + frequency[0]) / (1 + frequency[1:])) + 1
 
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    content = F.xxhash64("id", "text")
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(content, 0.02).alias("n"))
+    draw = F.pmod(F.xxhash64(content, F.lit(7)), F.lit(1 << 30))
     # one row per language, of which the model itself holds several vectors; no text is shuffled but the sample
-    drawn = known.join(F.broadcast(sizes), "lang").filter(draw * F.col("n") < 1.2 * sample).select("text", "lang", "id")
+    some = known.join(F.broadcast(sizes), "lang").filter(draw * F.col("n") < 1.2 * sample * (1 << 30)).select(
+        "lang", "text", content.alias("content"), draw.alias("draw"))
+    drawn = some.groupBy("lang", "draw", "content").agg(F.first("text").alias("text"))  # repeated rows are drawn alike
 
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "text"])
-        rows = rows.iloc[np.argsort(pd.util.hash_array(rows["id"].fillna("").to_numpy(object)), kind="stable")][:sample]
+        rows = rows.sort_values(["draw", "content"])[:sample]
         counts = [each for each in map(gram_counts, rows["text"]) if each is not None]
         if not counts:
             return pd.DataFrame({"lang": [], "centroid": [], "radius": []})
