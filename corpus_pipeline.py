@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import bpe, minhash, mixing, suffixes, toxicity
@@ -114,11 +114,15 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
                    "taken").alias("t")
     same = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
             & (F.col(f"d.{size}") == F.col("t.size")))
-    counted = sized.alias("d").join(taken.filter(F.col(copies) > 0), same).select("d.*", f"t.{copies}", f"t.{rows}")
-    single = counted.filter(F.col(rows) == 1)
+
+    def counted(some: Column) -> DataFrame:
+        """The documents taken, with the copies and number of the rows alike, of some of these groups."""
+        return sized.alias("d").join(taken.filter((F.col(copies) > 0) & some), same).select("d.*", f"t.{copies}", f"t.{rows}")
+
+    single = counted(F.col(rows) == 1)
     # rows alike in id, source and size share the copies they are taken together: numbered in sorted runs, as any
-    # number of rows may be alike, down to where they were read
-    several = staged(counted.filter(F.col(rows) > 1).withColumn(read_, F.monotonically_increasing_id()), "several")
+    # number of rows may be alike, down to where they were read; few groups have several, so that no other row moves
+    several = staged(counted(F.col(rows) > 1).withColumn(read_, F.monotonically_increasing_id()), "several")
     group = ["doc_id", "source", size]
     numbered = global_row_number(several, [*group, F.xxhash64("text"), read_], "_number").alias("n")
     begins = staged(numbered.groupBy(*group).agg(F.min("_number").alias("_begin")), "begins").alias("b")
