@@ -7,6 +7,8 @@ works on ranges and partial sums.
 from __future__ import annotations
 
 from patronage.functions.text import CATEGORY_KEYWORDS
+from patronage.plans.churn_models import CATEGORICAL, NUMERIC, TRAIN_SHARE
+from patronage.plans.churn_models import SEED as MODEL_SEED
 
 
 def rounded(expression: str, digits: int) -> str:
@@ -634,14 +636,110 @@ ORACLE["naive_forecast_errors"] = f"""
 _MEASURES = ["recency_days", "order_count", "total_revenue", "average_order_value", "campaign_response_rate"]
 
 
-def _standardised(measure: str) -> str:
+def _scaled(measure: str) -> str:
     log = f"ln(1 + CAST({measure} AS DOUBLE))"
-    return rounded(f"coalesce(({log} - avg({log}) OVER ()) / nullif(stddev_samp({log}) OVER (), 0), 0)", 5)
+    return f"coalesce(({log} - avg({log}) OVER ()) / nullif(stddev_samp({log}) OVER (), 0), 0)"
+
+
+def _standardised(measure: str) -> str:
+    return rounded(_scaled(measure), 5)
 
 
 ORACLE["cluster_features"] = sql(f"""
     SELECT customer_id, {", ".join(f"{_standardised(name)} AS {name}" for name in _MEASURES)} FROM master""", "master")
 
+_POINT = [f"v{i}" for i in range(len(_MEASURES))]
+_SQUARE = " + ".join(f"{name} * {name}" for name in _POINT)
+
+
+def _spread(group: str) -> str:
+    """Sum of the squared distances from a point to all points of a group."""
+    product = " + ".join(f"p.{name} * {group}.s{name}" for name in _POINT)
+    return f"({group}.n * ({_SQUARE}) + {group}.q - 2 * ({product}))"
+
+
+PARTS["points"] = (["segmented"], f"""
+    SELECT customer_id, segment, {", ".join(f"{_scaled(name)} AS {alias}" for name, alias in zip(_MEASURES, _POINT, strict=True))}
+    FROM segmented""")
+PARTS["group_sums"] = (["points"], f"""
+    SELECT segment, CAST(count(*) AS DOUBLE) AS n, sum({_SQUARE}) AS q, {", ".join(f"sum({name}) AS s{name}" for name in _POINT)}
+    FROM points GROUP BY segment""")
+PARTS["spreads"] = (["points", "group_sums"], f"""
+    SELECT p.segment, p.customer_id, max(CASE WHEN g.segment = p.segment THEN g.n END) AS n,
+           max(CASE WHEN g.segment = p.segment THEN greatest({_spread("g")}, 0) / nullif(g.n - 1, 0) END) AS a,
+           min(CASE WHEN g.segment <> p.segment THEN {_spread("g")} / g.n END) AS b
+    FROM points p, group_sums g GROUP BY p.segment, p.customer_id""")
+ORACLE["segment_silhouette"] = sql(f"""
+    SELECT segment, count(*) AS customers,
+           {rounded("avg(CASE WHEN n = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END)", 4)} AS silhouette
+    FROM spreads GROUP BY segment""", "spreads")
+
+PARTS["judged"] = (["service", "behavioral"], """
+    SELECT model_name, CAST(recency_days > 90 AS INTEGER) AS churned, churn_probability
+    FROM (SELECT 'service' AS model_name, * FROM service UNION ALL SELECT 'behavioral', * FROM behavioral)
+    JOIN (SELECT customer_id, recency_days FROM master) USING (customer_id)""")
+PARTS["score_ranks"] = (["judged"], """
+    SELECT *, churn_probability >= 0.5 AS hit, rank() OVER (PARTITION BY model_name ORDER BY churn_probability)
+              + (count(*) OVER (PARTITION BY model_name, churn_probability) - 1) / CAST(2 AS DOUBLE) AS place
+    FROM judged""")
+PARTS["outcomes"] = (["score_ranks"], """
+    SELECT model_name, CAST(count(*) FILTER (churned = 1 AND hit) AS DOUBLE) AS tp,
+           CAST(count(*) FILTER (churned = 0 AND hit) AS DOUBLE) AS fp,
+           CAST(count(*) FILTER (churned = 1 AND NOT hit) AS DOUBLE) AS fn,
+           CAST(count(*) FILTER (churned = 0 AND NOT hit) AS DOUBLE) AS tn, sum(place) FILTER (churned = 1) AS places
+    FROM score_ranks GROUP BY model_name""")
+PARTS["measured"] = (["outcomes"], f"""
+    SELECT model_name, {rounded("(tp + tn) / (tp + fp + fn + tn)", 4)} AS accuracy,
+           {rounded("coalesce(tp / nullif(tp + fp, 0), 0)", 4)} AS precision,
+           {rounded("coalesce(tp / nullif(tp + fn, 0), 0)", 4)} AS recall,
+           {rounded("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)", 4)} AS f1,
+           {rounded("(places - (tp + fn) * (tp + fn + 1) / 2) / nullif((tp + fn) * (fp + tn), 0)", 4)} AS roc_auc
+    FROM outcomes""")
+PARTS["selection"] = (["measured"], """
+    SELECT *, row_number() OVER (ORDER BY roc_auc DESC NULLS LAST, model_name) = 1 AS selected FROM measured""")
+ORACLE["churn_metrics"] = sql("SELECT * FROM selection", "selection")
+ORACLE["model_runs"] = sql("""
+    SELECT 'churn' AS model_type, (SELECT model_name FROM selection WHERE selected) AS selected_model, model_name, metric,
+           value, true AS well_formed
+    FROM (SELECT model_name, accuracy, precision, recall, f1, roc_auc FROM selection)
+    UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1, roc_auc))""", "selection")
+
+ORACLE["random_split"] = f"""
+    SELECT c_custkey AS customer_id, n_name AS state,
+           CASE WHEN CAST('0x' || substr(md5('{MODEL_SEED}:' || c_custkey), 1, 8) AS BIGINT) < {int(TRAIN_SHARE * 16 ** 8)}
+                THEN 'train' ELSE 'test' END AS part
+    FROM customer JOIN nation ON n_nationkey = c_nationkey"""
+
+PARTS["parted"] = (["master"], """
+    SELECT *, row_number() OVER (ORDER BY signup_date NULLS LAST, customer_id)
+              <= greatest(3 * (count(*) OVER ()) // 4, 1) AS train FROM master""")
+PARTS["imputed"] = (["parted"], f"""
+    SELECT p.customer_id, p.train, p.gender, p.state,
+           {", ".join(f"coalesce(CAST(p.{name} AS DOUBLE), m.{name}, 0) AS {name}" for name in NUMERIC)}
+    FROM parted p, (SELECT {", ".join(f"median(CAST({name} AS DOUBLE)) FILTER (train) AS {name}" for name in NUMERIC)}
+                    FROM parted) m""")
+
+
+def _train_scaled(name: str) -> str:
+    mean, deviation = (f"(SELECT {pick}({name}) FILTER (train) FROM imputed)" for pick in ("avg", "stddev_samp"))
+    return rounded(f"coalesce((i.{name} - {mean}) / nullif({deviation}, 0), 0)", 5)
+
+
+def _codes(name: str) -> str:
+    """A join that gives the number of a text among those of the training rows."""
+    seen = f"FROM parted WHERE train AND {name} IS NOT NULL"
+    mode = f"(SELECT {name} {seen} GROUP BY {name} ORDER BY count(*) DESC, {name} LIMIT 1)"
+    return f"""LEFT JOIN (SELECT {name} AS text, row_number() OVER (ORDER BY {name}) - 1 AS code
+                          FROM (SELECT DISTINCT {name} {seen})) {name}_codes
+               ON {name}_codes.text = coalesce(i.{name}, {mode}, 'Unknown')"""
+
+
+ORACLE["churn_features"] = sql(f"""
+    SELECT i.customer_id, {", ".join(f"{_train_scaled(name)} AS {name}" for name in NUMERIC)},
+           {", ".join(f"""CAST(coalesce({name}_codes.code, (SELECT count(DISTINCT {name}) FROM parted WHERE train))
+                          AS INTEGER) AS {name}_code""" for name in CATEGORICAL)}
+    FROM imputed i {" ".join(map(_codes, CATEGORICAL))}""", "imputed")
+
 ORACLE["clean_written_customers"] = f"""
     SELECT c_custkey AS customer_id,
            CASE c_custkey % 7 WHEN 0 THEN 'Ann "Q" ' || {title("c_name")} WHEN 1 THEN 'Two' || chr(10) || 'Lines, ' || {title("c_name")}

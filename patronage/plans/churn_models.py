@@ -5,22 +5,24 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.errors import InsufficientDataError
+from patronage.functions.numbers import rounded
+from patronage.operators.coding import CODES, as_json, coded, fit_coding, from_json
+from patronage.operators.measures import MEASURES, measures, with_selected
 from patronage.operators.ranking import rows_at_ranks
 from patronage.operators.value import churn_scores, is_churned, with_risk_level
 from patronage.schemas import SCHEMAS
-from patronage.session import at_once, staged
+from patronage.session import at_once, few_partitions, path_exists, staged
 
 NUMERIC = ["age", "tenure_days", "order_count", "total_revenue", "average_order_value", "product_diversity",
            "campaign_response_rate", "support_tickets", "avg_resolution_hours", "avg_satisfaction"]
@@ -32,7 +34,7 @@ MIN_CUSTOMERS = 20
 MIN_BUYERS = 10
 TRAIN_SHARE = 0.75
 SEED = 42
-METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
+METRICS = MEASURES
 
 
 class Trained(NamedTuple):
@@ -77,38 +79,31 @@ def chronological_split(data: DataFrame) -> DataFrame:
 
 
 def split(data: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Chronological, or random where the later customers all have the same label."""
+    """Chronological, or at random where the later customers all have the same label."""
     marked = staged(chronological_split(data), "split")
     train, test = marked.filter(F.col("part") == "train"), marked.filter(F.col("part") == "test")
     if test.agg(F.count_distinct("churned")).first()[0] < 2:
-        train, test = data.randomSplit([TRAIN_SHARE, 1 - TRAIN_SHARE], seed=SEED)
+        train = sampled(data, "customer_id", TRAIN_SHARE)
+        test = rest(data, train, "customer_id")
     return train, test
 
 
-def prepared(data: DataFrame, modes: dict[str, str] | None = None) -> DataFrame:
-    """Numbers as doubles and, given the most frequent texts, missing texts replaced by them."""
-    rows = data.withColumns({name: F.col(name).cast("double") for name in NUMERIC})
-    return rows.fillna(modes) if modes else rows
+def sampled(data: DataFrame, key: str, share: float, seed: int = SEED) -> DataFrame:
+    """About that share of the rows, drawn by a hash of the key: the same rows however they are dealt out."""
+    digits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8)
+    return data.filter(F.conv(digits, 16, 10).cast("long") < int(share * 16 ** 8))
 
 
-def frequent_values(train: DataFrame) -> dict[str, str]:
-    """Most frequent text per categorical column, the smallest among equals."""
-    found = {}
-    for name in CATEGORICAL:
-        counts = train.filter(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
-        found[name] = counts.agg(F.min_by(name, F.struct(-F.col("n"), name))).first()[0] or "Unknown"
-    return found
+def rest(data: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not among the chosen ones."""
+    return data.join(chosen.select(key).distinct(), key, "left_anti")
 
 
-def feature_stages() -> list:
-    filled = [f"{name}_filled" for name in NUMERIC]
-    codes = [f"{name}_code" for name in CATEGORICAL]
-    flags = [f"{name}_flags" for name in CATEGORICAL]
+def assembly() -> list:
+    """The stages that make a sparse vector of coded features; a text that was not seen has no flag."""
+    codes, flags = ([f"{name}_{end}" for name in CATEGORICAL] for end in ("code", "flags"))
     return [
-        Imputer(strategy="median", inputCols=NUMERIC, outputCols=filled, relativeError=0.0),
-        VectorAssembler(inputCols=filled, outputCol="numbers"),
-        StandardScaler(inputCol="numbers", outputCol="scaled", withMean=True, withStd=True),
-        StringIndexer(inputCols=CATEGORICAL, outputCols=codes, handleInvalid="keep"),
+        VectorAssembler(inputCols=[f"{name}_scaled" for name in NUMERIC], outputCol="scaled"),
         OneHotEncoder(inputCols=codes, outputCols=flags, handleInvalid="keep", dropLast=True),
         VectorAssembler(inputCols=["scaled", *flags], outputCol="features"),
     ]
@@ -132,26 +127,31 @@ def with_class_weights(train: DataFrame) -> DataFrame:
     return train.withColumn("weight", weight)
 
 
-def confusion(predicted: DataFrame) -> DataFrame:
-    """One row: counts of the four outcomes."""
-    yes, hit = F.col("churned") == 1, F.col("prediction") == 1
-    return predicted.agg(F.count_if(yes & hit).alias("tp"), F.count_if(~yes & hit).alias("fp"),
-                         F.count_if(yes & ~hit).alias("fn"), F.count_if(~yes & ~hit).alias("tn"))
+def scores_of(predicted: DataFrame) -> dict[str, float]:
+    """The measures of one model's predictions, judged by its raw prediction."""
+    row = measures(predicted.withColumn("model_name", F.lit("one")), "churned", "prediction", "rawPrediction",
+                   "model_name").first()
+    return {name: row[name] for name in METRICS}
 
 
-def scores_of(predicted: DataFrame) -> dict[str, float]:
-    """Accuracy, precision, recall and F1 (0 where undefined) and area under the ROC curve."""
-    counts = confusion(predicted).first()
-    tp, fp, fn, tn = (counts[name] for name in ("tp", "fp", "fn", "tn"))
+def judged(predictions: dict[str, DataFrame]) -> DataFrame:
+    """model_name, the measures and whether the model is the selected one, all models in one pass."""
+    rows = [found.select(F.lit(name).alias("model_name"), "churned", "prediction",
+                         vector_to_array("rawPrediction")[1].alias("score")) for name, found in predictions.items()]
+    return with_selected(measures(staged(reduce(DataFrame.unionByName, rows), "judged"), "churned", "prediction", "score",
+                                  "model_name"), "model_name")
 
-    def ratio(part: float, whole: float) -> float:
-        return part / whole if whole else 0.0
 
-    precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
-    area = BinaryClassificationEvaluator(labelCol="churned", numBins=0).evaluate(predicted)
-    values = [ratio(tp + tn, tp + fp + fn + tn), precision, recall,
-              ratio(2 * precision * recall, precision + recall), area]
-    return {name: round(value, 4) for name, value in zip(METRICS, values, strict=True)}
+def heuristic_measures(scores: dict[str, DataFrame], labels: DataFrame) -> DataFrame:
+    """The same for scores that no model was fitted for: from a half on they count as a prediction.
+
+    ``scores`` has customer_id and churn_probability by name, ``labels`` customer_id and churned.
+    """
+    rows = [found.select("customer_id", F.lit(name).alias("model_name"), "churn_probability")
+            for name, found in scores.items()]
+    joined = staged(reduce(DataFrame.unionByName, rows).join(labels.select("customer_id", "churned"), "customer_id"), "judged")
+    told = joined.withColumn("prediction", (F.col("churn_probability") >= 0.5).cast("int"))
+    return with_selected(measures(told, "churned", "prediction", "churn_probability", "model_name"), "model_name")
 
 
 def train_models(master: DataFrame, path: str, models: Iterable[str] | None = None) -> Trained:
@@ -160,24 +160,25 @@ def train_models(master: DataFrame, path: str, models: Iterable[str] | None = No
     data = labelled(staged(master.select(*MASTER_COLUMNS), "training"))
     check_trainable(data)
     train, test = split(data)
-    modes = frequent_values(train)
-    train = with_class_weights(prepared(train, modes))
-    features = Pipeline(stages=feature_stages()).fit(train)
-    fit_on = features.transform(train).select("churned", "weight", "features").persist()
-    judge_on = features.transform(prepared(test, modes)).select("churned", "features").persist()
+    coding = fit_coding(train, NUMERIC, CATEGORICAL)
+    train = coded(with_class_weights(train), coding)
+    features = Pipeline(stages=assembly()).fit(train)
+    fit_on = few_partitions(staged(features.transform(train).select("churned", "weight", "features"), "fit")).persist()
+    judge_on = few_partitions(staged(features.transform(coded(test, coding)).select("churned", "features"), "judge"))
     known = candidates()
     names = list(models or known)
     fitted = dict(zip(names, at_once([lambda name=name: known[name].fit(fit_on) for name in names]), strict=True))
-    results = {name: scores_of(fitted[name].transform(judge_on)) for name in names}
     fit_on.unpersist()
-    judge_on.unpersist()
-    best = max(results, key=lambda name: results[name]["roc_auc"])
+    found = judged({name: fitted[name].transform(judge_on) for name in names}).collect()  # a row per model
+    best = next(row["model_name"] for row in found if row["selected"])
+    results = {row["model_name"]: {name: row[name] for name in METRICS} for row in found}
     run_id = str(uuid.uuid4())
     PipelineModel([*features.stages, fitted[best]]).write().overwrite().save(f"{path}/churn_model")
-    spark.createDataFrame([(json.dumps(modes),)], "modes STRING").write.mode("overwrite").json(f"{path}/churn_modes")
+    coding.codes.write.mode("overwrite").parquet(f"{path}/churn_codes")
+    spark.createDataFrame([(json.dumps(as_json(coding)),)], "coding STRING").write.mode("overwrite").json(
+        f"{path}/churn_coding")
     note_run(spark, path, run_id, best, results)
-    rows = [(run_id, name, metric, value, name == best)
-            for name, found in results.items() for metric, value in found.items()]
+    rows = [(run_id, name, metric, results[name][metric], name == best) for name in names for metric in METRICS]
     metrics = spark.createDataFrame(
         rows, "run_id STRING, model_name STRING, metric STRING, value DOUBLE, selected BOOLEAN")
     return Trained(best, metrics, run_id, path)
@@ -194,15 +195,29 @@ def note_run(spark: SparkSession, path: str, run_id: str, best: str, results: di
     stamped.select(*spark_columns).write.mode("append").parquet(f"{path}/model_runs")
 
 
+def read_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The run ledger with a row per run, model and measure."""
+    runs = spark.read.schema(SCHEMAS["model_runs"]).parquet(f"{path}/model_runs")
+    found = F.from_json("metrics_json", "map<string,map<string,double>>")
+    models = runs.withColumnRenamed("model_name", "selected_model").select("*", F.explode(found).alias("model_name", "_measures"))
+    return models.select("*", F.explode("_measures").alias("metric", "value")).drop("_measures", "metrics_json")
+
+
 def score_customers(master: DataFrame, path: str) -> DataFrame:
     """Churn probability by the saved model, or by the heuristic where none was saved."""
     spark = master.sparkSession
-    try:
-        modes = json.loads(spark.read.schema("modes STRING").json(f"{path}/churn_modes").first()["modes"])
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
+    if not path_exists(spark, f"{path}/churn_coding"):
         return churn_scores(master)
-    scored = PipelineModel.load(f"{path}/churn_model").transform(prepared(master, modes))
+    found = json.loads(spark.read.schema("coding STRING").json(f"{path}/churn_coding").first()["coding"])
+    coding = from_json(found, spark.read.schema(CODES).parquet(f"{path}/churn_codes"))
+    scored = PipelineModel.load(f"{path}/churn_model").transform(coded(master, coding))
     probability = vector_to_array("probability")[1]
     return with_risk_level(scored.select("customer_id", "name", probability.alias("churn_probability")))
+
+
+def feature_table(data: DataFrame) -> DataFrame:
+    """customer_id, the scaled numbers and the codes of all customers, learnt from the earlier ones."""
+    marked = staged(chronological_split(data), "split")
+    found = coded(marked, fit_coding(marked.filter(F.col("part") == "train"), NUMERIC, CATEGORICAL))
+    return found.select("customer_id", *[rounded(F.col(f"{name}_scaled"), 5).alias(name) for name in NUMERIC],
+                        *[F.col(f"{name}_code").cast("int").alias(f"{name}_code") for name in CATEGORICAL])

@@ -5,12 +5,14 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patronage.session import at_once, staged
+from patronage.functions.numbers import rounded
+from patronage.operators.measures import silhouettes
+from patronage.session import at_once, few_partitions, staged
 
 FEATURES = ["recency_days", "order_count", "total_revenue", "average_order_value", "campaign_response_rate"]
 SEED = 42
@@ -57,7 +59,7 @@ def cluster_customers(master: DataFrame, features: list[str] | None = None) -> C
     if customers < 4:
         return Clusters(rows.select("customer_id", "name", F.lit(None).cast("int").alias("cluster")).limit(0), None)
 
-    scaled = standardised(rows).persist()
+    scaled = few_partitions(staged(standardised(rows), "scaled")).persist()
     k = cluster_count(customers)
     starts = [KMeans(k=k, seed=SEED + start, featuresCol="features", predictionCol="cluster")
               for start in range(RESTARTS)]
@@ -65,7 +67,20 @@ def cluster_customers(master: DataFrame, features: list[str] | None = None) -> C
     best = min(fits, key=lambda fit: fit.summary.trainingCost)
     assigned = staged(best.transform(scaled), "clusters")
     scaled.unpersist()
-    groups = assigned.agg(F.count_distinct("cluster")).first()[0]
-    evaluator = ClusteringEvaluator(predictionCol="cluster", featuresCol="features")
-    silhouette = round(evaluator.evaluate(assigned), 4) if groups > 1 else None
+    names = [f"v{i}" for i in range(len(features or FEATURES))]
+    values = vector_to_array("features")
+    spread = assigned.select("cluster", *[values[i].alias(name) for i, name in enumerate(names)])
+    silhouette = silhouettes(spread, "cluster", names).agg(rounded(F.avg("silhouette"), 4)).first()[0]
     return Clusters(assigned.select("customer_id", "name", "cluster"), silhouette)
+
+
+def group_silhouettes(rows: DataFrame, groups: DataFrame, group: str) -> DataFrame:
+    """Per group of customers: how many, and the mean silhouette of their standardised logarithms.
+
+    ``rows`` are as ``log_features`` gives them, ``groups`` has customer_id and ``group``.
+    """
+    values = vector_to_array("features")
+    names = [f"v{i}" for i in range(len(FEATURES))]
+    spread = standardised(rows).select("customer_id", *[values[i].alias(name) for i, name in enumerate(names)])
+    told = silhouettes(staged(spread.join(groups.select("customer_id", group), "customer_id"), "grouped"), group, names)
+    return told.groupBy(group).agg(F.count("*").alias("customers"), rounded(F.avg("silhouette"), 4).alias("silhouette"))

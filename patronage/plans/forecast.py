@@ -15,7 +15,7 @@ from patronage.functions.dates import month_label
 from patronage.functions.numbers import money, rounded
 from patronage.operators.features import with_statuses
 from patronage.operators.rollups import PAID, fill_months, month_start
-from patronage.session import at_once, staged
+from patronage.session import at_once, few_partitions, staged
 
 # Fixed values of the forecasting job.
 LAGS = (1, 2, 3, 6)
@@ -123,7 +123,8 @@ def relative(rows: DataFrame, basis: Column) -> DataFrame:
 def fit_trees(rows: DataFrame) -> PipelineModel:
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     trees = GBTRegressor(featuresCol="features", labelCol="target", maxIter=150, stepSize=0.05, maxDepth=3, seed=SEED)
-    return PipelineModel([assembler, trees.fit(assembler.transform(rows))])
+    # hundreds of rounds over the rows: stored once, in no more partitions than they fill
+    return PipelineModel([assembler, trees.fit(few_partitions(staged(assembler.transform(rows), "fit")))])
 
 
 def error_measures(judged: DataFrame, model: str = "boosted_trees") -> DataFrame:
@@ -148,26 +149,22 @@ def boosted_forecast(series: DataFrame, horizon: int = 6) -> tuple[DataFrame, Da
     """(forecast, metrics): one model over all series, judged on each series' last quarter.
 
     The months ahead are predicted one after the other from the last six values of
-    a series. These stand in one row per series, so every step is a projection. The
-    model works on multiples of each series' mean.
+    a series. These stand in one row per series, which is stored after every step, so
+    that the plan of a step does not grow with the steps before it. The model works on
+    multiples of each series' mean.
     """
     check_horizon(horizon)
-    rows = staged(head_and_tail(forecast_features(series)), "forecast").persist()
+    rows = staged(head_and_tail(forecast_features(series)), "forecast")
     metrics, model = at_once([lambda: staged(backtest(rows), "errors"), lambda: fit_trees(relative(rows, F.col("target")))])
     scales = relative(rows, F.col("target")).groupBy("series").agg(F.first("scale").alias("scale"))
-    state = last_values(series).join(staged(scales, "scales"), "series")
-    rows.unpersist()
-    known = [F.col(f"v{back}") / F.col("scale") for back in range(1, MEMORY + 1)]  # latest value first
+    values = F.array(*[F.col(f"v{back}") / F.col("scale") for back in range(1, MEMORY + 1)])  # latest value first
+    state = staged(last_values(series).join(scales, "series").select(
+        "series", "last", "scale", values.alias("known"), F.array().cast("array<double>").alias("ahead")), "state")
     for step in range(1, horizon + 1):
-        inputs = {f"lag_{lag}": known[lag - 1] for lag in LAGS}
-        inputs["rolling_3"] = (known[0] + known[1] + known[2]) / ROLLING
-        inputs["month_number"] = F.month(F.add_months("last", step)).cast("double")
-        state = model.transform(state.withColumns(inputs)).withColumn(
-            f"ahead{step}", F.greatest(F.col("prediction"), F.lit(0.0))).drop(*FEATURES, "features", "prediction")
-        known = [F.col(f"ahead{step}"), *known[:-1]]
-    steps = F.array(*[F.struct(F.lit(step).alias("step"), (F.col(f"ahead{step}") * F.col("scale")).alias("value"))
-                      for step in range(1, horizon + 1)])
-    long = state.select("series", "last", F.inline(steps)).join(metrics.select("series", "rmse"), "series", "left")
+        state = staged(next_month(state, model, step), "state")
+    long = state.select("series", "last", "scale", F.posexplode("ahead").alias("_at", "_value")).select(
+        "series", "last", (F.col("_at") + 1).alias("step"), (F.col("_value") * F.col("scale")).alias("value")).join(
+        metrics.select("series", "rmse"), "series", "left")
     error = F.when(F.coalesce(F.col("rmse"), F.lit(0.0)) == 0, F.col("value") * DEFAULT_ERROR).otherwise(F.col("rmse"))
     ahead = long.select(
         "series", month_label(F.add_months("last", F.col("step"))).alias("month"),
@@ -177,6 +174,18 @@ def boosted_forecast(series: DataFrame, horizon: int = 6) -> tuple[DataFrame, Da
     return ahead, metrics
 
 
+def next_month(state: DataFrame, model: PipelineModel, step: int) -> DataFrame:
+    """``state`` with the prediction for the month ``step`` months after the last one, in ``known`` and ``ahead``."""
+    known = F.col("known")
+    inputs = {f"lag_{lag}": known[lag - 1] for lag in LAGS}
+    inputs["rolling_3"] = (known[0] + known[1] + known[2]) / ROLLING
+    inputs["month_number"] = F.month(F.add_months("last", step)).cast("double")
+    value = F.array(F.greatest(F.col("prediction"), F.lit(0.0)))
+    return model.transform(state.withColumns(inputs)).select(
+        "series", "last", "scale", F.concat(value, F.slice("known", 1, MEMORY - 1)).alias("known"),
+        F.concat("ahead", value).alias("ahead"))
+
+
 def last_values(series: DataFrame) -> DataFrame:
     """One row per series: its last month and its last six values, ``v1`` being the latest."""
     place = F.row_number().over(W.partitionBy("series").orderBy(F.col("month").desc()))

@@ -25,13 +25,27 @@ from patronage.operators.value import (
 from patronage.plans import retail
 from patronage.plans.churn_models import (
     MASTER_COLUMNS,
+    METRICS,
+    TRAIN_SHARE,
     chronological_split,
+    feature_table,
+    heuristic_measures,
     labelled,
+    note_run,
+    read_runs,
+    rest,
+    sampled,
     score_customers,
     train_models,
 )
 from patronage.plans.clustering import FEATURES as CLUSTER_FEATURES
-from patronage.plans.clustering import Clusters, cluster_customers, log_features, standardised
+from patronage.plans.clustering import (
+    Clusters,
+    cluster_customers,
+    group_silhouettes,
+    log_features,
+    standardised,
+)
 from patronage.plans.dashboard import HEADLINE_COLUMNS, action_master, dashboard, segmented_master, valued_master
 from patronage.plans.forecast import (
     backtest,
@@ -603,6 +617,54 @@ def churn_training_check(spark: SparkSession, folder: str) -> DataFrame:
                                        F.count_if(F.col("order_count") > 0).alias("buyers"))
 
 
+@query
+def churn_features(spark: SparkSession, folder: str) -> DataFrame:
+    """What the models learn from: imputed and scaled numbers and the codes of texts."""
+    return feature_table(customer_master(star_tables(spark, folder), columns=MASTER_COLUMNS))
+
+
+def _heuristics(spark: SparkSession, folder: str) -> DataFrame:
+    columns = ["customer_id", "name", "recency_days", "support_tickets", "campaign_response_rate", "order_count"]
+    master = staged(customer_master(star_tables(spark, folder), columns=columns), "scored")
+    return heuristic_measures({name: churn_scores(master, name) for name in ("service", "behavioral")}, labelled(master))
+
+
+@query
+def churn_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """All measures of both heuristics against the label, and which of them is selected."""
+    return _heuristics(spark, folder)
+
+
+@query
+def model_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """A run over both heuristics, noted in the ledger and read back."""
+    path = _run_folder(spark, "runs")
+    found = _heuristics(spark, folder).collect()
+    best = next(row["model_name"] for row in found if row["selected"])
+    note_run(spark, path, str(uuid.uuid4()), best, {row["model_name"]: {name: row[name] for name in METRICS} for row in found})
+    well_formed = F.col("run_id").rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$") & F.col("version").rlike("^[0-9]{14}$")
+    return read_runs(spark, path).select("model_type", "selected_model", "model_name", "metric", "value",
+                                         well_formed.alias("well_formed"))
+
+
+@query
+def random_split(spark: SparkSession, folder: str) -> DataFrame:
+    """The split of customers that the models fall back to: a drawn part, and the rows that are not in it."""
+    people = star.customers(spark, folder).select("customer_id", "state")
+    train = sampled(people, "customer_id", TRAIN_SHARE)
+    return train.withColumn("part", F.lit("train")).unionByName(
+        rest(people, train, "customer_id").withColumn("part", F.lit("test")))
+
+
+@query
+def segment_silhouette(spark: SparkSession, folder: str) -> DataFrame:
+    """How well the segments separate in the measures that clusters are made from."""
+    tables = star_tables(spark, folder)
+    columns = ["customer_id", "name", *CLUSTER_FEATURES]
+    rows = staged(log_features(customer_master(tables, columns=columns)), "clustering")
+    return group_silhouettes(rows, segmented_master(tables, []), "segment")
+
+
 @query
 def churn_models(spark: SparkSession, folder: str) -> DataFrame:
     master = customer_master(star_tables(spark, folder), columns=MASTER_COLUMNS)

@@ -83,6 +83,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few_partitions(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Stored rows in as many partitions as they fill with ``rows`` each, for work of very many small rounds."""
+    return df.coalesce(max(-(-df.count() // rows), 1))
+
+
 LINE = "line"
 
 
