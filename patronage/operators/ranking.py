@@ -18,6 +18,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from patronage.session import staged
 
@@ -25,6 +26,10 @@ RUN, PLACE = "_run", "_place"
 _PLACE_BITS = 33  # monotonically_increasing_id keeps the row's place in its lower 33 bits
 
 
+#: Rows of a chunk that is numbered by itself.
+CHUNK = 1 << 20
+
+
 class Picked(NamedTuple):
     """The size of a group and its rows at the ranks asked for."""
 
@@ -61,6 +66,31 @@ def global_row_number(df: DataFrame, keys: Sequence[Column | str], name: str) ->
     )
 
 
+def _leaves(column: Column, kind: T.DataType) -> list[Column]:
+    if not isinstance(kind, T.StructType):
+        return [column]
+    return [leaf for field in kind.fields for leaf in _leaves(column[field.name], field.dataType)]
+
+
+def file_order_number(df: DataFrame, sequence: str, name: str, chunk: int = CHUNK) -> DataFrame:
+    """Number rows 1..N as they stand in their files, without a sort of the whole.
+
+    The last field of ``sequence`` grows along the rows of a block, the fields before it
+    tell the blocks apart and order them. Blocks are cut into chunks of at most ``chunk``
+    places. Rows are counted per chunk, the counts summed along the chunks, and every
+    chunk is numbered by itself, so neither a block nor a frequent value fills a task.
+    ``df`` is read twice and not stored; it must give the same rows both times.
+    """
+    *block, row = _leaves(F.col(sequence), df.schema[sequence].dataType)
+    keys = [f"_block{i}" for i in range(len(block))] + ["_chunk"]
+    placed = df.withColumns(dict(zip(keys, [*block, F.floor(row / chunk)], strict=True)))
+    counts = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
+    # a row per chunk
+    starts = counts.withColumn("_start", F.sum("_n").over(W.orderBy(*keys)) - F.col("_n")).drop("_n")
+    within = F.row_number().over(W.partitionBy(*keys).orderBy(row))
+    return placed.join(starts, keys).withColumn(name, F.col("_start") + within).drop(*keys, "_start")
+
+
 def global_dense_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:
     """Dense rank of ``value``, largest first; equal values share a rank across runs, null has none."""
     runs = sorted_runs(df, F.col(value).desc(), F.col(tie).asc())

@@ -12,7 +12,7 @@ from patronage.functions.dates import parsed_moment
 from patronage.functions.numbers import money, number
 from patronage.functions.text import customer_label, keyword_category, stripped, tidy_title
 from patronage.operators.cleaning import whole
-from patronage.operators.ranking import global_row_number
+from patronage.operators.ranking import file_order_number, global_row_number
 from patronage.operators.rollups import monthly
 from patronage.session import LINE, staged_lines
 from patronage.sources.files import SEQUENCE
@@ -98,10 +98,16 @@ def purchase_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def transaction_table(purchases: DataFrame, order: Sequence[str] = ()) -> DataFrame:
-    """Numbered transactions; the place of a stored line tells copies apart, however many there are."""
+    """Numbered transactions, in file order if that is the order asked for, else sorted.
+
+    In a sort the place of a stored line tells copies apart, however many there are.
+    """
     keys = list(order) or ["invoice_date", "invoice", "stock_code", "customer_id", "quantity", "unit_price"]
-    keys += [LINE] if LINE in purchases.columns else []
-    numbered = global_row_number(purchases, keys, "transaction_id")
+    if keys == [SEQUENCE]:
+        numbered = file_order_number(purchases, SEQUENCE, "transaction_id")
+    else:
+        keys += [LINE] if LINE in purchases.columns else []
+        numbered = global_row_number(purchases, keys, "transaction_id")
     cost = F.round(F.col("order_amount") * F.lit(COST_SHARE).cast("decimal(3,2)"), 2)
     return numbered.select(
         "transaction_id",

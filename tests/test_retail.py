@@ -84,3 +84,34 @@ def test_many_copies_are_all_numbered(spark, many_runs):
     lines = [LINES[0]] * 300 + [LINES[2]] * 100
     rows = prepare(raw(spark, lines).repartition(6)).transactions.collect()
     assert sorted(row.transaction_id for row in rows) == list(range(1, 401))
+
+
+def test_numbers_in_file_order(spark, tmp_path, many_runs):
+    """Several files, blocks and chunks; rows filtered out leave no gap; no range sort and nothing stored."""
+    from pyspark.sql import functions as F
+
+    from patronage.operators import ranking
+    from patronage.sources.files import read_csv, read_raw_retail
+
+    head = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+    expected = []
+    for name, count in (("b", 700), ("a", 300)):
+        lines = [f"{name}{n},S,pen,{n % 7},2024-01-01,1,7,UK" for n in range(count)]
+        (tmp_path / f"{name}.csv").write_text(head + "\n".join(lines) + "\n")
+        expected += [f"{name}{n}" for n in range(count) if n % 7]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        columns = head.strip().split(",")
+        raw = read_raw_retail([read_csv(spark, str(tmp_path / f"{name}.csv"), columns, multiline=False) for name in "ba"])
+        assert raw.rdd.getNumPartitions() > 6
+        rows = ranking.file_order_number(raw.filter("quantity <> '0'"), "ingest_seq", "n", chunk=50)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan.lower()
+        found = rows.select("n", "invoice").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert sorted(row["n"] for row in found) == list(range(1, len(expected) + 1))
+    assert [row["invoice"] for row in sorted(found, key=lambda row: row["n"])] == expected
+    assert ranking.file_order_number(raw.filter(F.lit(False)), "ingest_seq", "n").collect() == []
