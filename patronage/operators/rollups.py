@@ -22,6 +22,8 @@ PAID = (COMPLETED,)
 
 # Right-closed age bands.
 AGE_BANDS = [(24, "18-24"), (34, "25-34"), (44, "35-44"), (54, "45-54"), (64, "55-64"), (120, "65+")]
+#: Months that one number holds as bits.
+MASK_MONTHS = 60
 HISTOGRAM_BINS = 25
 PUBLIC_SOURCE, UPLOADED_SOURCE = "Public retail data", "Demo or uploaded data"
 
@@ -130,14 +132,26 @@ def uncategorised_revenue(transactions: DataFrame, statuses: Iterable[str] | Non
 
 
 def cohorts(transactions: DataFrame, customers: DataFrame, statuses: Iterable[str] | None = None) -> DataFrame:
-    """Customers active per signup month and activity month; ``NaT`` stands for no signup date."""
-    active = with_statuses(transactions, statuses).select(
-        "customer_id", month_label("order_date").alias("activity_month")).distinct()
+    """Customers active per signup month and activity month; ``NaT`` stands for no signup date.
+
+    The months of a customer are bits of a number, which lines are combined into before
+    the shuffle: a row per customer and five years, not per customer and month. The
+    months are told apart again after the signup month has been looked up, and counted
+    before the next shuffle, so a cohort of any size is a row per month and task.
+    """
+    date = F.to_date("order_date")
+    number = F.year(date) * 12 + F.month(date) - 1
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), number % MASK_MONTHS)
+    active = with_statuses(transactions, statuses).groupBy("customer_id", F.floor(number / MASK_MONTHS).alias("_span")).agg(
+        F.coalesce(F.bit_or(bit), F.lit(1)).alias("_months"))
     signup = customers.select("customer_id", month_label("signup_date").alias("cohort"))
+    bits = F.filter(F.sequence(F.lit(0), F.lit(MASK_MONTHS - 1)), lambda bit: F.getbit("_months", bit) == 1)
+    months = active.join(signup, "customer_id", "left").withColumn("_bit", F.explode(bits))
+    month = F.col("_span") * MASK_MONTHS + F.col("_bit")
+    label = F.format_string("%04d-%02d", F.floor(month / 12), month % 12 + 1)
     return (
-        active.join(signup, "customer_id", "left")
-        .groupBy(F.coalesce("cohort", F.lit("NaT")).alias("cohort"), F.coalesce("activity_month", F.lit("NaT"))
-                 .alias("activity_month"))
+        months.groupBy(F.coalesce("cohort", F.lit("NaT")).alias("cohort"),
+                       F.when(F.col("_span").isNull(), "NaT").otherwise(label).alias("activity_month"))
         .agg(F.count("customer_id").alias("active_customers"))
     )
 

@@ -135,3 +135,25 @@ def test_value_summary_and_markets(spark):
     assert tuple(rollups.market_summary(states).first()) == (3, "A", 5.0)
     assert [row.state for row in rollups.top_by(states, "revenue", "state", 2).collect()] == ["A", "B"]
     assert states.filter(F.col("revenue") > 9).count() == 0
+
+
+def test_cohorts_of_a_hot_customer_and_a_hot_month(spark):
+    """A third of the lines are one customer's, all customers signed up in one month; eleven years are three numbers each."""
+    import collections
+    import random
+
+    draw = random.Random(5)
+    lines = [(1 if i % 3 == 0 else draw.randrange(2, 60), dt.datetime(2010 + m // 12, m % 12 + 1, 9) if m < 132 else None)
+             for i in range(6_000) for m in [draw.randrange(133)]]
+    frame = spark.createDataFrame([(*line, "completed") for line in lines],
+                                  "customer_id long, order_date timestamp_ntz, status string").repartition(6)
+    people = spark.createDataFrame([(c, dt.date(2010, 1, 5)) for c in range(1, 50)], "customer_id long, signup_date date")
+    found = rollups.cohorts(frame, people)
+    active = collections.defaultdict(set)
+    for customer, date in lines:
+        active["2010-01" if customer < 50 else "NaT", date.strftime("%Y-%m") if date else "NaT"].add(customer)
+    assert {(row["cohort"], row["activity_month"]): row["active_customers"] for row in found.collect()} == {
+        key: len(who) for key, who in active.items()}
+    # what is shuffled first are the customers' numbers, not their months
+    first = frame.groupBy("customer_id", F.floor((F.year("order_date") * 12 + F.month("order_date") - 1) / rollups.MASK_MONTHS))
+    assert first.count().count() < 0.1 * frame.select("customer_id", F.date_trunc("month", "order_date")).distinct().count()
