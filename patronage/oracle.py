@@ -9,6 +9,7 @@ from __future__ import annotations
 from patronage.functions.text import CATEGORY_KEYWORDS
 from patronage.plans.churn_models import CATEGORICAL, NUMERIC, TRAIN_SHARE
 from patronage.plans.churn_models import SEED as MODEL_SEED
+from patronage.plans.mart import DATA_DICTIONARY
 
 
 def rounded(expression: str, digits: int) -> str:
@@ -806,3 +807,33 @@ ORACLE["payload_segments"] = ORACLE["segment_rollup"]
 ORACLE["mart_customers"] = f"""
     SELECT customer_id, c.name, s.segment, CAST(c.clv_rank AS INTEGER) AS clv_rank
     FROM ({ORACLE["clv_ranked"]}) c JOIN ({ORACLE["segment_listing"]}) s USING (customer_id)"""
+
+_KPIS = ["customers", "active_customers", "revenue", "profit", "churn_rate", "retention_rate", "average_order_value",
+         "campaign_conversion_rate", "customer_health_score", "revenue_growth_pct", "margin_pct"]
+_HEADER = ["transactions", "products", "customers", "markets"]
+
+
+def _fields(member: str, numbers: list[str], texts: list[str]) -> str:
+    return " UNION ALL ".join(
+        [f"""SELECT '{member}' AS member, 0 AS place, '{name}' AS label, NULL AS detail, CAST(NULL AS BIGINT) AS number,
+             CAST({name} AS DOUBLE) AS amount FROM {member}""" for name in numbers]
+        + [f"SELECT '{member}', 0, '{name}', {name}, NULL, NULL FROM {member}" for name in texts])
+
+
+_DICTIONARY = ", ".join(f"({place}, '{name}', '{text}')" for place, (name, text, _) in enumerate(DATA_DICTIONARY))
+ORACLE["payload_members"] = f"""
+    WITH kpis AS ({ORACLE["executive_kpis"]}), dataset AS ({ORACLE["dataset_header"]}), places AS ({ORACLE["top_markets"]}),
+    kinds AS ({ORACLE["category_revenue"]}), queue AS ({ORACLE["action_queue_top100"]})
+    {_fields("dataset", _HEADER, ["source", "date_start", "date_end"])}
+    UNION ALL {_fields("kpis", _KPIS, ["top_segment"])}
+    UNION ALL SELECT 'geography', CAST(row_number() OVER (ORDER BY revenue DESC, state) - 1 AS INTEGER), state, NULL, customers,
+                     revenue FROM places
+    UNION ALL SELECT 'categories', CAST(row_number() OVER (ORDER BY order_amount DESC, category) - 1 AS INTEGER), category,
+                     NULL, NULL, order_amount FROM kinds
+    UNION ALL SELECT 'recommendations', CAST(row_number() OVER ({QUEUE}) - 1 AS INTEGER), action, reason, customer_id,
+                     expected_value FROM queue
+    UNION ALL SELECT 'data_dictionary', place, label, detail, NULL, NULL
+              FROM (VALUES {_DICTIONARY}) AS d(place, label, detail)"""
+ORACLE["segmented_rows"] = sql("""
+    SELECT customer_id, CAST(order_count AS BIGINT) AS order_count, CAST(recency_days AS BIGINT) AS recency_days,
+           CAST(rfm_score AS BIGINT) AS rfm_score, name, segment, total_revenue FROM segmented""", "segmented")

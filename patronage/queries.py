@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.functions.numbers import rounded
@@ -15,6 +16,7 @@ from patronage.operators import rollups
 from patronage.operators.cleaning import clean_report, clean_strict, cleaning_report
 from patronage.operators.loading import compare_with_ledger, file_checksums, upsert_dataset
 from patronage.operators.profiling import constraint_audit, profile
+from patronage.operators.segments import rfm_segments
 from patronage.operators.value import (
     action_queue,
     churn_queue,
@@ -59,7 +61,7 @@ from patronage.plans.forecast import (
 )
 from patronage.plans.ingest import latest_version, load_files, read_ledger
 from patronage.plans.master import as_document, customer_master, customer_profile, register_master_view
-from patronage.plans.mart import build_mart, payload, write_mart
+from patronage.plans.mart import build_mart, payload, segmented_export, write_mart
 from patronage.schemas import empty_table
 from patronage.session import staged, staged_lines, staging_folder
 from patronage.sinks.files import write_csv, write_tables
@@ -549,6 +551,54 @@ def payload_segments(spark: SparkSession, folder: str) -> DataFrame:
     return document.select(F.inline(F.from_json("value", kind)["segments"]))
 
 
+@query
+def payload_members(spark: SparkSession, folder: str) -> DataFrame:
+    """The other members of the mart's document: a row per field, or per entry with its place."""
+    kind = """dataset map<string,string>, kpis map<string,string>,
+        geography array<struct<state:string,customers:bigint,revenue:double>>,
+        categories array<struct<category:string,order_amount:double>>,
+        recommendations array<struct<customer_id:bigint,action:string,reason:string,expected_value:double>>,
+        data_dictionary array<array<string>>"""
+    whole = F.from_json("value", kind)
+    parsed = staged(payload(build_mart(star_tables(spark, folder))).select(whole.alias("d")), "document").select("d.*")
+    none, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")
+
+    def entries(name: str, label: str, detail: Column, count: Column, amount: Column) -> DataFrame:
+        found = parsed.select(F.posexplode(name).alias("place", "e"))
+        return found.select(F.lit(name).alias("member"), "place", F.col(label).alias("label"), detail.alias("detail"),
+                            count.alias("number"), amount.alias("amount"))
+
+    def fields(name: str) -> DataFrame:
+        """Whole fields as text, numbers as amounts."""
+        found = parsed.select(F.explode(name).alias("label", "text"))
+        amount = F.expr("try_cast(text AS DOUBLE)")
+        return found.select(F.lit(name).alias("member"), F.lit(0).alias("place"), "label",
+                            F.when(amount.isNull(), F.col("text")).alias("detail"), number.alias("number"),
+                            amount.alias("amount"))
+
+    members = [
+        fields("dataset"), fields("kpis"),
+        entries("geography", "e.state", none, F.col("e.customers"), F.col("e.revenue")),
+        entries("categories", "e.category", none, number, F.col("e.order_amount")),
+        entries("recommendations", "e.action", F.col("e.reason"), F.col("e.customer_id"), F.col("e.expected_value")),
+        entries("data_dictionary", "e", F.col("e")[1], number, F.lit(None).cast("double")).withColumn(
+            "label", F.col("label")[0]),
+    ]
+    return reduce(DataFrame.unionByName, members)
+
+
+@query
+def segmented_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """The segmented master read back from its file."""
+    path = f"{_run_folder(spark, 'segmented')}/master.csv"
+    tables = star_tables(spark, folder)
+    segmented_export(tables, path)
+    back = read_csv(spark, path, rfm_segments(customer_master(tables)).columns)
+    whole = ["customer_id", "order_count", "recency_days", "rfm_score"]
+    return back.select(*[F.col(name).cast("long").alias(name) for name in whole], "name", "segment",
+                       F.col("total_revenue").cast("double").alias("total_revenue"))
+
+
 @query
 def stored_tables_months(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly revenue of tables written as Parquet and read back."""
