@@ -9,7 +9,7 @@ it is compared with the reach. Factor 1 leaves out only what cannot hold a neigh
 and is exact; larger factors leave out more and may miss some. They suit vectors of
 about equal length; where lengths differ much, distances say less about products.
 
-Every vector is in the tree of one shard (by a hash of its id). Queries are packed
+Every vector is in the tree of one shard, dealt out evenly whatever its id. Queries are packed
 into blocks, and every shard is sent every block: the stated queries against all
 vectors, block by block. A task holds one tree and one block at a time; per shard and
 query only the best ``k`` come out. Equal
@@ -211,7 +211,9 @@ def nearest(vectors: DataFrame, id_: str, vector: str, is_query: Column, k: int,
     same = usable.filter(F.size("vector") == sizes["d"])
 
     def grouped(rows: DataFrame, count: int, size: int) -> DataFrame:
-        keyed = rows.select(F.pmod(F.xxhash64("id"), F.lit(count)).cast("long").alias("key"), "id", "vector")
+        # by the place of the row, as any number of rows may share an id
+        place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("long")
+        keyed = rows.select(place.alias("key"), "id", "vector")
         return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(
             _packed(size), "key long, ids binary, vectors binary")
 

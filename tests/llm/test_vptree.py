@@ -85,3 +85,16 @@ def test_repeated_ids(spark):
     rows = [(10, [1.0, 0.0]), (10, [1.0, 0.0]), (11, [1.0, 0.0]), (11, [1.0, 0.0]), (12, [0.0, 1.0])]
     found = found_by(spark.createDataFrame(rows, "id long, v array<double>"), 2)
     assert set(found) == {10} and {i for i, _ in found[10]} == {11}
+
+
+def test_hot_id(spark):
+    """A third of the rows share an id, which does not bring them into one shard."""
+    draw = np.random.default_rng(5)
+    vectors = draw.normal(size=(900, 8))
+    ids = np.where(np.arange(900) % 3 == 0, 7, np.arange(900) + 10)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(ids, vectors, strict=True)]
+    table = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    asked = sorted({int(i) for i in ids if i % 10 == 0})
+    assert found_by(table, 5, shard=64, block=16) == brute(ids, vectors, np.array(asked), 5)
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(15))
+    assert max(row["count"] for row in table.groupBy(place).count().collect()) < 2 * 900 / 15
