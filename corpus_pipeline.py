@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.llm import bpe, minhash, mixing, suffixes, toxicity
@@ -111,25 +111,27 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
     sized = docs.withColumn(size, mixing.word_count(F.col("text")))
     taken = staged(mixing.mixed(docs, "doc_id", "source", mixing.word_count(F.col("text")))
                    .groupBy("doc_id", "source", "size").agg(F.sum("copies").alias(copies), F.count("*").alias(rows)),
-                   "taken").alias("t")
+                   "taken")
     same = (F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").eqNullSafe(F.col("t.source"))
             & (F.col(f"d.{size}") == F.col("t.size")))
 
-    def counted(some: Column) -> DataFrame:
-        """The documents taken, with the copies and number of the rows alike, of some of these groups."""
-        return sized.alias("d").join(taken.filter((F.col(copies) > 0) & some), same).select("d.*", f"t.{copies}", f"t.{rows}")
+    def counted(groups: DataFrame) -> DataFrame:
+        """The documents of some groups, with the copies taken of the group and its number of rows."""
+        return sized.alias("d").join(groups.alias("t"), same).select("d.*", f"t.{copies}", f"t.{rows}")
 
-    single = counted(F.col(rows) == 1)
+    single = counted(taken.filter((F.col(copies) > 0) & (F.col(rows) == 1)))
     # rows alike in id, source and size share the copies they are taken together: numbered in sorted runs, as any
-    # number of rows may be alike, down to where they were read; few groups have several, so that no other row moves
-    several = staged(counted(F.col(rows) > 1).withColumn(read_, F.monotonically_increasing_id()), "several")
+    # number of rows may be alike, down to where they were read. Few groups have several rows; they are stored, so
+    # that Spark knows how few before it moves the documents
+    alike = staged(taken.filter((F.col(copies) > 0) & (F.col(rows) > 1)), "alike")
+    several = staged(counted(alike).withColumn(read_, F.monotonically_increasing_id()), "several")
     group = ["doc_id", "source", size]
     numbered = global_row_number(several, [*group, F.xxhash64("text"), read_], "_number").alias("n")
     begins = staged(numbered.groupBy(*group).agg(F.min("_number").alias("_begin")), "begins").alias("b")
-    alike = reduce(lambda one, other: one & other, [F.col(f"n.`{name}`").eqNullSafe(F.col(f"b.`{name}`")) for name in group])
+    match = reduce(lambda one, other: one & other, [F.col(f"n.`{name}`").eqNullSafe(F.col(f"b.`{name}`")) for name in group])
     place = F.col("_number") - F.col("_begin")
     own = F.floor(F.col(copies) / F.col(rows)) + (place < F.col(copies) % F.col(rows)).cast("long")
-    shared = numbered.join(begins, alike).select(*[F.col(f"n.`{name}`") for name in docs.columns], own.alias(copies))
+    shared = numbered.join(begins, match).select(*[F.col(f"n.`{name}`") for name in docs.columns], own.alias(copies))
     taking = single.select(*docs.columns, copies).unionByName(shared)
     return mixing.emitted(taking, F.col(copies)).select(*docs.columns)
 
