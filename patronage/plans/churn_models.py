@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -22,7 +22,7 @@ from patronage.operators.measures import MEASURES, measures, with_selected
 from patronage.operators.ranking import rows_at_ranks
 from patronage.operators.value import churn_scores, is_churned, with_risk_level
 from patronage.schemas import SCHEMAS
-from patronage.session import at_once, few_partitions, path_exists, staged
+from patronage.session import at_once, few_partitions, path_exists, staged, staging_folder
 
 NUMERIC = ["age", "tenure_days", "order_count", "total_revenue", "average_order_value", "product_diversity",
            "campaign_response_rate", "support_tickets", "avg_resolution_hours", "avg_satisfaction"]
@@ -154,6 +154,12 @@ def heuristic_measures(scores: dict[str, DataFrame], labels: DataFrame) -> DataF
     return with_selected(measures(told, "churned", "prediction", "churn_probability", "model_name"), "model_name")
 
 
+def without_summary(model: Model, path: str) -> Model:
+    """The model as it is saved and loaded; the summary of a fit holds the session, which must not go to tasks."""
+    model.write().overwrite().save(path)
+    return type(model).load(path)
+
+
 def train_models(master: DataFrame, path: str, models: Iterable[str] | None = None) -> Trained:
     """Fit the candidates, keep the one with the largest area, save it and note the run."""
     spark = master.sparkSession
@@ -167,7 +173,9 @@ def train_models(master: DataFrame, path: str, models: Iterable[str] | None = No
     judge_on = few_partitions(staged(features.transform(coded(test, coding)).select("churned", "features"), "judge"))
     known = candidates()
     names = list(models or known)
-    fitted = dict(zip(names, at_once([lambda name=name: known[name].fit(fit_on) for name in names]), strict=True))
+    fitted = dict(zip(names, at_once([
+        lambda name=name: without_summary(known[name].fit(fit_on), f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}")
+        for name in names]), strict=True))
     fit_on.unpersist()
     found = judged({name: fitted[name].transform(judge_on) for name in names}).collect()  # a row per model
     best = next(row["model_name"] for row in found if row["selected"])

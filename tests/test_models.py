@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from patronage.errors import InsufficientDataError
@@ -164,6 +165,9 @@ def test_measures_from_outcomes(spark):
 
 def test_train_save_and_score(spark, tmp_path, monkeypatch):
     data = master(spark)
+    seen = Observation()  # once a session has observed anything it cannot go to tasks, nor what holds it
+    data.observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get == {"n": 60}
     before = churn.score_customers(data, str(tmp_path))
     assert before.count() == 60  # the heuristic, as nothing was saved yet
     quick = churn.candidates
