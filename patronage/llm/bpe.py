@@ -11,7 +11,9 @@ uses that symbol ranks after it.
 Nothing is moved between rows: encoding and decoding are columns.
 
 Null text counts as empty text and has no ids; decoding null gives the empty text.
-Repeated rows and clashing column names do not matter: the functions take columns.
+Long texts are encoded whole, in a slice of their own. Ties between places of one rank
+do not arise, as all are merged. Repeated rows and clashing column names do not matter:
+the functions take columns. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ two blocks at a time and returns confirmed links only.
 Null or empty text and text without a word: empty set, linked with nothing. Fewer
 words than a shingle: the whole sequence is the only shingle. Rows that repeat an id
 are one document whose links are those of all its rows. Rows without an id link
-nothing and are a component of their own (null). Long texts are used whole.
+nothing and are a component of their own (null). Long texts are used whole. Ties: of a
+component the smallest id is kept. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ masks alone, which are counted per distinct value before anything else.
 All limits are fractions in whole numbers, so that no verdict hangs on rounding.
 
 Null and empty texts have no words; they fail ``few_words`` alone. Rows with null or
-repeated ids are measured like any other. Very long texts are measured whole.
+repeated ids are measured like any other. Very long texts are measured whole. A
+measurement at a limit keeps the document. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -19,7 +19,8 @@ sorted once, for the smallest id.
 
 Null, empty and short texts have no spans. Rows without an id are left out. Of rows
 that repeat an id one counts (of those with ``LENGTH`` words the smallest by its hashes).
-Texts are used whole.
+Texts are used whole, however long. Of equal windows the one in the smallest document,
+and furthest up in it, is the source. An empty table gives no rows.
 """
 
 from __future__ import annotations
