@@ -50,9 +50,9 @@ LEAST_ODDS = 2.0
 FEATURES = 8192
 #: Bounds of the rows that the classifier is fitted on.
 POSITIVES, UNLABELLED = 10_000, 20_000
-KNOWN_PIECES = 100_000
+KNOWN_PIECES = 200_000
 #: Bytes of text that a worker takes apart at a time.
-PART = 400_000
+PART = 1_000_000
 #: So many counts a task holds before it adds them up, and hands them on if still more than half.
 HELD_COUNTS = 1_000_000
 BASE = 0x9E3779B97F4A7C15
