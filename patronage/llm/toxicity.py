@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -78,7 +79,8 @@ class Features:
     def _forget(self) -> None:
         self.index = Index()
         self.first = np.zeros(1, np.int64)  # where the words of a piece begin in the table
-        self.table = np.zeros((0, 1 + len(BEGINNINGS)), np.int64)
+        self.table = np.zeros((1024, 1 + len(BEGINNINGS)), np.int64)  # with room for more words
+        self.words = 0
         self.useful = np.zeros(0, bool)
 
     def _is_wanted(self, hashes: np.ndarray) -> np.ndarray:
@@ -91,7 +93,7 @@ class Features:
 
     def _learn(self) -> None:
         """Words, hashes and use of the pieces that are new."""
-        pieces = list(self.index)[len(self.first) - 1:]
+        pieces = list(islice(reversed(self.index), len(self.index) - len(self.first) + 1))[::-1]
         points = np.frombuffer("\n".join([*pieces, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
         edges = np.diff(np.concatenate(([0], letters()[points].view(np.int8), [0])))
         begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
@@ -108,7 +110,13 @@ class Features:
         useful = np.zeros(len(begin), bool)
         for again in AGAIN:
             useful |= (self._is_wanted(table ^ again) & (table != 0)).any(axis=1)
-        self.table = np.concatenate((self.table, table))
+        end = self.words + len(table)
+        if end > len(self.table):
+            grown = np.zeros((2 * end, self.table.shape[1]), np.int64)
+            grown[:self.words] = self.table[:self.words]
+            self.table = grown
+        self.table[self.words:end] = table
+        self.words = end
         self.useful = np.concatenate((self.useful, np.bincount(of[useful], minlength=len(pieces)) > 0))
 
     def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
