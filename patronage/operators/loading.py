@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -76,17 +76,20 @@ def upsert_dataset(target: DataFrame, batch: DataFrame, dataset: str) -> DataFra
     return upsert(target, known, known.columns[0], DEFAULTS[dataset])
 
 
-def _streamed_sha256(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        sums = []
-        for path in batch["file_path"]:
-            files, name = fs.FileSystem.from_uri(path)
-            digest = hashlib.sha256()
-            with files.open_input_stream(name) as stream:
-                while part := stream.read(CHUNK):
-                    digest.update(part)
-            sums.append(digest.hexdigest())
-        yield batch.assign(checksum=sums)
+def _streaming(chunk: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Adds the checksums of files read in pieces; a closure, so that executors need not have this package."""
+    def streamed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sums = []
+            for path in batch["file_path"]:
+                files, name = fs.FileSystem.from_uri(path)
+                digest = hashlib.sha256()
+                with files.open_input_stream(name) as stream:
+                    while part := stream.read(chunk):
+                        digest.update(part)
+                sums.append(digest.hexdigest())
+            yield batch.assign(checksum=sums)
+    return streamed
 
 
 def file_checksums(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> DataFrame:
@@ -102,7 +105,7 @@ def file_checksums(spark: SparkSession, path: str, whole: int = WHOLE_FILE) -> D
         name, F.col("path").alias("file_path"), F.sha2("content", 256).alias("checksum"))
     large = files.filter(F.col("length") > whole).select(name, F.col("path").alias("file_path"))
     return small.unionByName(large.mapInPandas(
-        _streamed_sha256, "file_name string, file_path string, checksum string"))
+        _streaming(CHUNK), "file_name string, file_path string, checksum string"))
 
 
 def compare_with_ledger(files: DataFrame, ledger: DataFrame) -> DataFrame:
