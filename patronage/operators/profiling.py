@@ -23,9 +23,11 @@ def profile(df: DataFrame) -> DataFrame:
     """One row per column: type, missing values and, for numbers, a summary; plus table totals.
 
     Quartiles interpolate between the exact neighbours, which are selected by
-    narrowing histograms. The table is not stored: it is read once for the totals,
-    once for the digests of its rows, and once per round of the selection.
+    narrowing histograms. The table is stored once, as what it is made from may be
+    joins: it is read for the totals, for the digests of its rows, and in every round
+    of the selection.
     """
+    df = staged(df, "profiled")
     numeric = [field.name for field in df.schema.fields if isinstance(field.dataType, T.NumericType)]
     totals = []
     for name in df.columns:

@@ -154,3 +154,15 @@ def test_upsert(spark):
         (1, "a", "a@x"), (2, "B", "b@x"), (3, "c", "none")]
     empty = spark.createDataFrame([(2, None)], "id INT, email STRING")
     assert sorted(tuple(r) for r in upsert(target, empty, "id").collect()) == [(1, "a", "a@x"), (2, "b", None)]
+
+
+def test_profile_makes_its_input_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        made.add(1)
+        return row
+
+    rows = spark.createDataFrame([(n, f"t{n}") for n in range(20)], "n INT, t STRING").rdd.map(counted)
+    found = by_key(profile(spark.createDataFrame(rows, "n INT, t STRING")), "column_name")
+    assert (found["n"]["row_count"], found["n"]["p50"], made.value) == (20, 9.5, 20)
