@@ -125,7 +125,10 @@ def support(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def raw_retail(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as the untyped text rows of a retailer's sheet."""
+    """Order lines as the untyped text rows of a retailer's sheet.
+
+    The country is joined to the orders, so that lines are not moved by customer.
+    """
     returned = F.col("l_returnflag") == "R"
     quantity = F.col("l_quantity").cast("int")
     part = _read(spark, folder, "part").withColumnRenamed("p_partkey", "l_partkey")
@@ -133,7 +136,9 @@ def raw_retail(spark: SparkSession, folder: str) -> DataFrame:
     country = _read(spark, folder, "customer").withColumnRenamed("c_custkey", "o_custkey").join(
         nation, "c_nationkey", "left")
     price = F.round(F.try_divide("l_extendedprice", "l_quantity").cast("decimal(18,8)"), 2)
-    return _lines(spark, folder).join(part, "l_partkey", "left").join(country, "o_custkey", "left").select(
+    orders = _read(spark, folder, "orders").join(country, "o_custkey", "left")
+    lines = _read(spark, folder, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").join(orders, "o_orderkey")
+    return lines.join(part, "l_partkey", "left").select(
         F.concat(F.when(returned, "C").otherwise(""), F.col("o_orderkey").cast("string")),
         F.concat(F.lit("P"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")),
         F.col("p_name"),

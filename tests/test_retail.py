@@ -115,3 +115,41 @@ def test_numbers_in_file_order(spark, tmp_path, many_runs):
     assert sorted(row["n"] for row in found) == list(range(1, len(expected) + 1))
     assert [row["invoice"] for row in sorted(found, key=lambda row: row["n"])] == expected
     assert ranking.file_order_number(raw.filter(F.lit(False)), "ingest_seq", "n").collect() == []
+
+
+def test_raw_lines_are_not_moved_by_customer(spark, tmp_path):
+    """Repeated keys and keys that lead nowhere included."""
+    from patronage.sources.star import STAR_SCHEMAS, raw_retail
+
+    day = dt.datetime(2024, 1, 1)
+    rows = {
+        "nation": [(0, "HERE", 0), (1, "THERE", 0)],
+        "customer": [(1, "a", 0, 0.0, "s"), (1, "b", 1, 0.0, "s"), (2, "c", 9, 0.0, "s")],
+        "part": [(5, "big bolt", "b", "t", 1, 1.0)],
+        "orders": [(10, 1, "O", 0.0, day, "p"), (11, 2, "O", 0.0, day, "p"), (12, None, "O", 0.0, day, "p")],
+        "lineitem": [(order, part, 1, 1, 2.0, 3.0, 0.0, 0.0, flag, "O", day)
+                     for order, part, flag in ((10, 5, "N"), (11, 6, "R"), (12, None, "N"), (13, 5, "N"))],
+    }
+    for name, entries in rows.items():
+        spark.createDataFrame(entries, STAR_SCHEMAS[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = raw_retail(spark, str(tmp_path))
+        plan = lines._jdf.queryExecution().sparkPlan().toString().split("\n")
+        found = sorted(map(tuple, lines.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "512k")
+    scan = next(i for i, line in enumerate(plan) if "l_extendedprice" in line and "FileScan" in line)
+    depth, above = plan[scan].index("FileScan"), []
+    for line in reversed(plan[:scan]):
+        start = len(line) - len(line.lstrip(" :+-"))
+        if start < depth:
+            depth, above = start, [*above, line]
+    joins = [line for line in above if "Join" in line]
+    assert len(joins) == 2 and not any("o_custkey" in line for line in joins)
+    moment = "2024-01-01 00:00:00"
+    assert found == sorted([
+        ("10", "P000005", "big bolt", "2", moment, "1.50", "1", "HERE"),
+        ("10", "P000005", "big bolt", "2", moment, "1.50", "1", "THERE"),
+        ("C11", "P000006", None, "-2", moment, "1.50", "2", None),
+        ("12", None, None, "2", moment, "1.50", None, None)], key=str)
