@@ -37,8 +37,8 @@ class Picked(NamedTuple):
     rows: dict[int, Row]
 
 
-def sorted_runs(df: DataFrame, *keys: Column | str) -> DataFrame:
-    """``df`` in sorted runs, stored with run number and place within the run."""
+def sorted_runs(df: DataFrame, *keys: Column | str, kept: Sequence[str] | None = None) -> DataFrame:
+    """``df``, or the columns ``kept`` of it, in sorted runs, stored with run number and place within the run."""
     at = F.col("_at")
     placed = (
         df.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -47,12 +47,13 @@ def sorted_runs(df: DataFrame, *keys: Column | str) -> DataFrame:
         .withColumn(PLACE, at.bitwiseAND(F.lit((1 << _PLACE_BITS) - 1)))
         .drop("_at")
     )
-    return staged(placed, "runs")
+    return staged(placed if kept is None else placed.select(*kept, RUN, PLACE), "runs")
 
 
-def global_row_number(df: DataFrame, keys: Sequence[Column | str], name: str) -> DataFrame:
-    """Number rows 1..N along ``keys``."""
-    runs = sorted_runs(df, *keys)
+def global_row_number(df: DataFrame, keys: Sequence[Column | str], name: str,
+                      kept: Sequence[str] | None = None) -> DataFrame:
+    """Number rows 1..N along ``keys``; with ``kept`` these columns alone are stored and returned."""
+    runs = sorted_runs(df, *keys, kept=kept)
     sizes = runs.groupBy(RUN).agg(F.count("*").alias("size")).orderBy(RUN).collect()  # one row per run
     starts, start = [], 0
     for size in sizes:
@@ -72,6 +73,20 @@ def _leaves(column: Column, kind: T.DataType) -> list[Column]:
     return [leaf for field in kind.fields for leaf in _leaves(column[field.name], field.dataType)]
 
 
+def numbered_blocks(df: DataFrame, sequence: str) -> DataFrame:
+    """``sequence`` with one number in place of the fields that tell the blocks of files apart and order them.
+
+    Paths are long; afterwards a row carries two numbers through joins and shuffles.
+    """
+    *block, row = _leaves(F.col(sequence), df.schema[sequence].dataType)
+    keys = [f"_block{i}" for i in range(len(block))]
+    placed = df.withColumns(dict(zip([*keys, "_row"], [*block, row], strict=True)))
+    numbers = placed.select(*keys).distinct().withColumn("_block", F.row_number().over(W.orderBy(*keys)))
+    found = placed.join(F.broadcast(numbers), keys)  # a row per block
+    return found.withColumn(sequence, F.struct(F.col("_block").alias("block"), F.col("_row").alias("row"))).drop(
+        *keys, "_block", "_row")
+
+
 def file_order_number(df: DataFrame, sequence: str, name: str, chunk: int = CHUNK) -> DataFrame:
     """Number rows 1..N as they stand in their files, without a sort of the whole.
 
@@ -79,16 +94,18 @@ def file_order_number(df: DataFrame, sequence: str, name: str, chunk: int = CHUN
     tell the blocks apart and order them. Blocks are cut into chunks of at most ``chunk``
     places. Rows are counted per chunk, the counts summed along the chunks, and every
     chunk is numbered by itself, so neither a block nor a frequent value fills a task.
+    The first number of a chunk stands for it from then on, so rows are moved by that.
     ``df`` is read twice and not stored; it must give the same rows both times.
     """
     *block, row = _leaves(F.col(sequence), df.schema[sequence].dataType)
     keys = [f"_block{i}" for i in range(len(block))] + ["_chunk"]
-    placed = df.withColumns(dict(zip(keys, [*block, F.floor(row / chunk)], strict=True)))
+    placed = df.withColumns(dict(zip([*keys, "_row"], [*block, F.floor(row / chunk), row], strict=True)))
     counts = placed.groupBy(*keys).agg(F.count("*").alias("_n"))
     # a row per chunk
     starts = counts.withColumn("_start", F.sum("_n").over(W.orderBy(*keys)) - F.col("_n")).drop("_n")
-    within = F.row_number().over(W.partitionBy(*keys).orderBy(row))
-    return placed.join(starts, keys).withColumn(name, F.col("_start") + within).drop(*keys, "_start")
+    within = F.row_number().over(W.partitionBy("_start").orderBy("_row"))
+    return placed.join(F.broadcast(starts), keys).drop(*keys).withColumn(name, F.col("_start") + within).drop(
+        "_start", "_row")
 
 
 def global_dense_rank(df: DataFrame, value: str, tie: str, name: str) -> DataFrame:

@@ -12,14 +12,16 @@ from patronage.functions.dates import parsed_moment
 from patronage.functions.numbers import money, number
 from patronage.functions.text import customer_label, keyword_category, stripped, tidy_title
 from patronage.operators.cleaning import whole
-from patronage.operators.ranking import file_order_number, global_row_number
+from patronage.operators.ranking import file_order_number, global_row_number, numbered_blocks
 from patronage.operators.rollups import monthly
-from patronage.session import LINE, staged_lines
+from patronage.session import LINE, staged, staged_lines
 from patronage.sources.files import SEQUENCE
 
 COST_SHARE = "0.65"
 CHANNEL = "Online"
 UNKNOWN = "Unknown"
+#: What a transaction is made from, besides its number.
+PURCHASE = ["customer_id", "product_id", "invoice_date", "quantity", "unit_price", "is_cancelled"]
 
 
 class Prepared(NamedTuple):
@@ -56,10 +58,11 @@ def prepare(raw: DataFrame, formats: Sequence[str] = (), order: Sequence[str] =
     lines = staged_lines(typed_lines(raw, formats), "lines")
     products = product_table(lines)
     purchases = purchase_lines(lines, products)
+    ordered = purchase_lines(numbered_blocks(lines, SEQUENCE), products) if order == [SEQUENCE] else purchases
     return Prepared(
         customers=customer_table(lines),
         products=products.drop("stock_code"),
-        transactions=transaction_table(purchases, order),
+        transactions=transaction_table(ordered, order),
         monthly_summary=monthly_summary(purchases),
     )
 
@@ -91,23 +94,32 @@ def purchase_lines(lines: DataFrame, products: DataFrame) -> DataFrame:
     valid = lines.filter(
         F.col("customer_id").isNotNull() & F.col("invoice_date").isNotNull()
         & (F.col("quantity") != 0) & (F.col("unit_price") > 0))
-    known = valid.join(products.select("stock_code", "product_id"), "stock_code")
+    return with_amounts(valid.join(products.select("stock_code", "product_id"), "stock_code"))
+
+
+def with_amounts(purchases: DataFrame) -> DataFrame:
+    """Units and amount, both without a sign."""
     units = F.abs("quantity").cast("int")
     amount = money(F.round(units * money("unit_price"), 2))
-    return known.withColumn("quantity_abs", units).withColumn("order_amount", amount)
+    return purchases.withColumn("quantity_abs", units).withColumn("order_amount", amount)
 
 
 def transaction_table(purchases: DataFrame, order: Sequence[str] = ()) -> DataFrame:
     """Numbered transactions, in file order if that is the order asked for, else sorted.
 
     In a sort the place of a stored line tells copies apart, however many there are.
+    Products are numbered by their code, so they sort alike. Only what a transaction is
+    made from is moved and stored; lines in file order are joined once and then read twice.
     """
-    keys = list(order) or ["invoice_date", "invoice", "stock_code", "customer_id", "quantity", "unit_price"]
+    keys = list(order) or ["invoice_date", "invoice", "product_id", "customer_id", "quantity", "unit_price"]
     if keys == [SEQUENCE]:
-        numbered = file_order_number(purchases, SEQUENCE, "transaction_id")
+        numbered = file_order_number(staged(purchases.select(*PURCHASE, SEQUENCE), "purchases"), SEQUENCE,
+                                     "transaction_id")
     else:
         keys += [LINE] if LINE in purchases.columns else []
-        numbered = global_row_number(purchases, keys, "transaction_id")
+        narrow = purchases.select(*dict.fromkeys([*PURCHASE, *keys]))
+        numbered = global_row_number(narrow, keys, "transaction_id", PURCHASE)
+    numbered = with_amounts(numbered)
     cost = F.round(F.col("order_amount") * F.lit(COST_SHARE).cast("decimal(3,2)"), 2)
     return numbered.select(
         "transaction_id",

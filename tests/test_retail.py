@@ -117,6 +117,26 @@ def test_numbers_in_file_order(spark, tmp_path, many_runs):
     assert ranking.file_order_number(raw.filter(F.lit(False)), "ingest_seq", "n").collect() == []
 
 
+def stored_columns(spark, df) -> dict[str, str]:
+    """Columns of the stored table that ``df`` reads."""
+    kinds = [dict(spark.read.parquet(path).dtypes) for path in df.inputFiles()]
+    return next(found for found in kinds if "unit_price" in found)
+
+
+def test_only_what_a_transaction_is_made_from_is_numbered(spark):
+    found = stored_columns(spark, prepare(raw(spark, LINES)).transactions)
+    assert sorted(found) == ["_place", "_run", "customer_id", "invoice_date", "is_cancelled", "product_id", "quantity",
+                             "unit_price"]
+
+
+def test_places_of_stored_lines_are_numbers(spark):
+    from patronage.session import LINE, staged_lines
+
+    lines = staged_lines(spark.range(100).repartition(5), "lines")
+    assert lines.schema[LINE].dataType.simpleString() == "bigint"
+    assert lines.select(LINE).distinct().count() == 100
+
+
 def test_raw_lines_are_not_moved_by_customer(spark, tmp_path):
     """Repeated keys and keys that lead nowhere included."""
     from patronage.sources.star import STAR_SCHEMAS, raw_retail
