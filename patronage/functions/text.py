@@ -36,8 +36,16 @@ def header_name(name: str) -> str:
 
 
 def stripped(text: Column) -> Column:
-    """Without white space at either end; ``trim`` alone takes off blanks only."""
-    return F.btrim(text.cast("string"), F.lit(BLANKS))
+    """Without white space at either end; ``trim`` alone takes off blanks only.
+
+    Most cells begin and end with a printed ASCII character and are left as they are.
+    """
+    text = text.cast("string")
+
+    def printed(end: Column) -> Column:
+        return F.ascii(end).between(ord("!"), ord("~"))
+
+    return F.when(printed(text) & printed(F.substring(text, -1, 1)), text).otherwise(F.btrim(text, F.lit(BLANKS)))
 
 
 def known_text(text: Column) -> Column:
@@ -48,12 +56,14 @@ def known_text(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """Capitalise every run of letters: ``o'brien mary-jane`` becomes ``O'Brien Mary-Jane``.
 
-    ``initcap`` starts a word only after a space, which would give ``O'brien``.
+    ``initcap`` starts a word only after a space, which would give ``O'brien``; it does
+    for texts of ASCII letters and spaces.
     """
     runs = F.regexp_extract_all(text, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    return F.array_join(
+    whole = F.array_join(
         F.transform(runs, lambda run: F.concat(F.upper(F.left(run, F.lit(1))),
                                                F.lower(F.substr(run, F.lit(2))))), "")
+    return F.when(text.rlike("^[A-Za-z ]*$"), F.initcap(text)).otherwise(whole)
 
 
 def tidy_title(text: Column) -> Column:

@@ -403,7 +403,7 @@ def clean_written_customers(spark: SparkSession, folder: str) -> DataFrame:
 def retail_in_file_order(spark: SparkSession, folder: str) -> DataFrame:
     """Raw retail lines written as one sheet per cancellation, read back and numbered as they stand there."""
     path = _run_folder(spark, "sheets")
-    raw = star.raw_retail(spark, folder)
+    raw = staged(star.raw_retail(spark, folder), "raw")
     order = ["invoice_date", "invoice", "stock_code", "customer_id", "quantity", "unit_price"]
     sheets = []
     for number, part in enumerate([raw.filter("NOT startswith(invoice, 'C')"), raw.filter("startswith(invoice, 'C')")]):

@@ -166,3 +166,18 @@ def test_profile_makes_its_input_once(spark):
     rows = spark.createDataFrame([(n, f"t{n}") for n in range(20)], "n INT, t STRING").rdd.map(counted)
     found = by_key(profile(spark.createDataFrame(rows, "n INT, t STRING")), "column_name")
     assert (found["n"]["row_count"], found["n"]["p50"], made.value) == (20, 9.5, 20)
+
+
+def test_texts_of_plain_letters_take_the_short_way(spark):
+    from patronage.functions.text import stripped, title_case
+
+    texts = ["hOT boLT", " two  words ", "", " ", "a", "2ring", "tab\tx", "o'brien mary-jane", "　wide　", "été x",
+             "x ", "\x85y", "a\n", "\nb", None]
+    df = spark.createDataFrame([(text,) for text in texts], "t STRING")
+    found = [tuple(row) for row in df.select(title_case(F.col("t")), stripped(F.col("t"))).collect()]
+    assert found == [
+        ("Hot Bolt", "hOT boLT"), (" Two  Words ", "two  words"), ("", ""), (" ", ""), ("A", "a"), ("2Ring", "2ring"),
+        ("Tab\tX", "tab\tx"), ("O'Brien Mary-Jane", "o'brien mary-jane"), ("　Wide　", "wide"), ("Été X", "été x"),
+        ("X ", "x"), ("\x85Y", "y"), ("A\n", "a"), ("\nB", "b"), (None, None)]
+    plan = df.select(title_case(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "initcap" in plan.lower()

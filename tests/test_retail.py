@@ -129,6 +129,19 @@ def test_only_what_a_transaction_is_made_from_is_numbered(spark):
                              "unit_price"]
 
 
+def test_lines_in_file_order_carry_the_number_of_their_block(spark, tmp_path):
+    from patronage.sources.files import read_csv, read_raw_retail
+
+    head = "Invoice,StockCode,Description,Quantity,InvoiceDate,Price,Customer ID,Country\n"
+    for name in "ba":
+        (tmp_path / f"{name}.csv").write_text(head + "".join(f"{name}{n},S,pen,{n},2024-01-01,1,7,UK\n" for n in range(4)))
+    sheets = [read_csv(spark, str(tmp_path / f"{name}.csv"), head.strip().split(","), multiline=False) for name in "ba"]
+    transactions = prepare(read_raw_retail(sheets)).transactions
+    assert stored_columns(spark, transactions)["ingest_seq"] == "struct<block:int,row:bigint>"
+    assert [(row.transaction_id, row.quantity) for row in transactions.orderBy("transaction_id").collect()] == [
+        (1, 1), (2, 2), (3, 3), (4, 1), (5, 2), (6, 3)]
+
+
 def test_places_of_stored_lines_are_numbers(spark):
     from patronage.session import LINE, staged_lines
 
