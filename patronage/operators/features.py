@@ -10,12 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from patronage.functions.dates import naive
 from patronage.functions.numbers import money
 
 COMPLETED = "completed"
+FIRST = "_first"
 
 
 def is_completed(status: Column | str = "status") -> Column:
@@ -50,9 +52,29 @@ def transaction_measures() -> dict[str, Column]:
     }
 
 
+def with_first_lines(transactions: DataFrame) -> DataFrame:
+    """Mark one completed line of every transaction of a customer.
+
+    Lines are dealt out by transaction and customer, so a customer with many of them
+    fills no task; lines without a transaction, which are never marked, go by product.
+    """
+    able = is_completed() & F.col("transaction_id").isNotNull()
+    spread = F.col("product_id").try_cast(transactions.schema["transaction_id"].dataType)
+    place = F.row_number().over(
+        W.partitionBy(F.coalesce("transaction_id", spread), "customer_id").orderBy(able.desc()))
+    return transactions.withColumn(FIRST, F.when(able & (place == 1), True))
+
+
 def transaction_features(transactions: DataFrame, measures: Iterable[str]) -> DataFrame:
-    """One row per customer with the named measures."""
-    known = transaction_measures()
+    """One row per customer with the named measures.
+
+    Two distinct counts in one aggregation copy every line three times, sums and all;
+    where both are asked for, transactions are counted by their marked lines.
+    """
+    known, measures = transaction_measures(), list(measures)
+    if {"order_count", "product_diversity"}.issubset(measures):
+        transactions = with_first_lines(transactions)
+        known["order_count"] = F.count(FIRST)
     return transactions.groupBy("customer_id").agg(*[known[name].alias(name) for name in measures])
 
 

@@ -6,6 +6,7 @@ import json
 import pytest
 from conftest import by_key, customer, sale
 
+from patronage.operators.features import transaction_features
 from patronage.plans.master import as_document, customer_master, customer_profile, register_master_view
 
 NOON = dt.datetime(2024, 3, 1, 12)
@@ -104,3 +105,18 @@ def test_document_keeps_nulls_and_iso_dates(make):
 def _stored(spark, table, path):
     table.write.parquet(path)
     return spark.read.schema(table.schema).parquet(path)
+
+
+def test_two_distinct_counts_do_not_copy_the_lines(spark, make):
+    lines = [
+        sale(1, 1, 10.0, NOON, status="cancelled", product_id=7), sale(1, 1, 10.0, NOON, product_id=8),
+        sale(1, 1, 10.0, NOON, product_id=9), sale(1, 2, 5.0, NOON, product_id=8), sale(2, 1, 1.0, NOON, product_id=9),
+        sale(None, 1, 2.0, NOON, product_id=1), sale(None, 1, 2.0, NOON, product_id=None),
+        sale(3, 1, 9.0, NOON, status="cancelled", product_id=6), sale(4, 3, 9.0, NOON, status=None),
+    ]
+    # the transaction without a number is dealt out with number 1, and must not count in its place
+    found = transaction_features(make(transactions=lines).transactions, ["order_count", "product_diversity", "total_revenue"])
+    rows = {key: (row.order_count, row.product_diversity, row.total_revenue)
+            for key, row in by_key(found, "customer_id").items()}
+    assert rows == {1: (2, 3, 25), 2: (1, 1, 5), 3: (0, 0, None)}
+    assert "Expand" not in found._jdf.queryExecution().optimizedPlan().toString()
