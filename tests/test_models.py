@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
@@ -184,3 +185,16 @@ def test_train_save_and_score(spark, tmp_path, monkeypatch):
     assert len(scored) == 60 and all(0 <= row.churn_probability <= 1 for row in scored)
     ledger = spark.read.parquet(f"{tmp_path}/model_runs").first()
     assert ledger.run_id == run.run_id and ledger.model_name == run.best_model and len(ledger.version) == 14
+
+
+def test_forest_with_kept_nodes_has_the_same_trees(spark):
+    forest = churn.candidates()["random_forest"]
+    assert forest.getCacheNodeIds() and forest.getNumTrees() == 250 and forest.getMaxDepth() == 8
+    draw = random.Random(3)
+    rows = [(int(a + b > draw.random()), 1.0 + i % 2, [a, b, float(i % 3 == 0)])
+            for i, (a, b) in enumerate((draw.random(), draw.random()) for _ in range(400))]
+    data = spark.createDataFrame(rows, "churned INT, weight DOUBLE, parts ARRAY<DOUBLE>").select(
+        "churned", "weight", array_to_vector("parts").alias("features")).repartition(3).persist()
+    kept, walked = (forest.copy().setNumTrees(6).setCacheNodeIds(flag).fit(data) for flag in (True, False))
+    assert kept.toDebugString.splitlines()[1:] == walked.toDebugString.splitlines()[1:]
+    assert kept.totalNumNodes > 100
