@@ -219,7 +219,10 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def score_customers(master: DataFrame, path: str) -> DataFrame:
-    """Churn probability by the saved model, or by the heuristic where none was saved."""
+    """Churn probability by the saved model, or by the heuristic where none was saved.
+
+    What a model has scored is stored, as a sort behind it reads its rows twice.
+    """
     spark = master.sparkSession
     if not path_exists(spark, f"{path}/churn_coding"):
         return churn_scores(master)
@@ -227,7 +230,7 @@ def score_customers(master: DataFrame, path: str) -> DataFrame:
     coding = from_json(found, spark.read.schema(CODES).parquet(f"{path}/churn_codes"))
     scored = PipelineModel.load(f"{path}/churn_model").transform(coded(master, coding))
     probability = vector_to_array("probability")[1]
-    return with_risk_level(scored.select("customer_id", "name", probability.alias("churn_probability")))
+    return with_risk_level(staged(scored.select("customer_id", "name", probability.alias("churn_probability")), "scores"))
 
 
 def feature_table(data: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ from patronage.plans import retail
 from patronage.plans.churn_models import (
     MASTER_COLUMNS,
     METRICS,
+    SCORED_ROWS,
     TRAIN_SHARE,
     chronological_split,
     feature_table,
@@ -63,7 +64,7 @@ from patronage.plans.ingest import latest_version, load_files, read_ledger
 from patronage.plans.master import as_document, customer_master, customer_profile, register_master_view
 from patronage.plans.mart import build_mart, payload, segmented_export, write_mart
 from patronage.schemas import empty_table
-from patronage.session import staged, staged_lines, staging_folder
+from patronage.session import few_partitions, staged, staged_lines, staging_folder
 from patronage.sinks.files import write_csv, write_tables
 from patronage.sources import star
 from patronage.sources.files import load_retail, read_csv, read_raw_retail
@@ -726,7 +727,7 @@ def churn_scored(spark: SparkSession, folder: str) -> DataFrame:
     """Trains all candidates, saves the best and scores everybody with what was saved."""
     master = staged(customer_master(star_tables(spark, folder), columns=MASTER_COLUMNS), "scored")
     run = train_models(master, _run_folder(spark))
-    return churn_queue(score_customers(master, run.path))
+    return churn_queue(score_customers(few_partitions(master, SCORED_ROWS), run.path))
 
 
 def _run_folder(spark: SparkSession, label: str = "churn") -> str:

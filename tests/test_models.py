@@ -9,6 +9,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from patronage.errors import InsufficientDataError
+from patronage.operators.value import churn_queue
 from patronage.plans import churn_models as churn
 from patronage.plans.clustering import cluster_count, cluster_customers, finite
 from patronage.plans.forecast import (
@@ -198,3 +199,12 @@ def test_forest_with_kept_nodes_has_the_same_trees(spark):
     kept, walked = (forest.copy().setNumTrees(6).setCacheNodeIds(flag).fit(data) for flag in (True, False))
     assert kept.toDebugString.splitlines()[1:] == walked.toDebugString.splitlines()[1:]
     assert kept.totalNumNodes > 100
+
+
+def test_scored_customers_are_stored_before_they_are_sorted(spark, tmp_path, monkeypatch):
+    quick = churn.candidates
+    monkeypatch.setattr(churn, "candidates", lambda: {"random_forest": quick()["random_forest"].setNumTrees(5)})
+    churn.train_models(master(spark), str(tmp_path))
+    queue = churn_queue(churn.score_customers(master(spark), str(tmp_path)))
+    assert queue.inputFiles() and all("/scores-" in path for path in queue.inputFiles())
+    assert queue.count() == 60
